@@ -1,0 +1,5 @@
+"""Empty on purpose: the feature set this library covers is batch only.
+
+Nothing in it reads a stream, keeps state or handles late data, so no streaming
+operator is offered.
+"""
