@@ -44,7 +44,7 @@ CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def write_stops_csv(stops: DataFrame, path: str, mode: str = "error") -> None:
-    stops.write.mode(mode).csv(path, header=True, timestampNTZFormat=CSV_TIMESTAMP)
+    stops.write.mode(mode).option("timestampNTZFormat", CSV_TIMESTAMP).csv(path, header=True)
 
 
 def write_stops(stops: DataFrame, path: str, mode: str = "error") -> None:
