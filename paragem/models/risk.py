@@ -23,6 +23,7 @@ FEATURES = ["LineGroupDesc", "LineDesc", "StationDesc", "ElementDesc", "ShiftId"
 MISSING = "N/A"
 RISK = "Probabilidade de Breakdown"
 DEFAULT_SHIFT = 1
+SHARES = 1024
 
 
 def as_features(df: DataFrame) -> DataFrame:
@@ -45,19 +46,36 @@ class RiskTraining:
     test: DataFrame
 
 
-def train(stops: DataFrame, trees: int = 100, depth: int = 30, seed: int = 42) -> RiskTraining:
+def merged_rows(training: DataFrame, shares: int = SHARES) -> DataFrame:
+    """Training rows of equal features and target merged into at most ``shares`` weighted rows.
+
+    All features are categories, so very many stops say the same thing. Forests draw
+    rows at random: with about a thousand rows left per combination the draw varies
+    as good as it would over single stops, and small combinations are hardly merged.
+    """
+    share = F.pmod(F.xxhash64(F.lit("share"), S.STOP_ID.name), F.lit(shares)).alias("share")
+    merged = training.groupBy(*FEATURES, "Target", share).agg(F.count(F.lit(1)).alias("stops"))
+    # A forest draws by row position; sorting makes the draw repeatable.
+    return merged.sortWithinPartitions(*FEATURES, "Target", "share").drop("share")
+
+
+def train(
+    stops: DataFrame, trees: int = 100, depth: int = 30, seed: int = 42, shares: int = SHARES
+) -> RiskTraining:
     """Fit a balanced random forest on 80 % of the stops and report on the rest.
 
-    The training rows are read once per tree level, so they are stored in the shared
-    folder first instead of being derived again each time.
+    The forest reads its rows once per group of tree nodes, so these are merged and
+    stored in the shared folder first.
     """
-    rows = stage(training_rows(stops), "risk-training")
-    training, test = exact_split(rows, [S.STOP_ID.name], "Target", 0.2, seed)
-    weights = {r["Target"]: r["peso"] for r in class_weights(training, "Target").collect()}
-    training = training.withColumn("weight", _by_class(weights))
+    training, test = exact_split(training_rows(stops), [S.STOP_ID.name], "Target", 0.2, seed)
+    merged = stage(merged_rows(training, shares), "risk-training")
+    weights = {r["Target"]: r["peso"] for r in class_weights(merged, "Target", "stops").collect()}
+    merged = merged.withColumn("weight", F.col("stops") * _by_class(weights))
 
     indexed = [f"{c}_index" for c in FEATURES]
-    indexer = StringIndexer(inputCols=FEATURES, outputCols=indexed, handleInvalid="keep").fit(training)
+    indexer = StringIndexer(
+        inputCols=FEATURES, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"
+    ).fit(merged)
     # A tree needs a bin per category, the one for unseen categories included.
     bins = max(32, 1 + max(len(labels) for labels in indexer.labelsArray))
     assembler = VectorAssembler(inputCols=indexed, outputCol="features")
@@ -71,7 +89,7 @@ def train(stops: DataFrame, trees: int = 100, depth: int = 30, seed: int = 42) -
         seed=seed,
         cacheNodeIds=True,
     )
-    model = Pipeline(stages=[indexer, assembler, forest]).fit(training)
+    model = Pipeline(stages=[indexer, assembler, forest]).fit(merged)
     return RiskTraining(model, classification_report(model.transform(test)), test)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +73,7 @@ def stop_in_go_rule(line_part: str, station_part: str, elements: list[str]) -> C
         tests.append(F.upper("StationDesc").contains(station_part))
     if elements:
         tests.append(F.col("ElementDesc").isin(elements))
-    return reduce(lambda a, b: a & b, tests)
+    return reduce(and_, tests)
 
 
 def with_stop_in_go(df: DataFrame, mode: str = S.STOP_IN_GO_NONE) -> DataFrame:

@@ -84,12 +84,11 @@ def number_groups(cells: DataFrame) -> DataFrame:
     sees the instants of one minute, the minutes of one day, or the days, never all
     stops; the days are the only rows that meet in one task.
     """
-    minute = F.coalesce(time.minute_number(F.col("StartTime")), F.lit(NO_MINUTE))
-    instants = (
-        cells.groupBy("day", *INSTANT).agg(F.sum("openings").alias("openings")).withColumn("minute", minute)
-    )
-    minutes = instants.groupBy("day", "minute").agg(F.sum("openings").alias("openings"))
-    days = minutes.groupBy("day").agg(F.sum("openings").alias("openings"))
+    minute = F.coalesce(time.minute_number(F.col("StartTime")), F.lit(NO_MINUTE)).alias("minute")
+    openings = F.sum("openings").alias("openings")
+    instants = cells.groupBy("day", minute, *INSTANT).agg(openings)
+    minutes = cells.groupBy("day", minute).agg(openings)
+    days = cells.groupBy("day").agg(openings)
 
     before = (Window.unboundedPreceding, -1)
     day_start = F.coalesce(F.sum("openings").over(Window.orderBy("day").rowsBetween(*before)), F.lit(0))

@@ -6,6 +6,7 @@ A key is a column name or an aliased column. Rows without a key value drop out.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +37,63 @@ def _keyed(df: DataFrame, keys: tuple[Key, ...], columns: list[str]) -> tuple[Da
     named = [F.col(k) if isinstance(k, str) else k for k in keys]
     names = df.select(*named).columns if named else []
     inner = [f"_key{i}" for i in range(len(named))]
-    out = df.select(*[k.alias(i) for k, i in zip(named, inner)], *columns)
+    present = [c for c in columns if c in df.columns]
+    out = df.select(*[k.alias(i) for k, i in zip(named, inner)], *present)
     if inner:
-        out = out.filter(reduce(lambda a, b: a & b, [F.col(i).isNotNull() for i in inner]))
+        out = out.filter(reduce(and_, [F.col(i).isNotNull() for i in inner]))
     return out, names
 
 
+def condense_stops(stops: DataFrame) -> DataFrame:
+    """Sums per line, component, first alarm and day-shift.
+
+    Every indicator below accepts this table in place of the stops. Its size follows
+    the plant and the calendar, not the number of stops, so one pass over the stops
+    serves a whole page of indicators.
+    """
+    dims = [c for c in ("LineDesc", "ElementDesc", "PrimeiroAlarmDesc") if c in stops.columns]
+    sums = [_stop_sums(stops)[name].alias(name) for name in STOP_SUMS]
+    return stops.groupBy(*dims, "EffectiveDay", "ShiftId").agg(*sums)
+
+
+def condense_production(production: DataFrame) -> DataFrame:
+    """Sums and counts per line and day, accepted in place of the production records."""
+    sums = [_production_sums(production)[name].alias(name) for name in PRODUCTION_SUMS]
+    return production.groupBy("LineDesc", "EffectiveDate").agg(*sums)
+
+
+STOP_SUMS = ["main_line_failures", "failures", "seconds", "stops"]
+PRODUCTION_SUMS = ["produced", "produced_records", "target", "target_records"]
+
+
+def _stop_sums(df: DataFrame) -> dict[str, Column]:
+    if "main_line_failures" in df.columns:
+        return {name: F.sum(name) for name in STOP_SUMS}
+    failure = labels.is_failure(F.col("StatusDesc"))
+    on_main_line = F.coalesce(F.col("LineGroupDesc") == S.MAIN_LINE, F.lit(False))
+    return {
+        "main_line_failures": F.count_if(failure & on_main_line),
+        "failures": F.count_if(failure),
+        "seconds": F.sum(F.when(failure, F.col("Duration"))),
+        "stops": F.count(F.lit(1)),
+    }
+
+
+def _production_sums(df: DataFrame) -> dict[str, Column]:
+    if "produced_records" in df.columns:
+        return {name: F.sum(name) for name in PRODUCTION_SUMS}
+    return {
+        "produced": F.sum("EffectiveProd"),
+        "produced_records": F.count("EffectiveProd"),
+        "target": F.sum("TargProd"),
+        "target_records": F.count("TargProd"),
+    }
+
+
+STOP_INPUTS = ["StatusDesc", "LineGroupDesc", "Duration", "EffectiveDay", "ShiftId", *STOP_SUMS]
+PRODUCTION_INPUTS = ["EffectiveProd", "TargProd", *PRODUCTION_SUMS]
+
+
 def reliability_kpis(stops: DataFrame, *keys: Key) -> DataFrame:
     """MTBF and MTTR in minutes per key; with no key, one row, zeros over no stops.
 
@@ -49,13 +101,11 @@ def reliability_kpis(stops: DataFrame, *keys: Key) -> DataFrame:
     uptime adds the minutes of each day-shift seen in the group once. Stops are first
     reduced to day-shifts, so the shuffles carry one row per key and day-shift.
     """
-    df, names = _keyed(stops, keys, ["StatusDesc", "LineGroupDesc", "Duration", "EffectiveDay", "ShiftId"])
+    df, names = _keyed(stops, keys, STOP_INPUTS)
     inner = [f"_key{i}" for i in range(len(names))]
-    failure = labels.is_failure(F.col("StatusDesc"))
-    on_main_line = F.coalesce(F.col("LineGroupDesc") == S.MAIN_LINE, F.lit(False))
+    sums = _stop_sums(df)
     day_shifts = df.groupBy(*inner, "EffectiveDay", "ShiftId").agg(
-        F.count_if(failure & on_main_line).alias("failures"),
-        F.sum(F.when(failure, F.col("Duration"))).alias("seconds"),
+        sums["main_line_failures"].alias("failures"), sums["seconds"].alias("seconds")
     )
     totals = day_shifts.groupBy(*inner).agg(
         F.coalesce(F.sum("failures"), F.lit(0)).alias("num_falhas"),
@@ -75,11 +125,11 @@ def reliability_kpis(stops: DataFrame, *keys: Key) -> DataFrame:
 
 def ope_kpis(production: DataFrame, *keys: Key) -> DataFrame:
     """OPE percentage and piece totals per key; zeros where there is no target or no row."""
-    df, names = _keyed(production, keys, ["EffectiveProd", "TargProd"])
+    df, names = _keyed(production, keys, PRODUCTION_INPUTS)
     inner = [f"_key{i}" for i in range(len(names))]
+    sums = _production_sums(df)
     totals = df.groupBy(*inner).agg(
-        F.coalesce(F.sum("EffectiveProd"), F.lit(0)).alias("produced"),
-        F.coalesce(F.sum("TargProd"), F.lit(0)).alias("target"),
+        F.coalesce(sums["produced"], F.lit(0)).alias("produced"), F.coalesce(sums["target"], F.lit(0)).alias("target")
     )
     return totals.select(
         *[F.col(i).alias(n) for i, n in zip(inner, names)],
@@ -92,24 +142,24 @@ def ope_kpis(production: DataFrame, *keys: Key) -> DataFrame:
 
 def production_means(production: DataFrame, *keys: Key) -> DataFrame:
     """Mean production and mean loss (target minus production), blanks skipped separately."""
-    df, names = _keyed(production, keys, ["EffectiveProd", "TargProd"])
+    df, names = _keyed(production, keys, PRODUCTION_INPUTS)
     inner = [f"_key{i}" for i in range(len(names))]
-    means = df.groupBy(*inner).agg(
-        (F.avg("TargProd") - F.avg("EffectiveProd")).alias("perda_media"),
-        F.avg("EffectiveProd").alias("producao_media"),
-    )
+    sums = _production_sums(df)
+    produced, target = (F.try_divide(sums[c], sums[f"{c}_records"]) for c in ("produced", "target"))
+    means = df.groupBy(*inner).agg((target - produced).alias("perda_media"), produced.alias("producao_media"))
     return means.select(*[F.col(i).alias(n) for i, n in zip(inner, names)], "perda_media", "producao_media")
 
 
 def failures_total(stops: DataFrame) -> DataFrame:
     """Failures of any line group."""
-    return stops.agg(F.count_if(labels.is_failure(F.col("StatusDesc"))).alias("total_falhas"))
+    return stops.agg(F.coalesce(_stop_sums(stops)["failures"], F.lit(0)).alias("total_falhas"))
 
 
 def failures_by_day(stops: DataFrame) -> DataFrame:
-    failures = stops.filter(labels.is_failure(F.col("StatusDesc")))
-    days = failures.select(day_key()).filter(F.col("Dia").isNotNull())
-    return days.groupBy("Dia").agg(F.count(F.lit(1)).alias("falhas"))
+    """Failures per day, days without any left out."""
+    df, _ = _keyed(stops, (day_key(),), STOP_INPUTS)
+    days = df.groupBy(F.col("_key0").alias("Dia")).agg(_stop_sums(df)["failures"].alias("falhas"))
+    return days.filter(F.col("falhas") > 0)
 
 
 # --- Series, rankings and labelled views --------------------------------------
@@ -145,7 +195,7 @@ def top_alarms_by_count(grouped: DataFrame, n: int = 3) -> DataFrame:
     """Most frequent first alarms, ties in alphabetical order."""
     alarms = grouped.filter(F.col("PrimeiroAlarmDesc").isNotNull())
     counted = alarms.groupBy(F.col("PrimeiroAlarmDesc").alias("Descrição da Falha")).agg(
-        F.count(F.lit(1)).alias("Número de Falhas")
+        _stop_sums(grouped)["stops"].alias("Número de Falhas")
     )
     top = counted.orderBy(F.desc("Número de Falhas"), "Descrição da Falha").limit(n)
     return top.withColumn("Descrição Curta", labels.short_text(F.col("Descrição da Falha")))

@@ -77,10 +77,14 @@ def _per_level(values: dict, position: int) -> Column:
     return out
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight of each class: rows / (classes x rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("linhas"))
-    total = Window.partitionBy()
-    return counts.select(
-        label, "linhas", (F.sum("linhas").over(total) / (F.count(label).over(total) * F.col("linhas"))).alias("peso")
-    )
+def class_weights(df: DataFrame, label: str, rows: str | None = None) -> DataFrame:
+    """Balanced weight of each class: rows / (classes x rows of the class).
+
+    ``rows`` names a column that counts how many rows a row stands for.
+    """
+    count = F.sum(rows) if rows else F.count(F.lit(1))
+    counts = df.groupBy(label).agg(count.alias("linhas"))
+    # One row per class.
+    every = Window.partitionBy()
+    balanced = F.sum("linhas").over(every) / (F.count(F.lit(1)).over(every) * F.col("linhas"))
+    return counts.select(label, "linhas", balanced.alias("peso"))

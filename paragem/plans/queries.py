@@ -20,6 +20,7 @@ from paragem.models import attribution, remaining_life, risk
 from paragem.models.store import load_model, save_model
 from paragem.operators import filters, grouping, kpis, metrics, rul, sampling
 from paragem.plans import oracle as O
+from paragem.plans.dashboard import Dashboard
 from paragem.session import new_shared_path, stage
 from paragem.sources import plant, tables
 
@@ -381,6 +382,32 @@ add(
     ),
 )
 
+SELECTED = """chosen AS (SELECT * FROM grouped WHERE EffectiveDay BETWEEN DATE '2024-01-01' AND DATE '2024-03-10'
+  AND LineGroupDesc = 'MAIN LINE' AND ShiftId = 1 AND Duration < 600
+  AND EffectiveDay IN (SELECT Data FROM calendar WHERE Tipo = 'Produtivo'))"""
+
+
+@query(
+    "dashboard_components",
+    O.with_tables(
+        O.STOPS,
+        O.CALENDAR,
+        O.GROUPED,
+        SELECTED,
+        O.filled("chosen"),
+        "picked AS (SELECT * FROM filled WHERE NOT hit)",
+        body=O.kpis("ElementDesc", "ElementDesc", "picked")
+        + " SELECT ElementDesc AS COMPONENTE, mttr_minutos AS MTTR FROM kpi",
+    ),
+)
+def dashboard_components(spark: SparkSession, sf: str) -> DataFrame:
+    """One table of a whole page: grouped, filtered, condensed, then aggregated."""
+    page = Dashboard.select(
+        STOPS_SPEC, grouped_stops(spark, sf), plant.production(spark, sf), plant.calendar(spark, sf)
+    )
+    return page.reliability()["mttr_por_componente"]
+
+
 # --- Grouping and remaining-life features --------------------------------------
 
 add("stop_groups", grouped_stops, O.with_tables(O.STOPS, O.GROUPED, body=" SELECT * FROM grouped"))

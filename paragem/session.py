@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording a call site per expression costs more than planning a small query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,109 +1,84 @@
-"""Plant tables derived from the generic ``events`` and ``lineitem`` Parquet tables."""
+"""Plant tables derived from the generic ``events``, ``lineitem`` and ``orders`` Parquet tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spark.read.schema(TABLES[table]).parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stop per event; users stand for machines and are spread over four months."""
-    events = load(spark, sf_dir, "events")
-    user, value = F.col("user_id"), F.col("value")
-    months_shift = ((user % 4 - 1) * 31).cast("int")
-    seconds = F.floor(value * 10)
-    timed = events.select(
+    timed = load(spark, sf_dir, "events").selectExpr(
         "event_id",
         "user_id",
         "event_type",
-        F.hour("ts").alias("start_hour"),
-        F.floor(value * 10).cast("long").alias("Duration"),
-        F.timestamp_add("DAY", months_shift, F.col("ts")).alias("StartTime"),
-        F.timestamp_add(
-            "SECOND", seconds.cast("int"), F.timestamp_add("DAY", months_shift, F.col("ts"))
-        ).alias("EndTime"),
-    )
-    line_group = (
-        F.when(user % 12 == 11, "LOGISTICS").when((user % 12).isin(9, 10), "SUBASSEMBLY").otherwise("MAIN LINE")
+        "hour(ts) AS start_hour",
+        "CAST(floor(value * 10) AS BIGINT) AS Duration",
+        "timestampadd(DAY, CAST((user_id % 4 - 1) * 31 AS INT), ts) AS StartTime",
     )
-    station = (
-        F.when(user == 13, F.lit(None))
-        .when(user % 12 == 0, "ZNE05")
-        .when(user % 12 == 2, "ZNE01")
-        .otherwise(F.concat(F.lit("ZNE0"), (user % 4 + 4).cast("string")))
-    )
-    return timed.select(
-        F.col("event_id").alias("StopId"),
-        line_group.alias("LineGroupDesc"),
-        _pick(user % 6, ["Glazing01", "DECKING02", "CHASSIS5", "CHASSIS4", "CHASSIS2", "TRIM01"]).alias("LineDesc"),
-        station.alias("StationDesc"),
-        _pick(
-            user % 12,
-            ["TTS02", "TR01", "MTR01", "PLS03", "BRS01", "CNV01", "ROB01", "ROB02", "CNV02", "MTR02", "VT01"],
-        ).alias("ElementDesc"),
-        F.when(F.col("event_type") == "error", "TIME OUT APERTURA SAFETY GATE")
-        .otherwise(F.upper("event_type"))
-        .alias("AlarmDesc"),
-        F.when(F.col("event_type") == "signup", "Normal").otherwise("Falha/Parada").alias("StatusDesc"),
+    return timed.selectExpr(
+        "event_id AS StopId",
+        "CASE WHEN user_id % 12 = 11 THEN 'LOGISTICS' WHEN user_id % 12 IN (9, 10) THEN 'SUBASSEMBLY' "
+        "ELSE 'MAIN LINE' END AS LineGroupDesc",
+        "get(array('Glazing01', 'DECKING02', 'CHASSIS5', 'CHASSIS4', 'CHASSIS2', 'TRIM01'), "
+        "CAST(user_id % 6 AS INT)) AS LineDesc",
+        "CASE WHEN user_id = 13 THEN NULL WHEN user_id % 12 = 0 THEN 'ZNE05' WHEN user_id % 12 = 2 THEN 'ZNE01' "
+        "ELSE concat('ZNE0', user_id % 4 + 4) END AS StationDesc",
+        "get(array('TTS02', 'TR01', 'MTR01', 'PLS03', 'BRS01', 'CNV01', 'ROB01', 'ROB02', 'CNV02', 'MTR02', "
+        "'VT01'), CAST(user_id % 12 AS INT)) AS ElementDesc",
+        "CASE WHEN event_type = 'error' THEN 'TIME OUT APERTURA SAFETY GATE' ELSE upper(event_type) END AS AlarmDesc",
+        "CASE WHEN event_type = 'signup' THEN 'Normal' ELSE 'Falha/Parada' END AS StatusDesc",
         "Duration",
         "StartTime",
-        "EndTime",
-        F.to_date("StartTime").alias("EffectiveDay"),
-        F.when(user % 50 == 49, F.lit(None))
-        .when(F.col("start_hour") < 6, 3)
-        .when(F.col("start_hour") < 15, 1)
-        .otherwise(2)
-        .cast("int")
-        .alias("ShiftId"),
+        "timestampadd(SECOND, CAST(Duration AS INT), StartTime) AS EndTime",
+        "CAST(StartTime AS DATE) AS EffectiveDay",
+        "CASE WHEN user_id % 50 = 49 THEN NULL WHEN start_hour < 6 THEN 3 WHEN start_hour < 15 THEN 1 "
+        "ELSE 2 END AS ShiftId",
     )
 
 
 def production(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One production record per line item; line ANDON09 has no target."""
-    items = load(spark, sf_dir, "lineitem")
-    line = F.col("l_suppkey") % 6
-    return items.select(
-        F.to_date("l_shipdate").alias("EffectiveDate"),
-        F.coalesce(
-            _pick(line, ["Glazing01", "DECKING02", "CHASSIS5", "CHASSIS4", "CHASSIS2"]), F.lit("ANDON09")
-        ).alias("LineDesc"),
-        (F.col("l_linenumber") % 3 + 1).cast("int").alias("ShiftId"),
-        F.col("l_quantity").cast("long").alias("EffectiveProd"),
-        F.when(line == 5, F.lit(0).cast("long")).otherwise(20 + F.col("l_partkey") % 40).alias("TargProd"),
+    return load(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_shipdate AS DATE) AS EffectiveDate",
+        "get(array('Glazing01', 'DECKING02', 'CHASSIS5', 'CHASSIS4', 'CHASSIS2', 'ANDON09'), "
+        "CAST(l_suppkey % 6 AS INT)) AS LineDesc",
+        "l_linenumber % 3 + 1 AS ShiftId",
+        "CAST(l_quantity AS BIGINT) AS EffectiveProd",
+        "CASE WHEN l_suppkey % 6 = 5 THEN 0L ELSE 20 + l_partkey % 40 END AS TargProd",
     )
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of 1995 to 2024; weekends are non-productive."""
-    days = spark.range(1).select(
-        F.explode(F.expr("sequence(date'1995-01-01', date'2024-12-31', interval 1 day)")).alias("Data")
+    days = spark.range(1).selectExpr(
+        "explode(sequence(date'1995-01-01', date'2024-12-31', interval 1 day)) AS Data"
     )
-    return days.withColumn("Tipo", F.when(F.weekday("Data") >= 5, "Improdutivo").otherwise("Produtivo"))
+    return days.selectExpr("Data", "CASE WHEN weekday(Data) >= 5 THEN 'Improdutivo' ELSE 'Produtivo' END AS Tipo")
 
 
 def calendar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text lines that list the order dates with their day type, one pair or two per line."""
-    day = F.to_date("o_orderdate")
-    pair = _pair(day)
-    line = F.when(
-        F.col("o_orderkey") % 3 == 0,
-        F.concat(F.lit("    "), pair, F.lit(", "), _pair(F.date_add(day, 1)), F.lit(",")),
-    ).when(F.col("o_orderkey") % 3 == 1, F.concat(pair, F.lit(","))).otherwise(F.lit("    -- JANEIRO"))
-    return load(spark, sf_dir, "orders").select(line.alias("value"))
-
-
-def _pair(day):
-    kind = F.when(F.weekday(day) >= 5, "Improdutivo").otherwise("Produtivo")
-    return F.concat(F.lit('{ "'), day.cast("string"), F.lit('", "'), kind, F.lit('" }'))
-
-
-def _pick(index, names):
-    """Name at a zero-based position; null past the end."""
-    chosen = F.when(index == 0, names[0])
-    for i, name in enumerate(names[1:], start=1):
-        chosen = chosen.when(index == i, name)
-    return chosen
+    """Text lines that list the order dates with their day type: two, one or no pair per line."""
+    days = load(spark, sf_dir, "orders").selectExpr("o_orderkey", "CAST(o_orderdate AS DATE) AS d")
+    pair = "concat('{{ \"', {d}, '\", \"', CASE WHEN weekday({d}) >= 5 THEN 'Improdutivo' ELSE 'Produtivo' END, '\" }}')"
+    first, second = pair.format(d="d"), pair.format(d="date_add(d, 1)")
+    return days.selectExpr(
+        f"CASE o_orderkey % 3 WHEN 0 THEN concat('    ', {first}, ', ', {second}, ',') "
+        f"WHEN 1 THEN concat({first}, ',') ELSE '    -- JANEIRO' END AS value"
+    )

@@ -1,0 +1,124 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+from rows import stops
+
+from paragem import schemas as S
+from paragem.models import attribution, remaining_life, risk
+from paragem.models.store import ModelNotFound, load_model, save_model
+from paragem.operators import metrics, sampling
+from paragem.session import new_shared_path
+
+
+@pytest.fixture(scope="module")
+def plant(spark):
+    rows = []
+    for i in range(400):
+        element = f"E{i % 4}"
+        # Element E0 breaks down nearly always, the others seldom.
+        long = (i % 10 != 0) if element == "E0" else (i % 11 == 0)
+        rows.append(
+            {
+                "ElementDesc": element,
+                "StationDesc": None if i % 9 == 0 else f"S{i % 3}",
+                "Duration": 900 if long else 30,
+                "ShiftId": None if i % 13 == 0 else i % 3 + 1,
+                "StartTime": f"2025-03-{1 + i % 28:02d}T{i % 24:02d}:00:00",
+            }
+        )
+    return stops(spark, *rows)
+
+
+@pytest.fixture(scope="module")
+def fitted(plant):
+    return risk.train(plant, trees=15, depth=8)
+
+
+def test_training_beats_a_constant_and_repeats(plant, fitted):
+    report = {r.classe: r for r in fitted.report.collect()}
+    assert list(report) == ["Microparada", "Breakdown", "accuracy", "macro avg", "weighted avg"]
+    assert report["accuracy"].support == 80
+    assert report["accuracy"].precision > 0.8
+    again = risk.train(plant, trees=15, depth=8)
+    assert again.report.collect() == fitted.report.collect()
+
+
+def test_scores_survive_saving_and_new_categories(spark, plant, fitted):
+    path = save_model(fitted.model, new_shared_path(spark, "test-model"))
+    unseen = stops(spark, {"ElementDesc": "new", "LineDesc": "new"})
+    chosen = plant.union(unseen)
+    want = risk.risk_report(risk.score_components(fitted.model, chosen)).collect()
+    assert risk.risk_report(risk.score_components(load_model(path), chosen)).collect() == want
+    assert {r.ElementDesc for r in want} == {"E0", "E1", "E2", "E3", "new"}
+    assert any(r.StationDesc is None for r in want)
+    assert all(0 <= r[risk.RISK] <= 1 for r in want)
+    assert want[0].ElementDesc == "E0"
+
+
+def test_missing_model(spark):
+    with pytest.raises(ModelNotFound):
+        load_model(new_shared_path(spark, "no-model"))
+
+
+def test_attribution_adds_up(plant, fitted):
+    scored = risk.score_components(fitted.model, plant)
+    rows = attribution.explain_highest_risk(fitted.model, scored).collect()
+    top = risk.highest_risk(scored).first()
+    assert rows[0].feature == "ElementDesc"
+    assert rows[0].previsao == pytest.approx(top[risk.RISK])
+    assert rows[0].base == pytest.approx(scored.agg(F.avg(risk.RISK)).first()[0])
+    assert rows[0].base + sum(r.contribuicao for r in rows) == pytest.approx(rows[0].previsao)
+    assert {r.feature: r.contribuicao for r in rows}["ShiftId"] == pytest.approx(0)
+
+
+def test_rul_model(spark):
+    names = ", ".join(f"{c} double" for c in S.RUL_MODEL_COLUMNS)
+    rows = [
+        (f"E{i % 5}", dt.date(2025, 1, 1) + dt.timedelta(days=i), *[float(i % 17)] * 7, float(i % 17) * 2 + 1)
+        for i in range(200)
+    ]
+    features = spark.createDataFrame(rows, f"ElementDesc string, StartTime date, {names}, RUL double")
+    fitted = remaining_life.train(features, trees=10)
+    assert fitted.test.count() == 40
+    assert fitted.metrics.first().r2 > 0.9
+    report = remaining_life.rul_report(fitted.model, features, F.lit("2025-01-01").cast("date"))
+    assert report.columns == [
+        remaining_life.COMPONENT, remaining_life.DAYS, remaining_life.FAILURE_DAY, remaining_life.BASED_ON,
+    ]
+    assert report.count() == 5
+
+
+def test_report_cuts_fractions_and_drops_the_past(spark):
+    rows = [("a", dt.date(2025, 1, 1), 3.9), ("b", dt.date(2025, 1, 1), 2.9), ("c", dt.date(2025, 1, 1), 9.0)]
+    predicted = spark.createDataFrame(rows, "ElementDesc string, StartTime date, RUL_Previsto double")
+    report = remaining_life.failure_report(predicted, F.lit("2025-01-04").cast("date")).collect()
+    assert [tuple(r) for r in report] == [
+        ("a", 0, dt.date(2025, 1, 4), dt.date(2025, 1, 1)),
+        ("c", 6, dt.date(2025, 1, 10), dt.date(2025, 1, 1)),
+    ]
+
+
+def test_split_is_exact_and_does_not_depend_on_partitions(spark):
+    df = spark.range(1003).select(F.col("id").alias("StopId"), (F.col("id") % 7 == 0).cast("int").alias("Target"))
+    train, test = sampling.exact_split(df, ["StopId"], "Target")
+    assert (train.count(), test.count()) == (802, 201)
+    assert train.filter("Target = 1").count() in (115, 116)
+    assert train.join(test, "StopId").count() == 0
+    again, _ = sampling.exact_split(df.repartition(13), ["StopId"], "Target")
+    assert {r.StopId for r in again.collect()} == {r.StopId for r in train.collect()}
+
+
+def test_split_of_few_rows(spark):
+    df = spark.range(3).select(F.col("id").alias("StopId"), F.when(F.col("id") == 0, 1).otherwise(0).alias("Target"))
+    train, test = sampling.exact_split(df, ["StopId"], "Target")
+    assert train.count() == 2 and test.count() == 1
+
+
+def test_metrics_without_cases(spark):
+    df = spark.createDataFrame([(0, 0.0), (0, 0.0)], "Target int, prediction double")
+    report = {r.classe: r for r in metrics.classification_report(df).collect()}
+    assert report["Breakdown"][1:] == (0.0, 0.0, 0.0, 0)
+    assert report["Microparada"].f1_score == 1.0
+    exact = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "RUL double, prediction double")
+    assert tuple(metrics.regression_metrics(exact).first()) == (0.0, 1.0)
