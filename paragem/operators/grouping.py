@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from paragem import schemas as S
 from paragem.functions import time
-from paragem.operators.ordered import same_values, with_previous
+from paragem.operators.ordered import join_same, with_previous
 from paragem.session import stage
 
 MACHINE = ["LineDesc", "StationDesc", "ElementDesc"]
@@ -107,11 +107,7 @@ def number_groups(cells: DataFrame) -> DataFrame:
         .join(starts, ["day", "minute"])
         .select(*INSTANT, (F.col("start") + F.col("in_minute")).alias("IDGrupoNumerico"))
     )
-    return (
-        cells.alias("c")
-        .join(numbers.alias("n"), same_values("c", "n", INSTANT))
-        .select("c.*", "n.IDGrupoNumerico")
-    )
+    return join_same(cells, numbers, INSTANT).select(*[F.col(f"l.{c}") for c in cells.columns], "r.IDGrupoNumerico")
 
 
 def reassign_gate_alarms(cells: DataFrame) -> DataFrame:
@@ -137,29 +133,18 @@ def reassign_gate_alarms(cells: DataFrame) -> DataFrame:
 def name_groups(cells: DataFrame) -> DataFrame:
     """Rule 4: alarm and element of each group's first stop.
 
-    Cells whose copies stay behind in another group are split into a row for the
-    first stop (``part`` = first) and one for the copies (``part`` = copies).
+    Where a cell's first stop moved and its copies did not, the cell is split into a
+    row for the first stop (``part`` = first) and one for the copies.
     """
-    moved = F.col("IDGrupoFinal") != F.col("IDGrupoNumerico")
-    parts = (
-        F.when(~moved, F.array(_part("all", "IDGrupoFinal")))
-        .when(F.col("copies") == 1, F.array(_part("first", "IDGrupoFinal")))
-        .otherwise(F.array(_part("first", "IDGrupoFinal"), _part("copies", "IDGrupoNumerico")))
-    )
-    split = cells.withColumn("_part", F.explode(parts)).drop("IDGrupoFinal").select(
-        "*", F.col("_part.part").alias("part"), F.col("_part.number").alias("IDGrupoFinal")
-    ).drop("_part")
-    first = F.min_by(
-        F.struct("AlarmDesc", "ElementDesc"), F.struct(*INSTANT, "EndTime", "AlarmDesc")
+    splits = (F.col("IDGrupoFinal") != F.col("IDGrupoNumerico")) & (F.col("copies") > 1)
+    copies = cells.filter(splits).withColumn("IDGrupoFinal", F.col("IDGrupoNumerico"))
+    parts = cells.withColumn("part", F.when(splits, "first").otherwise("all")).unionByName(
+        copies.withColumn("part", F.lit("copies"))
     )
-    names = split.groupBy("IDGrupoFinal").agg(first.alias("name"))
-    return split.join(names, "IDGrupoFinal").withColumn("PrimeiroAlarmDesc", F.col("name.AlarmDesc")).withColumn(
-        "PrimeiroElementDesc", F.col("name.ElementDesc")
-    ).drop("name")
-
-
-def _part(name: str, number: str):
-    return F.struct(F.lit(name).alias("part"), F.col(number).alias("number"))
+    name = F.struct(F.col("AlarmDesc").alias("PrimeiroAlarmDesc"), F.col("ElementDesc").alias("PrimeiroElementDesc"))
+    first = F.min_by(name, F.struct(*INSTANT, "EndTime", "AlarmDesc"))
+    names = parts.groupBy("IDGrupoFinal").agg(first.alias("name"))
+    return parts.join(names.select("IDGrupoFinal", "name.*"), "IDGrupoFinal")
 
 
 def _attach(stops: DataFrame, cells: DataFrame) -> DataFrame:
@@ -168,25 +153,21 @@ def _attach(stops: DataFrame, cells: DataFrame) -> DataFrame:
     Stops shuffle once; a cell with very many copies is a skewed join partition,
     which adaptive execution splits on the stop side.
     """
-    is_first = F.col("s.StopId") == F.col("c.first_id")
-    belongs = (
-        (F.col("c.part") == "all")
-        | ((F.col("c.part") == "first") & is_first)
-        | ((F.col("c.part") == "copies") & ~is_first)
-    )
-    joined = stops.alias("s").join(cells.alias("c"), same_values("s", "c", CELL) & belongs)
+    is_first = F.col("l.StopId") == F.col("r.first_id")
+    part = F.col("r.part")
+    belongs = (part == "all") | ((part == "first") & is_first) | ((part == "copies") & ~is_first)
 
     def of_first(value: str, of_copies: str):
-        return F.when(is_first, F.col(f"c.{value}")).otherwise(F.col(f"c.{of_copies}"))
+        return F.when(is_first, F.col(f"r.{value}")).otherwise(F.col(f"r.{of_copies}"))
 
-    return joined.select(
-        "s.*",
+    return join_same(stops, cells, CELL, belongs).select(
+        *[F.col(f"l.{c}") for c in stops.columns],
         of_first("EndTimeAnterior", "EndTime").alias("EndTimeAnterior"),
         of_first("opens", "copies_open").alias("IniciouNovoGrupo"),
-        F.col("c.IDGrupoNumerico"),
+        "r.IDGrupoNumerico",
         of_first("Prev_ID", "IDGrupoNumerico").alias("Prev_ID"),
         of_first("Prev_EndTime", "EndTime").alias("Prev_EndTime"),
-        F.col("c.IDGrupoFinal"),
-        F.col("c.PrimeiroAlarmDesc"),
-        F.col("c.PrimeiroElementDesc"),
+        "r.IDGrupoFinal",
+        "r.PrimeiroAlarmDesc",
+        "r.PrimeiroElementDesc",
     )

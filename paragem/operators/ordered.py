@@ -7,6 +7,9 @@ found inside each bucket, and only bucket edges meet in a second, small window.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +24,13 @@ def with_previous(
     the whole key, including null keys and null values.
     """
     value = F.struct(*[F.col(c) for c in columns])
-    in_bucket = Window.partitionBy(*keys, bucket).orderBy(*order)
-    across_buckets = Window.partitionBy(*keys).orderBy(bucket, *order)
+    # Sorting compares a number first and texts only where the numbers agree.
+    hashed = df.withColumn("_hash", F.xxhash64(*keys))
+    in_bucket = Window.partitionBy("_hash", bucket, *keys).orderBy(*order)
+    across_buckets = Window.partitionBy("_hash", *keys).orderBy(bucket, *order)
 
     # A lagged struct is null only where no row precedes, even if its fields are null.
-    marked = df.withColumn("_previous", F.lag(value).over(in_bucket)).withColumn(
+    marked = hashed.withColumn("_previous", F.lag(value).over(in_bucket)).withColumn(
         "_last", F.lead(F.lit(True)).over(in_bucket).isNull()
     )
     inside = marked.filter(F.col("_previous").isNotNull())
@@ -40,10 +45,14 @@ def with_previous(
     return joined.select(*df.columns, *added)
 
 
-def same_values(left: str, right: str, columns: list[str]) -> Column:
-    """Join condition under which nulls equal each other, for two aliased sides."""
-    condition = F.lit(True)
-    for i, c in enumerate(columns):
-        test = F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-        condition = test if i == 0 else condition & test
-    return condition
+def join_same(left: DataFrame, right: DataFrame, columns: list[str], condition: Column | None = None) -> DataFrame:
+    """Inner join of ``l`` and ``r`` on equal values, nulls equal to each other.
+
+    Shuffle and sort go by one hash; the values themselves are compared afterwards.
+    """
+    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])
+    # As one conditional the comparison stays out of the shuffle keys.
+    checked = F.when(same if condition is None else same & condition, True).otherwise(False)
+    hashes = F.xxhash64(*columns).alias("_hash")
+    sides = left.select("*", hashes).alias("l"), right.select("*", hashes).alias("r")
+    return sides[0].join(sides[1], (F.col("l._hash") == F.col("r._hash")) & checked)
