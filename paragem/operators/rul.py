@@ -68,16 +68,18 @@ def rul_features(stops: DataFrame, target: str = "after_next", frame: str = "row
 
 
 def _instants(stops: DataFrame) -> DataFrame:
-    """Stops of one component and start; ``last_*`` is the last of them in stop order."""
-    order = [c for c in ("LineDesc", "StationDesc", "EndTime", "AlarmDesc", S.STOP_ID.name) if c in stops.columns]
-    known = stops.dropna(subset=["ElementDesc", "StartTime"])
-    breakdown = is_breakdown(F.col("Duration")).cast("long")
-    last = F.max_by(F.struct(F.col("Duration").alias("duration"), breakdown.alias("breakdown")), F.struct(*order))
+    """Stops of one component and start, and the length of the last of them.
+
+    The last is that of the highest ``StopId``, or of the remaining columns without one.
+    """
+    ids = S.STOP_ID.name in stops.columns
+    order = F.col(S.STOP_ID.name) if ids else F.struct("LineDesc", "StationDesc", "EndTime", "AlarmDesc", "Duration")
+    known = stops.filter(F.col("ElementDesc").isNotNull() & F.col("StartTime").isNotNull())
     per_instant = known.groupBy("ElementDesc", "StartTime").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(breakdown).alias("b"),
+        F.count_if(is_breakdown(F.col("Duration"))).alias("b"),
         F.coalesce(F.sum("Duration"), F.lit(0)).alias("seconds"),
-        last.alias("last"),
+        F.max_by("Duration", order).alias("last"),
     )
     return per_instant.select(
         "ElementDesc",
@@ -86,8 +88,8 @@ def _instants(stops: DataFrame) -> DataFrame:
         "n",
         "b",
         "seconds",
-        F.coalesce("last.duration", F.lit(0)).alias("last_seconds"),
-        F.col("last.breakdown").alias("last_breakdown"),
+        F.coalesce("last", F.lit(0)).alias("last_seconds"),
+        is_breakdown(F.col("last")).cast("long").alias("last_breakdown"),
     )
 
 

@@ -54,6 +54,18 @@ def grouped_stops(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.group_stops(filters.extract_failures(plant.stops(spark, sf), SINCE))
 
 
+@lru_cache(maxsize=8)
+def _stored_groups_path(spark: SparkSession, sf: str) -> str:
+    path = new_shared_path(spark, "grouped-stops")
+    tables.write_stops(grouped_stops(spark, sf), path)
+    return path
+
+
+def stored_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Grouped stops, stored on first use of a session and table folder."""
+    return tables.read_stops(spark, _stored_groups_path(spark, sf))
+
+
 # --- Reliability ---------------------------------------------------------------
 
 WEEK_LABEL = "'WK-' || CAST(SemanaNum AS VARCHAR)"
@@ -95,7 +107,7 @@ add(
 )
 add(
     "kpi_by_first_alarm",
-    lambda spark, sf: kpis.reliability_kpis(grouped_stops(spark, sf), "PrimeiroAlarmDesc"),
+    lambda spark, sf: kpis.reliability_kpis(stored_groups(spark, sf), "PrimeiroAlarmDesc"),
     O.with_tables(
         O.STOPS, O.GROUPED, body=O.kpis("PrimeiroAlarmDesc", "PrimeiroAlarmDesc", "grouped") + " SELECT * FROM kpi"
     ),
@@ -135,7 +147,7 @@ add(
 )
 add(
     "top3_alarms_by_count",
-    lambda spark, sf: kpis.top_alarms_by_count(grouped_stops(spark, sf)),
+    lambda spark, sf: kpis.top_alarms_by_count(stored_groups(spark, sf)),
     O.with_tables(
         O.STOPS,
         O.GROUPED,
@@ -147,7 +159,7 @@ add(
 )
 add(
     "top3_alarms_by_mttr",
-    lambda spark, sf: kpis.top_alarms_by_mttr(grouped_stops(spark, sf)),
+    lambda spark, sf: kpis.top_alarms_by_mttr(stored_groups(spark, sf)),
     O.with_tables(
         O.STOPS,
         O.GROUPED,
@@ -403,7 +415,7 @@ SELECTED = """chosen AS (SELECT * FROM grouped WHERE EffectiveDay BETWEEN DATE '
 def dashboard_components(spark: SparkSession, sf: str) -> DataFrame:
     """One table of a whole page: grouped, filtered, condensed, then aggregated."""
     page = Dashboard.select(
-        STOPS_SPEC, grouped_stops(spark, sf), plant.production(spark, sf), plant.calendar(spark, sf)
+        STOPS_SPEC, stored_groups(spark, sf), plant.production(spark, sf), plant.calendar(spark, sf)
     )
     return page.reliability()["mttr_por_componente"]
 

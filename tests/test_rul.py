@@ -18,7 +18,7 @@ def brute_force(rows):
             by_component[r["ElementDesc"]].append(r)
     days = {}
     for component, items in by_component.items():
-        items.sort(key=lambda r: tuple((r[c] is not None, r[c] or 0) for c in ("StartTime", "LineDesc", "StationDesc", "EndTime", "AlarmDesc", "StopId")))
+        items.sort(key=lambda r: (r["StartTime"], r["StopId"]))
         broken = [r for r in items if (r["Duration"] or 0) >= 600]
         following = [(r["StartTime"], n["StartTime"] if n else None) for r, n in zip(broken, broken[1:] + [None])]
         merged = []
@@ -120,3 +120,14 @@ def test_latest_row(spark):
 def test_unknown_option(spark):
     with pytest.raises(ValueError):
         rul.component_days(stops(spark, {}), target="previous")
+
+
+def test_plan_reads_four_columns_and_hashes(spark):
+    from paragem.session import stage
+
+    df = rul.rul_features(stage(stops(spark, {}, {}), "test-stops"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Python" not in plan and "SinglePartition" not in plan
+    assert "PushedFilters: [IsNotNull(ElementDesc), IsNotNull(StartTime)]" in plan
+    assert "ReadSchema: struct<StopId:bigint,ElementDesc:string,Duration:bigint,StartTime:timestamp_ntz>" in plan
+    assert plan.count("Exchange hashpartitioning") == 3
