@@ -54,9 +54,12 @@ def merged_rows(training: DataFrame, shares: int = SHARES) -> DataFrame:
     as good as it would over single stops, and small combinations are hardly merged.
     """
     share = F.pmod(F.xxhash64(F.lit("share"), S.STOP_ID.name), F.lit(shares)).alias("share")
+    keys = [*FEATURES, "Target", "share"]
     merged = training.groupBy(*FEATURES, "Target", share).agg(F.count(F.lit(1)).alias("stops"))
-    # A forest draws by row position; sorting makes the draw repeatable.
-    return merged.sortWithinPartitions(*FEATURES, "Target", "share").drop("share")
+    # Fitting costs much per row, so even few rows are spread over all cores. A forest
+    # draws by row position; a fixed placement and order make the draw repeatable.
+    cores = training.sparkSession.sparkContext.defaultParallelism
+    return merged.repartition(cores, *keys).sortWithinPartitions(*keys).drop("share")
 
 
 def train(
