@@ -7,7 +7,8 @@ costs one row. The rules, in the order they apply:
 1. a stop opens a group unless the same alarm of the same machine ended at most five
    minute boundaries before;
 2. a group's number is the count of openings so far over the whole plant, stops of
-   one machine at one instant sharing it (``per_alarm`` counts per machine and alarm);
+   one machine at one instant sharing it. With ``numbering="alarm"`` it is instead the
+   ``StopId`` that opened the group of the machine and alarm, so machines never mix;
 3. a safety-gate alarm within five minutes of its machine's previous stop takes the
    number that stop had by rule 2;
 4. each group is named after the alarm and element of its first stop.
@@ -27,7 +28,8 @@ from paragem.operators.ordered import join_same, with_previous
 from paragem.session import stage
 
 MACHINE = ["LineDesc", "StationDesc", "ElementDesc"]
-CELL = [*MACHINE, "AlarmDesc", "StartTime", "EndTime"]
+ALARM = [*MACHINE, "AlarmDesc"]
+CELL = [*ALARM, "StartTime", "EndTime"]
 INSTANT = ["StartTime", *MACHINE]
 
 # Days and minutes of a missing start, before any real one.
@@ -42,14 +44,16 @@ def with_stop_ids(stops: DataFrame) -> DataFrame:
     return stage(stops.withColumn(S.STOP_ID.name, F.monotonically_increasing_id()), "stop-ids")
 
 
-def group_stops(failures: DataFrame) -> DataFrame:
+def group_stops(failures: DataFrame, numbering: str = "plant") -> DataFrame:
     """Add the eight grouping columns to extracted failures.
 
     Intermediate cell tables are written to the shared folder on call, see ``stage``.
     """
+    if numbering not in NUMBERINGS:
+        raise ValueError(f"numbering must be one of {tuple(NUMBERINGS)}")
     stops = with_stop_ids(failures)
     cells = stage(mark_openings(_cells(stops)), "stop-openings")
-    cells = stage(reassign_gate_alarms(number_groups(cells)), "stop-groups")
+    cells = stage(reassign_gate_alarms(NUMBERINGS[numbering](cells)), "stop-groups")
     return _attach(stops, name_groups(cells))
 
 
@@ -67,7 +71,7 @@ def mark_openings(cells: DataFrame) -> DataFrame:
     ``opens`` belongs to the cell's first stop; its copies follow a stop with the
     cell's own end, giving ``copies_open``. ``openings`` is the cell's total.
     """
-    cells = with_previous(cells, [*MACHINE, "AlarmDesc"], "day", ["StartTime", "EndTime"], {"EndTime": "EndTimeAnterior"})
+    cells = with_previous(cells, ALARM, "day", ["StartTime", "EndTime"], {"EndTime": "EndTimeAnterior"})
     marked = cells.withColumn("opens", _opens("EndTimeAnterior")).withColumn("copies_open", _opens("EndTime"))
     return marked.withColumn("openings", F.col("opens") + (F.col("copies") - 1) * F.col("copies_open"))
 
@@ -110,6 +114,34 @@ def number_groups(cells: DataFrame) -> DataFrame:
     return join_same(cells, numbers, INSTANT).select(*[F.col(f"l.{c}") for c in cells.columns], "r.IDGrupoNumerico")
 
 
+def number_groups_by_alarm(cells: DataFrame) -> DataFrame:
+    """Rule 2 per machine and alarm: the id of the latest opening stop.
+
+    Openings are looked up inside a day; what a day inherits is looked up over the
+    days of the alarm.
+    """
+    opening = F.when(F.col("opens") == 1, F.col("first_id"))
+    in_day = (
+        Window.partitionBy("_hash", "day", *ALARM)
+        .orderBy("StartTime", "EndTime")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    earlier_days = Window.partitionBy(*ALARM).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    opened_at = F.when(F.col("opens") == 1, F.struct("StartTime", "EndTime"))
+    days = cells.groupBy(*ALARM, "day").agg(F.max_by("first_id", opened_at).alias("opened"))
+    inherited = days.select(*ALARM, "day", F.last("opened", ignorenulls=True).over(earlier_days).alias("inherited"))
+    found = (
+        cells.withColumn("_hash", F.xxhash64(*ALARM))
+        .withColumn("opened", F.last(opening, ignorenulls=True).over(in_day))
+        .drop("_hash")
+    )
+    number = F.coalesce("l.opened", "r.inherited").alias("IDGrupoNumerico")
+    return join_same(found, inherited, [*ALARM, "day"]).select(*[F.col(f"l.{c}") for c in cells.columns], number)
+
+
+NUMBERINGS = {"plant": number_groups, "alarm": number_groups_by_alarm}
+
+
 def reassign_gate_alarms(cells: DataFrame) -> DataFrame:
     """Rule 3: previous number and end of the machine, and the cell's final number.
 

@@ -424,6 +424,11 @@ def dashboard_components(spark: SparkSession, sf: str) -> DataFrame:
 
 add("stop_groups", grouped_stops, O.with_tables(O.STOPS, O.GROUPED, body=" SELECT * FROM grouped"))
 
+add(
+    "stop_groups_by_alarm",
+    lambda spark, sf: grouping.group_stops(filters.extract_failures(plant.stops(spark, sf), SINCE), "alarm"),
+    O.with_tables(O.STOPS, O.GROUPED_BY_ALARM, body=" SELECT * FROM grouped"),
+)
 add(
     "component_days",
     over_stops(lambda df: rul.component_days(df).drop("day_number")),

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 
+import pytest
 from rows import at, stops
 
 from paragem.operators import grouping
@@ -27,27 +28,32 @@ def crossed(a, b):
     return (b - floor) // minute - (a - floor) // minute
 
 
-def brute_force(rows):
+def brute_force(rows, numbering="plant"):
     """The rules applied to one row after the other, all in memory."""
     rows = [dict(r) for r in rows]
 
     def order(*names):
         return lambda r: tuple(low(r[n]) for n in names)
 
-    last = {}
+    last, cell, opened = {}, {}, {}
     for r in sorted(rows, key=order("StartTime", "EndTime", "StopId")):
         key = tuple(r[c] for c in ("LineDesc", "StationDesc", "ElementDesc", "AlarmDesc"))
         end = last[key]["EndTime"] if key in last else None
         gap = crossed(end, r["StartTime"]) if end and r["StartTime"] else 0
         r["EndTimeAnterior"], r["IniciouNovoGrupo"] = end, int(end is None or gap > 5)
         last[key] = r
+        if cell.get(key) != (r["StartTime"], r["EndTime"]):
+            cell[key] = r["StartTime"], r["EndTime"]
+            if r["IniciouNovoGrupo"]:
+                opened[key] = r["StopId"]
+        r["opened"] = opened[key]
     peers = ("StartTime", "LineDesc", "StationDesc", "ElementDesc")
     total, totals = 0, {}
     for r in sorted(rows, key=order(*peers)):
         total += r["IniciouNovoGrupo"]
         totals[tuple(r[c] for c in peers)] = total
     for r in rows:
-        r["IDGrupoNumerico"] = totals[tuple(r[c] for c in peers)]
+        r["IDGrupoNumerico"] = totals[tuple(r[c] for c in peers)] if numbering == "plant" else r["opened"]
     last = {}
     for r in sorted(rows, key=order("StartTime", "EndTime", "AlarmDesc", "StopId")):
         key = tuple(r[c] for c in peers[1:])
@@ -66,10 +72,10 @@ def brute_force(rows):
     return {r["StopId"]: [r[c] for c in OUT] for r in rows}
 
 
-def check(spark, *rows):
+def check(spark, *rows, numbering="plant"):
     df = stops(spark, *rows)
-    got = {r["StopId"]: [r[c] for c in OUT] for r in group_stops(df).collect()}
-    assert got == brute_force([r.asDict() for r in df.collect()])
+    got = {r["StopId"]: [r[c] for c in OUT] for r in group_stops(df, numbering).collect()}
+    assert got == brute_force([r.asDict() for r in df.collect()], numbering)
     return got
 
 
@@ -112,7 +118,8 @@ def test_previous_stop_on_an_earlier_day(spark):
     assert got[2][0] == at("2025-03-04T00:02:00")
 
 
-def test_many_ties_copies_and_blanks(spark):
+@pytest.mark.parametrize("numbering", ["plant", "alarm"])
+def test_many_ties_copies_and_blanks(spark, numbering):
     rng = random.Random(7)
     base = at("2025-03-03T23:50:00")
     rows = []
@@ -129,7 +136,7 @@ def test_many_ties_copies_and_blanks(spark):
                 "EffectiveDay": start.date(),
             }
         )
-    check(spark, *rows)
+    check(spark, *rows, numbering=numbering)
 
 
 def test_a_third_of_all_stops_are_copies(spark):
