@@ -84,11 +84,13 @@ def with_stop_in_go(df: DataFrame, mode: str = S.STOP_IN_GO_NONE) -> DataFrame:
     """
     if mode == S.ALL_ROWS:
         return df
-    filled = df.na.fill("", STOP_IN_GO_COLUMNS)
-    if mode not in (S.STOP_IN_GO_ONLY, S.STOP_IN_GO_NONE):
-        return filled
-    hit = reduce(or_, [stop_in_go_rule(*rule) for rule in S.STOP_IN_GO_RULES])
-    return filled.filter(hit if mode == S.STOP_IN_GO_ONLY else ~hit)
+    # Missing texts match no rule, like the empty ones that replace them.
+    hit = F.coalesce(reduce(or_, [stop_in_go_rule(*rule) for rule in S.STOP_IN_GO_RULES]), F.lit(False))
+    if mode == S.STOP_IN_GO_ONLY:
+        df = df.filter(hit)
+    elif mode == S.STOP_IN_GO_NONE:
+        df = df.filter(~hit)
+    return df.na.fill("", STOP_IN_GO_COLUMNS)
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ def spark():
             "spark.master": "local[8]",
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.maxMetadataStringLength": "1000",
             "spark.driver.memory": "8g",
         },
     )

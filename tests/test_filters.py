@@ -65,3 +65,22 @@ def test_extraction(spark):
         {"LineGroupDesc": "SUBASSEMBLY", "StartTime": "2025-01-01T00:00:00"},
     )
     assert ids(filters.extract_failures(df)) == [0, 4]
+
+
+def test_extraction_reaches_the_scan(spark):
+    from paragem.session import stage
+
+    df = filters.extract_failures(stage(stops(spark, {}), "test-scan")).select("StopId")
+    (scan,) = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x]
+    pushed = scan[scan.index("PushedFilters") : scan.index("ReadSchema")]
+    for part in ("In(LineGroupDesc", "GreaterThanOrEqual(EffectiveDay", "EqualTo(StatusDesc"):
+        assert part in pushed
+    assert scan.endswith("struct<StopId:bigint,LineGroupDesc:string,StatusDesc:string,EffectiveDay:date>")
+
+
+def test_calendar_does_not_shuffle_stops(spark):
+    calendar = spark.sql("SELECT date'2025-03-03' AS Data, 'Produtivo' AS Tipo")
+    df = filters.with_day_type(stops(spark, {}), "EffectiveDay", calendar, "Produtivo")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "Exchange hashpartitioning" not in plan
+    assert df.count() == 1
