@@ -47,7 +47,8 @@ def with_stop_ids(stops: DataFrame) -> DataFrame:
 def group_stops(failures: DataFrame, numbering: str = "plant") -> DataFrame:
     """Add the eight grouping columns to extracted failures.
 
-    Intermediate cell tables are written to the shared folder on call, see ``stage``.
+    A ``StopId`` names one stop: rows that repeat one, with the same times and alarm,
+    are that stop again and get its values. Intermediate cell tables are written to the shared folder on call, see ``stage``.
     """
     if numbering not in NUMBERINGS:
         raise ValueError(f"numbering must be one of {tuple(NUMBERINGS)}")
