@@ -80,14 +80,21 @@ def train(
         inputCols=FEATURES, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"
     ).fit(merged)
     # A tree needs a bin per category, the one for unseen categories included.
-    bins = max(32, 1 + max(len(labels) for labels in indexer.labelsArray))
+    categories = 1 + max(len(labels) for labels in indexer.labelsArray)
+    # MLlib asks for at least as many rows as categories; where nearly every stop is of
+    # another component, each row counts as several of less weight.
+    parts = -(-categories // max(1, merged.count()))
+    if parts > 1:
+        merged = merged.withColumn("weight", F.col("weight") / parts).withColumn(
+            "part", F.explode(F.sequence(F.lit(1), F.lit(parts)))
+        )
     assembler = VectorAssembler(inputCols=indexed, outputCol="features")
     forest = RandomForestClassifier(
         labelCol="Target",
         weightCol="weight",
         numTrees=trees,
         maxDepth=depth,
-        maxBins=bins,
+        maxBins=max(32, categories),
         featureSubsetStrategy="sqrt",
         seed=seed,
         cacheNodeIds=True,

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from rows import at, stops
 
 from paragem.operators import grouping
@@ -144,6 +145,13 @@ def test_a_third_of_all_stops_are_copies(spark):
     check(spark, *rows, *[{"AlarmDesc": GATE, "StartTime": "2025-03-03T10:20:30"}] * 100)
 
 
+def test_repeated_ids_are_one_stop(spark):
+    df = stops(spark, {}, {"StartTime": "2025-03-03T10:02:00", "AlarmDesc": GATE})
+    many = df.union(df).union(df)
+    got = group_stops(many).groupBy("StopId").agg(F.count("*").alias("n"), F.collect_set("IDGrupoFinal").alias("ids"))
+    assert sorted((r.StopId, r.n, r.ids) for r in got.collect()) == [(0, 3, [1]), (1, 3, [1])]
+
+
 def test_stops_without_ids(spark):
     df = stops(spark, {}, {"StartTime": "2025-03-03T10:01:30"}, {}).drop("StopId")
     out = group_stops(df)

@@ -56,6 +56,13 @@ def test_scores_survive_saving_and_new_categories(spark, plant, fitted):
     assert want[0].ElementDesc == "E0"
 
 
+def test_every_stop_of_another_component(spark):
+    rows = [{"ElementDesc": f"E{i}", "Duration": 900 * (i % 2)} for i in range(40)]
+    df = stops(spark, *rows)
+    scored = risk.score_components(risk.train(df, trees=2, depth=2).model, df)
+    assert scored.count() == 40
+
+
 def test_missing_model(spark):
     with pytest.raises(ModelNotFound):
         load_model(new_shared_path(spark, "no-model"))
