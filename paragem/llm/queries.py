@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paragem.llm import exact_dedup, language, mixing, packing, simhash
+from paragem.llm import exact_dedup, language, mixing, packing, simhash, substring_dedup
 from paragem.llm.tables import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     """Name, callable and SQL (None where SQL cannot state the result)."""
     return {
         "op1_language_id": (op1_language_id, None),
+        "op3_substring_dedup": (op3_substring_dedup, None),
         "op7_best_fit_packing": (op7_best_fit_packing, None),
         "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
         "op9_source_mixing": (op9_source_mixing, None),
