@@ -71,17 +71,20 @@ def columns(strings: list[bytes], left: np.ndarray, group: np.ndarray) -> Iterat
         yield Column(at, order, transform, shared)
 
 
-def repeated_starts(strings: list[bytes], left: np.ndarray, group: np.ndarray, span: int) -> list[np.ndarray]:
-    """For each string the starts, in order, of its ``span`` symbols that another string has in the same columns."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+def repeated_runs(
+    strings: list[bytes], left: np.ndarray, group: np.ndarray, span: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, first start, last start) of each run of starts whose ``span`` symbols another string has in its columns."""
+    ends = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))
+    begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    hit = np.zeros(int(ends[-1]) + 2 if len(strings) else 2, bool)  # one place per symbol, framed
     for column in columns(strings, left, group):
         long = column.shared >= span
         if long.any():
-            hit = long.copy()
-            hit[:-1] |= long[1:]
-            own = column.order[hit]
-            found.append((own, column.at + left[own]))
-    own, start = (np.concatenate(x) for x in zip(*found, strict=True))
-    by = np.lexsort((start, own))
-    ends = np.searchsorted(own[by], np.arange(len(strings) + 1))
-    return [start[by][ends[k] : ends[k + 1]] for k in range(len(strings))]
+            long[:-1] |= long[1:]
+            own = column.order[long]
+            hit[begin[own] + left[own] + column.at + 1] = True
+    # a start is followed by the rest of its string, so no run goes on into the next
+    first, last = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:]) - 1
+    own = np.searchsorted(ends, first, side="right")
+    return own, first - begin[own], last - begin[own]

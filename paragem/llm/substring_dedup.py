@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragem.llm.column_bwt import repeated_starts
+from paragem.llm.column_bwt import repeated_runs
 from paragem.session import stage
 
 SPAN, GRAM = 400, 100
@@ -33,7 +33,7 @@ FREQUENT, STEP = 1024, 64
 #: Starts of a text looked at together.
 SEGMENT = 1 << 19
 #: Texts whose fragments are handed on together; fragments in a collection.
-TEXTS, COLLECTION = 64, 4096
+TEXTS, COLLECTION = 64, 2048
 
 WRAP = 0xFFFFFFFFFFFFFFFF
 BASE = 0x9E3779B97F4A7C15
@@ -154,18 +154,19 @@ def repeated_in_fragments(distinct: DataFrame, span: int) -> DataFrame:
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         group = pd.factorize(rows["meet"])[0]
-        starts = repeated_starts(list(rows["bytes"]), rows["left"].to_numpy(np.int64), group, span)
-        out = []
-        for id_a, id_b, n, size, own in zip(
-            rows["id_a"], rows["id_b"], rows["n"], rows["bytes"].map(len), starts, strict=True
-        ):
-            if n > 1:
-                out.append((id_a, id_b, 0, size - span))
-            elif len(own):
-                cuts = np.flatnonzero(np.diff(own) > 1)
-                first, last = own[np.append(0, cuts + 1)], own[np.append(cuts, len(own) - 1)]
-                out += [(id_a, id_b, int(i), int(j)) for i, j in zip(first, last, strict=True)]
-        return pd.DataFrame(out, columns=["id_a", "id_b", "first", "last"])
+        own, first, last = repeated_runs(list(rows["bytes"]), rows["left"].to_numpy(np.int64), group, span)
+        several = rows["n"].to_numpy() > 1
+        alone = ~several[own]
+        sizes = rows["bytes"].map(len).to_numpy()
+        own = np.concatenate((own[alone], np.flatnonzero(several)))
+        return pd.DataFrame(
+            {
+                "id_a": rows["id_a"].to_numpy()[own],
+                "id_b": rows["id_b"].to_numpy()[own],
+                "first": np.concatenate((first[alone], np.zeros(several.sum(), np.int64))),
+                "last": np.concatenate((last[alone], sizes[several] - span)),
+            }
+        )
 
     def collections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from paragem.llm import substring_dedup as S
-from paragem.llm.column_bwt import columns, repeated_starts
+from paragem.llm.column_bwt import columns, repeated_runs
 
 
 def brute(texts: list[str | None], span: int) -> list[tuple[int, int, int, str]]:
@@ -59,9 +59,9 @@ def test_columns_sort_and_share_like_the_suffixes():
         before = dict.fromkeys(column.order)
 
 
-def test_repeated_starts_need_the_same_columns():
-    starts = repeated_starts([b"xabcdef", b"abcdeg", b"zzz"], np.array([1, 0, 0]), np.array([0, 0, 0]), 4)
-    assert [s.tolist() for s in starts] == [[1, 2], [0, 1], []]
+def test_repeated_runs_need_the_same_columns():
+    own, first, last = repeated_runs([b"xabcdef", b"abcdeg", b"zzz"], np.array([1, 0, 0]), np.array([0, 0, 0]), 4)
+    assert list(zip(own, first, last, strict=True)) == [(0, 1, 2), (1, 0, 1)]
 
 
 @pytest.mark.parametrize("frequent", [3, 1000])
