@@ -6,21 +6,50 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from paragem.llm import exact_dedup, language, mixing, packing, simhash, substring_dedup
+from pyspark.sql import functions as F
+
+from paragem.llm import (
+    exact_dedup,
+    language,
+    license_scan,
+    mixing,
+    packing,
+    simhash,
+    substring_dedup,
+    toxicity,
+    unigram,
+    vector_search,
+)
 from paragem.llm.tables import LOWER, UPPER, read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of(read(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(read(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(read(spark, sf_dir, "documents"), PIECES)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -49,7 +78,11 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
     """Name, callable and SQL (None where SQL cannot state the result)."""
     return {
         "op1_language_id": (op1_language_id, None),
+        "op2_nearest_neighbours": (op2_nearest_neighbours, None),
         "op3_substring_dedup": (op3_substring_dedup, None),
+        "op4_token_counts": (op4_token_counts, None),
+        "op5_license_scan": (op5_license_scan, license_scan.scan_sql()),
+        "op6_toxicity": (op6_toxicity, None),
         "op7_best_fit_packing": (op7_best_fit_packing, None),
         "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
         "op9_source_mixing": (op9_source_mixing, None),
