@@ -38,30 +38,59 @@ NO_MINUTE = -(2**62)
 
 
 def with_stop_ids(stops: DataFrame) -> DataFrame:
-    """Stops with a ``StopId``; missing ids are numbered and stored so they stay put."""
-    if S.STOP_ID.name in stops.columns:
-        return stops
-    return stage(stops.withColumn(S.STOP_ID.name, F.monotonically_increasing_id()), "stop-ids")
+    """Stops with a ``StopId``; a missing one is the hash of the row and of its number among equal rows."""
+    return told_apart(stops)[0].select(*stops.columns, *([] if _has_ids(stops) else [S.STOP_ID.name]))
+
+
+def _has_ids(stops: DataFrame) -> bool:
+    return S.STOP_ID.name in stops.columns
+
+
+def told_apart(stops: DataFrame) -> tuple[DataFrame, str]:
+    """Stops with every ``StopId`` filled, and the column that orders stops of one cell.
+
+    That is the ``StopId`` where all are given. Stops without one come first, by all
+    remaining columns; equal rows are numbered by counting them, so that very many
+    of them need no window. Looks for a missing id on call.
+    """
+    has_ids = _has_ids(stops)
+    if has_ids and stops.filter(F.col("StopId").isNull()).isEmpty():
+        return stops, "StopId"
+    if not has_ids:
+        stops = stops.withColumn("StopId", F.lit(None).cast("long"))
+    nameless = stops.filter(F.col("StopId").isNull()).groupBy(*stops.columns).agg(F.count(F.lit(1)).alias("_number"))
+    nameless = nameless.withColumn("_number", F.explode(F.sequence(F.lit(1), F.col("_number"))))
+    rest = F.struct(*[c for c in stops.columns if c not in (*CELL, "StopId")], "_number")
+    named = stops.filter(F.col("StopId").isNotNull()).withColumn("_number", F.lit(0).cast("long"))
+    numbered = named.unionByName(nameless)
+    place = F.struct("StopId", F.when(F.col("StopId").isNull(), rest).alias("rest"))
+    filled = F.coalesce("StopId", F.xxhash64(*[c for c in stops.columns if c != "StopId"], "_number"))
+    return numbered.withColumn("_place", place).withColumn("StopId", filled).drop("_number"), "_place"
 
 
 def group_stops(failures: DataFrame, numbering: str = "plant") -> DataFrame:
     """Add the eight grouping columns to extracted failures.
 
     A ``StopId`` names one stop: rows that repeat one, with the same times and alarm,
-    are that stop again and get its values. Intermediate cell tables are written to the shared folder on call, see ``stage``.
+    are that stop again and get its values. Stops without one are all different; they
+    get an id, see ``with_stop_ids``. Intermediate cell tables are written to the shared
+    folder on call, see ``stage``.
     """
     if numbering not in NUMBERINGS:
         raise ValueError(f"numbering must be one of {tuple(NUMBERINGS)}")
-    stops = with_stop_ids(failures)
-    cells = stage(mark_openings(_cells(stops)), "stop-openings")
+    stops, place = told_apart(failures)
+    cells = stage(mark_openings(_cells(stops, place)), "stop-openings")
     cells = stage(reassign_gate_alarms(NUMBERINGS[numbering](cells)), "stop-groups")
-    return _attach(stops, name_groups(cells))
+    return _attach(stops, name_groups(cells), place)
 
 
-def _cells(stops: DataFrame) -> DataFrame:
+def _cells(stops: DataFrame, place: str = "StopId") -> DataFrame:
+    first = [F.min("StopId").alias("first_id")]
+    if place != "StopId":
+        first = [F.min_by("StopId", place).alias("first_id"), F.min(place).alias("first_place")]
     return (
         stops.groupBy(*CELL)
-        .agg(F.count(F.lit(1)).alias("copies"), F.min("StopId").alias("first_id"))
+        .agg(F.count(F.lit(1)).alias("copies"), *first)
         .withColumn("day", F.coalesce(time.day_number(F.col("StartTime")), F.lit(NO_DAY)))
     )
 
@@ -180,13 +209,13 @@ def name_groups(cells: DataFrame) -> DataFrame:
     return parts.join(names.select("IDGrupoFinal", "name.*"), "IDGrupoFinal")
 
 
-def _attach(stops: DataFrame, cells: DataFrame) -> DataFrame:
+def _attach(stops: DataFrame, cells: DataFrame, place: str) -> DataFrame:
     """Give every stop the values of its cell.
 
     Stops shuffle once; a cell with very many copies is a skewed join partition,
     which adaptive execution splits on the stop side.
     """
-    is_first = F.col("l.StopId") == F.col("r.first_id")
+    is_first = F.col(f"l.{place}").eqNullSafe(F.col("r.first_id" if place == "StopId" else "r.first_place"))
     part = F.col("r.part")
     belongs = (part == "all") | ((part == "first") & is_first) | ((part == "copies") & ~is_first)
 
@@ -194,7 +223,7 @@ def _attach(stops: DataFrame, cells: DataFrame) -> DataFrame:
         return F.when(is_first, F.col(f"r.{value}")).otherwise(F.col(f"r.{of_copies}"))
 
     return join_same(stops, cells, CELL, belongs).select(
-        *[F.col(f"l.{c}") for c in stops.columns],
+        *[F.col(f"l.{c}") for c in stops.columns if c != "_place"],
         of_first("EndTimeAnterior", "EndTime").alias("EndTimeAnterior"),
         of_first("opens", "copies_open").alias("IniciouNovoGrupo"),
         "r.IDGrupoNumerico",

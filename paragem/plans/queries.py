@@ -424,6 +424,13 @@ def dashboard_components(spark: SparkSession, sf: str) -> DataFrame:
 
 add("stop_groups", grouped_stops, O.with_tables(O.STOPS, O.GROUPED, body=" SELECT * FROM grouped"))
 
+add(
+    "stop_groups_without_id",
+    lambda spark, sf: grouping.group_stops(
+        filters.extract_failures(plant.stops(spark, sf).drop("StopId"), SINCE)
+    ).drop("StopId"),
+    O.with_tables(O.STOPS, O.GROUPED_WITHOUT_ID, body=" SELECT * EXCLUDE (StopId) FROM grouped"),
+)
 add(
     "stop_groups_by_alarm",
     lambda spark, sf: grouping.group_stops(filters.extract_failures(plant.stops(spark, sf), SINCE), "alarm"),

@@ -155,10 +155,41 @@ def test_repeated_ids_are_one_stop(spark):
 def test_stops_without_ids(spark):
     df = stops(spark, {}, {"StartTime": "2025-03-03T10:01:30"}, {}).drop("StopId")
     out = group_stops(df)
-    assert "StopId" in out.columns
+    assert out.select("StopId").distinct().count() == 3
     assert sorted(r.IniciouNovoGrupo for r in out.collect()) == [0, 0, 1]
 
 
+@pytest.mark.parametrize("given", [0, 3])
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_missing_ids_lose_no_stop(spark, given, partitions):
+    """Stops without an id come before those with one, by the remaining columns (here the duration)."""
+    rng = random.Random(given)
+    rows = [
+        {
+            "Duration": k,
+            "StopId": k if k % 5 < given else None,
+            "AlarmDesc": rng.choice(["A", GATE]),
+            "StartTime": f"2025-03-03T10:{rng.choice([0, 2, 9, 20]):02d}:00",
+            "EndTime": f"2025-03-03T10:{rng.choice([21, 22])}:30",
+        }
+        for k in range(60)
+    ]
+    df = stops(spark, *rows)
+    got = {r["Duration"]: [r[c] for c in OUT] for r in group_stops(df.repartition(partitions)).collect()}
+    ranked = [r.asDict() for r in df.collect()]
+    for r in ranked:
+        r["StopId"] = r["Duration"] - (0 if r["StopId"] is not None else 1000)
+    want = brute_force(ranked)
+    assert got == {k % 1000: v for k, v in want.items()}
+
+
+def test_equal_stops_without_ids_open_once(spark):
+    df = stops(spark, *[{}] * 7, {"AlarmDesc": GATE, "StartTime": "2025-03-03T10:02:00"}).drop("StopId")
+    out = group_stops(df).collect()
+    assert len(out) == 8 and sum(r.IniciouNovoGrupo for r in out) == 2
+    assert len({r.StopId for r in out}) == 8
+
+
 def test_only_day_sums_meet_in_one_task(spark):
     df = stops(spark, {}, {"StartTime": "2025-03-04T10:01:30"})
     numbered = grouping.number_groups(grouping.mark_openings(grouping._cells(df)))
