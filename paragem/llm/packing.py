@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             for at in range(0, len(batch), TEXTS):
                 part, rows = batch.iloc[at : at + TEXTS], []
                 for doc_id, ids in zip(part["doc_id"], encode([t or "" for t in part["text"]]), strict=True):
-                    all_ids = np.array([*ids, end], dtype="<u4")
+                    all_ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for k, (start, length) in enumerate(cuts(len(all_ids), capacity)):
                         own = all_ids[start : start + length]
                         row = (None if pd.isna(doc_id) else int(doc_id), k, start, length, zlib.crc32(own.tobytes()))
