@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragem.llm.tables import LOWER_BYTES, is_held_out
+from paragem.llm.tables import LOWER_BYTES, is_held_out, lowest
 
 LONGEST = 4
 #: Slots for hashed n-grams; texts per batch of products.
@@ -77,8 +77,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     fit = docs.filter(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     fit = fit.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
     marked = fit.select("lang", F.xxhash64("doc_id", F.octet_length("text")).alias("h"), "text")
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = marked.select("lang", "h").distinct().withColumn("rank", order).filter(F.col("rank") <= sample)
+    picked = lowest(marked.select("lang", "h").distinct(), "lang", "h", sample)
     return marked.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
 
 

@@ -251,7 +251,8 @@ def repeated_spans(
     single = spans.join(copies.filter("copies = 1"), "key", "left_semi")
     cleaned = texts.join(single, "key").select("key", "text", "spans")
     cleaned = cleaned.mapInPandas(remove, "key binary, n_removed long, n_spans long, kept_sha256 string")
-    found = copies.join(cleaned, "key", "left")
+    # stored, so that the join with all rows may split the rows of a frequent text
+    found = stage(copies.join(cleaned, "key", "left"), "removed")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return marks.join(found, "key").select(

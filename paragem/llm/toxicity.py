@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragem.llm.tables import LOWER_BYTES, is_held_out
+from paragem.llm.tables import LOWER_BYTES, is_held_out, lowest
 
 GRADES = 4
 #: Slots for hashed features; lengths of word beginnings that are features beside the word.
@@ -62,10 +62,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     own = labels.filter(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id")))
     own = own.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
     short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select(F.col("doc_id").alias("labelled"))
-    order = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("labelled"), "labelled"))
-    picked = own.join(short.distinct(), "labelled").withColumn("rank", order).filter(F.col("rank") <= sample)
+    known = own.join(short.distinct(), "labelled").withColumn("h", F.xxhash64("labelled"))
+    picked = lowest(known, "toxic", "h", sample).drop("h")
     texts = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select(F.col("doc_id").alias("labelled"), "text")
-    return texts.join(picked.drop("rank"), "labelled").groupBy("labelled", "toxic").agg(F.min("text").alias("text"))
+    return texts.join(picked, "labelled").groupBy("labelled", "toxic").agg(F.min("text").alias("text"))
 
 
 def ordinal_fit(
