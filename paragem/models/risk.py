@@ -24,6 +24,8 @@ MISSING = "N/A"
 RISK = "Probabilidade de Breakdown"
 DEFAULT_SHIFT = 1
 SHARES = 1024
+#: Partitions that the merged training rows are dealt to.
+PARTITIONS = 64
 
 
 def as_features(df: DataFrame) -> DataFrame:
@@ -56,10 +58,9 @@ def merged_rows(training: DataFrame, shares: int = SHARES) -> DataFrame:
     share = F.pmod(F.xxhash64(F.lit("share"), S.STOP_ID.name), F.lit(shares)).alias("share")
     keys = [*FEATURES, "Target", "share"]
     merged = training.groupBy(*FEATURES, "Target", share).agg(F.count(F.lit(1)).alias("stops"))
-    # Fitting costs much per row, so even few rows are spread over all cores. A forest
-    # draws by row position; a fixed placement and order make the draw repeatable.
-    cores = training.sparkSession.sparkContext.defaultParallelism
-    return merged.repartition(cores, *keys).sortWithinPartitions(*keys).drop("share")
+    # A forest draws by partition and row position; placement and order are fixed, whatever
+    # the cluster, so the same stops give the same model.
+    return merged.repartition(PARTITIONS, *keys).sortWithinPartitions(*keys).drop("share")
 
 
 def train(
@@ -81,13 +82,11 @@ def train(
     ).fit(merged)
     # A tree needs a bin per category, the one for unseen categories included.
     categories = 1 + max(len(labels) for labels in indexer.labelsArray)
-    # MLlib asks for at least as many rows as categories; where nearly every stop is of
-    # another component, each row counts as several of less weight.
-    parts = -(-categories // max(1, merged.count()))
-    if parts > 1:
-        merged = merged.withColumn("weight", F.col("weight") / parts).withColumn(
-            "part", F.explode(F.sequence(F.lit(1), F.lit(parts)))
-        )
+    # MLlib asks for at least as many rows as categories: as many rows without weight stand by.
+    spare = merged.limit(1).withColumn("weight", F.lit(0.0)).withColumn(
+        "stops", F.explode(F.array_repeat(F.col("stops"), categories))
+    )
+    merged = merged.unionByName(spare)
     assembler = VectorAssembler(inputCols=indexed, outputCol="features")
     forest = RandomForestClassifier(
         labelCol="Target",

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragem import schemas as S
 from paragem.functions.time import day_of
+from paragem.sources.tables import read_stops
 
 STOP_IN_GO_COLUMNS = ["LineDesc", "StationDesc", "ElementDesc"]
 
@@ -85,7 +86,9 @@ def with_stop_in_go(df: DataFrame, mode: str = S.STOP_IN_GO_NONE) -> DataFrame:
     if mode == S.ALL_ROWS:
         return df
     # Missing texts match no rule, like the empty ones that replace them.
-    hit = F.coalesce(reduce(or_, [stop_in_go_rule(*rule) for rule in S.STOP_IN_GO_RULES]), F.lit(False))
+    placed = [rule for rule in S.STOP_IN_GO_RULES if rule[0] or rule[1]]
+    anywhere = [e for line, station, elements in S.STOP_IN_GO_RULES if not line and not station for e in elements]
+    hit = F.coalesce(reduce(or_, [stop_in_go_rule(*r) for r in [*placed, ("", "", anywhere)]]), F.lit(False))
     if mode == S.STOP_IN_GO_ONLY:
         df = df.filter(hit)
     elif mode == S.STOP_IN_GO_NONE:
@@ -112,6 +115,11 @@ class FilterSpec:
         df = with_stop_type(with_day_type(df, "EffectiveDay", calendar, self.day_type), self.stop_type)
         return with_stop_in_go(df, self.stop_in_go)
 
+    def stored_stops(self, spark: SparkSession, path: str, calendar: DataFrame) -> DataFrame:
+        """The selection from stored stops; folders of other months are skipped."""
+        first, last = (dt.date.fromisoformat(str(d)[:10]) for d in (self.start, self.end))
+        return self.stops(read_stops(spark, path, first, last), calendar)
+
     def production(self, production: DataFrame, calendar: DataFrame) -> DataFrame:
         df = in_date_range(production, "EffectiveDate", self.start, self.end)
         df = with_shift(with_line(df, self.line), self.shift)

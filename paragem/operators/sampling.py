@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_STRATA = 1000
+from paragem.session import stage
+
+#: Bits of the id hash that one histogram looks at.
 BIN_BITS = 16
 
 
-def train_sizes(counts: dict, test_fraction: float) -> dict:
-    """Training rows per stratum: the test share is rounded up over all rows, then
-    handed out in proportion, the largest remainders first."""
-    total = sum(counts.values())
-    train = total - math.ceil(total * test_fraction)
-    shares = {k: n * train / total for k, n in counts.items()} if total else {}
-    sizes = {k: math.floor(v) for k, v in shares.items()}
-    missing = train - sum(sizes.values())
-    for k in sorted(shares, key=lambda k: (sizes[k] - shares[k], str(k)))[:missing]:
-        sizes[k] += 1
-    return sizes
+def train_sizes(counts: DataFrame, test_fraction: float) -> DataFrame:
+    """(level, size): training rows per stratum of ``counts`` (level, n).
+
+    The test share is rounded up over all rows, then handed out in proportion, the largest
+    remainders first. One row per stratum.
+    """
+    every = Window.partitionBy()
+    total = F.sum("n").over(every)
+    train = total - F.ceil(total * F.lit(test_fraction))
+    share = counts.withColumn("train", train).withColumn("share", F.col("n") * F.col("train") / total)
+    whole = share.withColumn("whole", F.floor("share"))
+    name = F.coalesce(F.col("level").cast("string"), F.lit("None"))
+    place = F.row_number().over(Window.orderBy(F.desc(F.col("share") - F.col("whole")), name))
+    missing = F.col("train") - F.sum("whole").over(every)
+    return whole.select("level", (F.col("whole") + (place <= missing).cast("long")).alias("size"))
 
 
 def exact_split(
@@ -29,52 +33,52 @@ def exact_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Split into training and test rows of exact sizes, the same on every run.
 
-    Rows are ranked by a hash of their id. A histogram of the hash tells which bin
-    the cut falls into, so only that bin's rows (one in 65 536) are sorted; all other
-    rows are decided by their bin. ``id_columns`` must tell rows apart.
+    Rows are ordered by a hash of their id and the first ones of each stratum train. Two
+    histograms of the hash lead to the bin the cut falls into, one in 2**32, and only the ids
+    of that bin are ranked. Each side is then one filter on the rows. ``id_columns`` tell rows
+    apart; rows that repeat an id stay together, on the training side if the cut falls
+    among them. The cuts, one row per stratum, are found on call.
     """
     level = F.col(stratum) if stratum else F.lit(0)
-    hashed = (
-        df.withColumn("_level", level)
-        .withColumn("_hash", F.xxhash64(F.lit(seed), *id_columns))
-        .withColumn("_bin", F.shiftright("_hash", 64 - BIN_BITS))
-    )
-    cuts = _cuts(hashed, test_fraction)
-    cut_bin, cut_rows = _per_level(cuts, 0), _per_level(cuts, 1)
-    rank = F.row_number().over(Window.partitionBy("_level").orderBy("_hash", *id_columns))
-    at_cut = hashed.filter(F.col("_bin") == cut_bin).withColumn("_rank", rank)
-    helpers = ["_level", "_hash", "_bin"]
-    train = hashed.filter(F.col("_bin") < cut_bin).union(at_cut.filter(F.col("_rank") <= cut_rows).drop("_rank"))
-    test = hashed.filter(F.col("_bin") > cut_bin).union(at_cut.filter(F.col("_rank") > cut_rows).drop("_rank"))
-    return train.drop(*helpers), test.drop(*helpers)
-
-
-def _cuts(hashed: DataFrame, test_fraction: float) -> dict:
-    """Per stratum, the bin of the cut and how many of its rows train."""
-    bins = hashed.groupBy("_level", "_bin").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_level").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    running = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).cache()
-    try:
-        rows = running.groupBy("_level").agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()
-        if len(rows) > MAX_STRATA:
-            raise ValueError(f"more than {MAX_STRATA} strata")
-        sizes = train_sizes({r["_level"]: r["n"] for r in rows}, test_fraction)
-        size = _per_level({k: (v,) for k, v in sizes.items()}, 0)
-        at_cut = running.filter((F.col("before") < size) & (size <= F.col("before") + F.col("n")))
-        cuts = {r["_level"]: (r["_bin"], r["rows"]) for r in at_cut.select(
-            "_level", "_bin", (size - F.col("before")).alias("rows")
-        ).collect()}
-    finally:
-        running.unpersist()
-    # A stratum without training rows is cut below its first bin.
-    return {k: cuts.get(k, (-(2 ** (BIN_BITS - 1)) - 1, 0)) for k in sizes}
-
-
-def _per_level(values: dict, position: int) -> Column:
-    out = F.lit(None).cast("long")
-    for level, value in values.items():
-        out = F.when(F.col("_level").eqNullSafe(F.lit(level)), F.lit(value[position]).cast("long")).otherwise(out)
-    return out
+    hashed = df.withColumn("_level", level).withColumn("_hash", F.xxhash64(F.lit(seed), *id_columns))
+    cuts = stage(_cuts(hashed.select("_level", "_hash"), test_fraction), "split-cuts")
+    cuts = cuts.select(F.col("level").alias("_cut_level"), "cut")
+    marked = hashed.join(cuts, F.col("_level").eqNullSafe(F.col("_cut_level")), "left")
+    trains = F.coalesce(F.col("_hash") <= F.col("cut"), F.lit(False))
+    helpers = ["_level", "_hash", "_cut_level", "cut"]
+    return marked.filter(trains).drop(*helpers), marked.filter(~trains).drop(*helpers)
+
+
+def _cuts(hashed: DataFrame, test_fraction: float) -> DataFrame:
+    """(level, cut): the hash of the last training id of each stratum; null without training rows."""
+    rows = hashed.select(F.col("_level").alias("level"), F.col("_hash").alias("hash"))
+    rows = rows.withColumn("high", F.shiftright("hash", 64 - BIN_BITS))
+    rows = rows.withColumn("low", F.shiftright("hash", 64 - 2 * BIN_BITS))
+    # one row per stratum and bin is read by both the sizes and the cut
+    bins = stage(rows.groupBy("level", "high").agg(F.count(F.lit(1)).alias("n")), "split-bins")
+    wanted = train_sizes(bins.groupBy("level").agg(F.sum("n").alias("n")), test_fraction)
+    at_high = _bin_of(bins, wanted, "high").filter("size > 0")
+    inside = _same_level(rows, at_high, "high")
+    at_low = _bin_of(inside.groupBy("level", "low").agg(F.count(F.lit(1)).alias("n")), at_high, "low")
+    inside = _same_level(rows, at_low, "low")
+    at_hash = _bin_of(inside.groupBy("level", "hash").agg(F.count(F.lit(1)).alias("n")), at_low, "hash")
+    return at_hash.select("level", F.col("hash").alias("cut"))
+
+
+def _same_level(rows: DataFrame, cuts: DataFrame, column: str) -> DataFrame:
+    named = cuts.select(F.col("level").alias("_level"), F.col(column).alias("_bin"))
+    same = rows["level"].eqNullSafe(named["_level"]) & (rows[column] == named["_bin"])
+    return rows.join(named, same, "left_semi")
+
+
+def _bin_of(bins: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """(level, column, size): the bin that holds the last of ``size`` rows, and how many of these are in it."""
+    before = Window.partitionBy("level").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    running = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    goal = wanted.select(F.col("level").alias("_level"), "size")
+    found = running.join(goal, running["level"].eqNullSafe(goal["_level"]))
+    found = found.filter((F.col("before") < F.col("size")) & (F.col("size") <= F.col("before") + F.col("n")))
+    return found.select("level", column, (F.col("size") - F.col("before")).alias("size"))
 
 
 def class_weights(df: DataFrame, label: str, rows: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ table, so a page costs one pass over the stops and one over the production recor
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -17,19 +18,23 @@ from paragem.session import stage
 
 @dataclass(frozen=True)
 class Dashboard:
-    stops: DataFrame
-    production: DataFrame
+    selected_stops: DataFrame
+    selected_production: DataFrame
 
     @classmethod
     def select(
         cls, spec: FilterSpec, grouped_stops: DataFrame, production: DataFrame, calendar: DataFrame
     ) -> Dashboard:
-        """Apply the filters and store the condensed tables."""
-        stops, records = spec.apply(grouped_stops, production, calendar)
-        return cls(
-            stage(kpis.condense_stops(stops), "dashboard-stops"),
-            stage(kpis.condense_production(records), "dashboard-production"),
-        )
+        """Apply the filters; each side is condensed and stored when it is first asked for."""
+        return cls(*spec.apply(grouped_stops, production, calendar))
+
+    @cached_property
+    def stops(self) -> DataFrame:
+        return stage(kpis.condense_stops(self.selected_stops), "dashboard-stops")
+
+    @cached_property
+    def production(self) -> DataFrame:
+        return stage(kpis.condense_production(self.selected_production), "dashboard-production")
 
     def reliability(self) -> dict[str, DataFrame]:
         stops = self.stops

@@ -592,15 +592,31 @@ def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # --- Sources and sinks -----------------------------------------------------------
 
 STOP_SELECT = ", ".join(S.STOP_COLUMNS)
-ALL_STOPS = O.with_tables(O.STOPS, body=f" SELECT StopId, {STOP_SELECT} FROM stops")
 STOPS_WITH_ID = T.StructType([S.STOP_ID, *S.STOPS.fields])
+# Stops with fractions of a second, and with quotes, separators and line breaks in texts.
+AWKWARD_STOPS = O.with_tables(
+    O.STOPS,
+    body=""", awkward AS (SELECT * REPLACE (
+      CASE WHEN StopId % 3 = 0 THEN Duration + 0.5 ELSE CAST(Duration AS DOUBLE) END AS Duration,
+      CASE StopId % 4 WHEN 0 THEN AlarmDesc || ' "A", aberta; fechada' WHEN 1 THEN AlarmDesc || chr(10) || '"fim"'
+        ELSE AlarmDesc END AS AlarmDesc) FROM stops) """,
+)
+
 
+def awkward_stops(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.col("StopId") % 4
+    alarm = F.when(number == 0, F.concat("AlarmDesc", F.lit(' "A", aberta; fechada')))
+    alarm = alarm.when(number == 1, F.concat("AlarmDesc", F.lit('\n"fim"'))).otherwise(F.col("AlarmDesc"))
+    duration = F.col("Duration") + F.when(F.col("StopId") % 3 == 0, 0.5).otherwise(0.0)
+    stops = plant.stops(spark, sf).withColumns({"AlarmDesc": alarm, "Duration": duration})
+    return stops.select(STOPS_WITH_ID.fieldNames())
 
-@query("stops_csv_round_trip", ALL_STOPS)
+
+@query("stops_csv_round_trip", AWKWARD_STOPS + f"SELECT StopId, {STOP_SELECT} FROM awkward")
 def stops_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "stops-csv")
-    tables.write_stops_csv(plant.stops(spark, sf).select(STOPS_WITH_ID.fieldNames()), path)
-    return tables.read_stops_csv(spark, path, STOPS_WITH_ID)
+    tables.write_stops_csv(awkward_stops(spark, sf), path)
+    return tables.read_stops_csv(spark, path, STOPS_WITH_ID, multi_line=True)
 
 
 @query(
@@ -646,13 +662,13 @@ def calendar_from_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "calendar_csv_round_trip",
-    """SELECT DISTINCT d AS Data, CASE WHEN isodow(d) >= 6 THEN 'Improdutivo' ELSE 'Produtivo' END AS Tipo FROM (
+    """SELECT d AS Data, CASE WHEN isodow(d) >= 6 THEN 'Improdutivo' ELSE 'Produtivo' END AS Tipo FROM (
       SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 < 2
       UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) + 1 AS DATE) FROM orders WHERE o_orderkey % 3 = 0)""",
 )
 def calendar_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "calendar-csv")
-    days = tables.calendar_from_text(plant.calendar_text(spark, sf)).distinct()
+    days = tables.calendar_from_text(plant.calendar_text(spark, sf))
     tables.write_calendar_csv(tables.require_rows(days), path)
     return tables.read_calendar_csv(spark, path)
 
@@ -664,20 +680,23 @@ def features_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_features(spark, path, format="csv")
 
 
+def _as_text(name: str) -> str:
+    if name in tables.TIMESTAMPS:
+        return f"strftime({name}, '%Y-%m-%d %H:%M:%S.%f') AS {name}"
+    return f"CAST({name} AS VARCHAR) AS " + (f'"{tables.BYTE_ORDER_MARK}StopId"' if name == "StopId" else name)
+
+
 @query(
     "export_csv_round_trip",
-    O.with_tables(
-        O.STOPS,
-        body=f""" SELECT CAST(StopId AS VARCHAR) AS "{tables.BYTE_ORDER_MARK}StopId", LineDesc, AlarmDesc,
-          CAST(Duration AS VARCHAR) AS Duration FROM stops""",
-    ),
+    AWKWARD_STOPS + f"SELECT {', '.join(map(_as_text, STOPS_WITH_ID.fieldNames()))} FROM awkward",
 )
 def export_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Read back as plain text columns, so the byte-order mark stays visible."""
+    """All columns, read back as plain texts, so the byte-order mark stays visible."""
     path = new_shared_path(spark, "export-csv")
-    tables.export_csv(plant.stops(spark, sf).select("StopId", "LineDesc", "AlarmDesc", "Duration"), path)
-    lines = spark.read.schema("StopId string, LineDesc string, AlarmDesc string, Duration string")
-    back = lines.csv(path, header=True, sep=";", enforceSchema=True)
+    tables.export_csv(awkward_stops(spark, sf), path)
+    names = STOPS_WITH_ID.fieldNames()
+    reader = spark.read.schema(", ".join(f"{n} string" for n in names)).options(**tables.QUOTES)
+    back = reader.csv(path, header=True, sep=";", enforceSchema=True, multiLine=True)
     return back.withColumnRenamed("StopId", tables.BYTE_ORDER_MARK + "StopId")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# --- Table schemas ----------------------------------------------------------
+# --- Fixed values: names and types of the tables' columns ---------------------
 
 STOPS = T.StructType(
     [
@@ -13,7 +13,7 @@ STOPS = T.StructType(
         T.StructField("LineDesc", T.StringType()),
         T.StructField("StatusDesc", T.StringType()),
         T.StructField("AlarmDesc", T.StringType()),
-        T.StructField("Duration", T.LongType()),
+        T.StructField("Duration", T.DoubleType()),
         T.StructField("StartTime", T.TimestampNTZType()),
         T.StructField("EndTime", T.TimestampNTZType()),
         T.StructField("EffectiveDay", T.DateType()),

@@ -1,15 +1,17 @@
 """Readers and writers of the plant tables.
 
-Schemas are always given, never inferred; blanks are read as nulls.
+Schemas of text files are given, never inferred; blanks are read as nulls. A quote
+inside a text is doubled, in all files read and written here.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +29,32 @@ def _texts(schema: T.StructType, columns: list[str]) -> T.StructType:
 # --- Stops --------------------------------------------------------------------
 
 
-def read_stops_csv(spark: SparkSession, path: str, schema: T.StructType = S.STOPS) -> DataFrame:
-    """Stops from CSV; pass a schema with more columns to keep those too."""
+QUOTES = {"quote": '"', "escape": '"'}
+
+
+def _number(text: Column, decimal: str = ".") -> Column:
+    """A number written as text; blanks are null, anything else that is no number raises."""
+    plain = F.replace(text, F.lit(decimal), F.lit(".")) if decimal != "." else text
+    value = plain.try_cast("double")
+    bad = text.isNotNull() & (F.trim(text) != "") & value.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double")).otherwise(value)
+
+
+def read_stops_csv(
+    spark: SparkSession, path: str, schema: T.StructType = S.STOPS, multi_line: bool = False
+) -> DataFrame:
+    """Stops from CSV; pass a schema with more columns to keep those too.
+
+    ``multi_line`` is for texts that hold line breaks; such a file is read by one task.
+    """
     dates = [*TIMESTAMPS, "EffectiveDay"]
     # Shift and duration may carry a decimal point when blanks occur among them.
     numbers = ["Duration", "ShiftId"]
-    df = spark.read.schema(_texts(schema, dates + numbers)).csv(path, header=True)
+    reader = spark.read.schema(_texts(schema, dates + numbers)).options(**QUOTES)
+    df = reader.csv(path, header=True, multiLine=multi_line)
     casts = {c: F.col(c).cast("timestamp_ntz") for c in TIMESTAMPS}
     casts["EffectiveDay"] = F.to_date(F.col("EffectiveDay").cast("timestamp_ntz"))
-    casts |= {c: F.col(c).cast("double").cast(schema[c].dataType) for c in numbers}
+    casts |= {c: _number(F.col(c)).cast(schema[c].dataType) for c in numbers}
     return df.withColumns(casts)
 
 
@@ -44,25 +63,44 @@ CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def write_stops_csv(stops: DataFrame, path: str, mode: str = "error") -> None:
-    stops.write.mode(mode).option("timestampNTZFormat", CSV_TIMESTAMP).csv(path, header=True)
+    stops.write.mode(mode).options(timestampNTZFormat=CSV_TIMESTAMP, **QUOTES).csv(path, header=True)
+
+
+SCHEMA_FOLDER = "_schema"
 
 
 def write_stops(stops: DataFrame, path: str, mode: str = "error") -> None:
     """Store stops as Parquet, one folder per month of the effective day.
 
     The rebalance hint gathers each month into few files; adaptive execution splits
-    a month that is too large for one task.
+    a month that is too large for one task. The schema is stored last, in a folder that
+    readers of the table pass over: it makes an empty table readable and marks the
+    table as whole.
     """
     month = F.year("EffectiveDay") * 100 + F.month("EffectiveDay")
     by_month = stops.withColumn(MONTH_PARTITION, month).hint("rebalance", F.col(MONTH_PARTITION))
     by_month.write.mode(mode).partitionBy(MONTH_PARTITION).parquet(path)
+    schema = stops.sparkSession.createDataFrame([(by_month.schema.json(),)], "value string")
+    schema.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{SCHEMA_FOLDER}")
+
+
+def _stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema of a table that ``write_stops`` finished; None of any other."""
+    try:
+        row = spark.read.text(f"{path.rstrip('/')}/{SCHEMA_FOLDER}").head()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return T.StructType.fromJson(json.loads(row[0])) if row else None
 
 
 def read_stops(
     spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None
 ) -> DataFrame:
     """Stored stops, optionally of a date range; folders of other months are skipped."""
-    df = spark.read.parquet(path)
+    schema = _stored_schema(spark, path)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     month, day = F.col(MONTH_PARTITION), F.col("EffectiveDay")
     if start is not None:
         df = df.filter((month >= start.year * 100 + start.month) & (day >= F.lit(start)))
@@ -72,10 +110,13 @@ def read_stops(
 
 
 def jdbc_stops_options(
-    options: Mapping[str, str], table: str, first_day: str, last_day: str, partitions: int = 16
+    options: Mapping[str, str], table: str, first_day: str, last_day: str, partitions: int
 ) -> dict[str, str]:
-    """Options of a JDBC read cut into day ranges; connection options are the caller's."""
+    """Options of a JDBC read cut into ``partitions`` day ranges; connection options are the caller's and go before."""
     return {
+        # Times of the plant have no zone.
+        "preferTimestampNTZ": "true",
+        "fetchsize": "10000",
         **options,
         "dbtable": table,
         "partitionColumn": "EffectiveDay",
@@ -85,35 +126,40 @@ def jdbc_stops_options(
     }
 
 
+def as_stops(df: DataFrame) -> DataFrame:
+    """The stop columns of ``df`` in the types of the stops table."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.STOPS.fields])
+
+
 def read_stops_jdbc(spark: SparkSession, options: Mapping[str, str]) -> DataFrame:
     """Stop columns of a database table; filters put on the result run in the database."""
-    return spark.read.format("jdbc").options(**options).load().select(*S.STOP_COLUMNS)
+    return as_stops(spark.read.format("jdbc").options(**options).load())
 
 
 def cached(spark: SparkSession, path: str, extract: Callable[[], DataFrame]) -> DataFrame:
-    """Stops stored at ``path``; extracted and stored there first if there are none."""
-    try:
-        return read_stops(spark, path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    write_stops(extract(), path)
+    """Stops stored at ``path``; extracted and stored there first if there are none or not all of them."""
+    if _stored_schema(spark, path) is None:
+        write_stops(extract(), path, "overwrite")
     return read_stops(spark, path)
 
 
 # --- Production and calendar --------------------------------------------------
 
 
-def read_production_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Production records, semicolon-separated; unreadable dates become null."""
-    schema = _texts(S.PRODUCTION, ["EffectiveDate", "ShiftId"])
-    df = spark.read.schema(schema).csv(path, header=True, sep=";")
-    return df.withColumns(
-        {
-            "EffectiveDate": F.col("EffectiveDate").try_cast("timestamp_ntz"),
-            "ShiftId": F.col("ShiftId").cast("double").cast("int"),
-        }
-    )
+def read_production_csv(
+    spark: SparkSession, path: str, date_format: str | None = None, decimal: str = "."
+) -> DataFrame:
+    """Production records, semicolon-separated; unreadable dates become null, unreadable numbers raise.
+
+    Dates are ISO texts unless a ``date_format`` such as ``dd/MM/yyyy`` is given.
+    """
+    numbers = ["ShiftId", "EffectiveProd", "TargProd"]
+    reader = spark.read.schema(_texts(S.PRODUCTION, ["EffectiveDate", *numbers])).options(**QUOTES)
+    date = F.col("EffectiveDate")
+    read = F.try_to_timestamp(date, F.lit(date_format)).cast("timestamp_ntz") if date_format else None
+    casts = {c: _number(F.col(c), decimal).cast(S.PRODUCTION[c].dataType) for c in numbers}
+    casts["EffectiveDate"] = date.try_cast("timestamp_ntz") if read is None else read
+    return reader.csv(path, header=True, sep=";").withColumns(casts)
 
 
 def read_calendar_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -125,7 +171,8 @@ def write_calendar_csv(calendar: DataFrame, path: str, mode: str = "error") -> N
     calendar.select("Data", "Tipo").write.mode(mode).csv(path, header=True)
 
 
-DATE_AND_TYPE = r'\{ "(\d{4}-\d{2}-\d{2})", "(.*?)" \}'
+#: A pair in braces, spaced in any way.
+DATE_AND_TYPE = r'\{\s*"(\d+-\d+-\d+)"\s*,\s*"([^"]*)"\s*\}'
 
 
 def calendar_from_text(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -148,12 +195,12 @@ def require_rows(df: DataFrame, message: str = "no data in the expected format")
 
 
 def write_features(features: DataFrame, path: str, mode: str = "error", format: str = "parquet") -> None:
-    writer = features.write.mode(mode)
+    writer = features.write.mode(mode).options(**QUOTES)
     writer.csv(path, header=True) if format == "csv" else writer.format(format).save(path)
 
 
 def read_features(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(S.RUL_FEATURES)
+    reader = spark.read.schema(S.RUL_FEATURES).options(**QUOTES)
     return reader.csv(path, header=True) if format == "csv" else reader.format(format).load(path)
 
 
@@ -164,4 +211,6 @@ def export_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Semicolon-separated UTF-8 files, each opening with a byte-order mark."""
     first = df.columns[0]
     marked = df.withColumnRenamed(first, BYTE_ORDER_MARK + first)
-    marked.write.mode(mode).csv(path, header=True, sep=";", encoding="UTF-8")
+    marked.write.mode(mode).options(timestampNTZFormat=CSV_TIMESTAMP, **QUOTES).csv(
+        path, header=True, sep=";", encoding="UTF-8"
+    )

@@ -35,6 +35,7 @@ def stops(spark, *rows):
             r["EndTime"] = r["StartTime"] + dt.timedelta(seconds=r["Duration"] or 0)
         if "EffectiveDay" not in r:
             r["EffectiveDay"] = r["StartTime"].date() if r["StartTime"] else None
+        r["Duration"] = None if r["Duration"] is None else float(r["Duration"])
         out.append(tuple(r.get(f) for f in WITH_ID.fieldNames()))
     return spark.createDataFrame(out, WITH_ID)
 

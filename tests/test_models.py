@@ -8,7 +8,7 @@ from paragem import schemas as S
 from paragem.models import attribution, remaining_life, risk
 from paragem.models.store import ModelNotFound, load_model, save_model
 from paragem.operators import metrics, sampling
-from paragem.session import new_shared_path
+from paragem.session import new_shared_path, stage
 
 
 @pytest.fixture(scope="module")
@@ -122,6 +122,23 @@ def test_split_of_few_rows(spark):
     assert train.count() == 2 and test.count() == 1
 
 
+def test_split_of_many_strata_and_repeated_ids(spark):
+    df = spark.range(4500).select("id", F.concat(F.lit("s"), F.col("id") % 1500).alias("s"))
+    train, test = sampling.exact_split(df, ["id"], "s", 0.2)
+    assert (train.count(), test.count()) == (3600, 900)
+    assert set(train.groupBy("s").count().select("count").distinct().toPandas()["count"]) <= {2, 3}
+    same = df.withColumn("id", F.lit(7))
+    train, test = sampling.exact_split(same, ["id"])
+    assert (train.count(), test.count()) == (4500, 0)
+
+
+def test_each_side_of_a_split_scans_once(spark):
+    df = stage(spark.range(100).select("id", (F.col("id") % 3).alias("t")), "test-split")
+    for side in sampling.exact_split(df, ["id"], "t"):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet [id#") == 1 and "Union" not in plan and "Window" not in plan
+
+
 def test_metrics_without_cases(spark):
     df = spark.createDataFrame([(0, 0.0), (0, 0.0)], "Target int, prediction double")
     report = {r.classe: r for r in metrics.classification_report(df).collect()}

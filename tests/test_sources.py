@@ -2,6 +2,7 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from rows import stops
 
 from paragem import schemas as S
@@ -19,11 +20,40 @@ def test_stops_csv_with_blanks(spark, tmp_path):
     text += "E1,MAIN LINE,L1,Falha/Parada,A,,2025-01-02 03:04:05,,2025-01-02 00:00:00,S1,\n"
     (tmp_path / "stops.csv").write_text(text)
     a, b = tables.read_stops_csv(spark, str(tmp_path / "stops.csv")).collect()
-    assert (a.ElementDesc, a.Duration, a.ShiftId) == (None, 60, 1)
+    assert (a.ElementDesc, a.Duration, a.ShiftId) == (None, 60.0, 1)
     assert a.StartTime == dt.datetime(2025, 1, 2, 3, 4, 5, 500000)
     assert (b.Duration, b.EndTime, b.EffectiveDay, b.ShiftId) == (None, None, dt.date(2025, 1, 2), None)
 
 
+def test_stops_csv_with_quotes_and_fractions(spark, tmp_path):
+    line = ",MAIN LINE,L1,Falha/Parada,{},{},2025-01-02 03:04:05,2025-01-02 03:05:05,2025-01-02,S1,1.0\n"
+    text = ",".join(S.STOP_COLUMNS) + "\n"
+    text += line.format('"Porta ""A"", aberta"', "12.7") + line.format('"a\nb"', "1")
+    (tmp_path / "stops.csv").write_text(text)
+    a, b = tables.read_stops_csv(spark, str(tmp_path / "stops.csv"), multi_line=True).collect()
+    assert (a.AlarmDesc, a.Duration, a.StationDesc) == ('Porta "A", aberta', 12.7, "S1")
+    assert b.AlarmDesc == "a\nb"
+    (tmp_path / "bad.csv").write_text(",".join(S.STOP_COLUMNS) + "\n" + line.format("A", "doze"))
+    with pytest.raises(Exception, match="not a number: doze"):
+        tables.read_stops_csv(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_cache_of_nothing_and_of_half_a_table(spark):
+    path = new_shared_path(spark, "test-cache")
+    calls = []
+
+    def extract():
+        calls.append(1)
+        return stops(spark, {}).filter("StopId > 0")
+
+    assert tables.cached(spark, path, extract).columns == tables.cached(spark, path, extract).columns
+    assert tables.cached(spark, path, extract).count() == 0 and len(calls) == 1
+    half = new_shared_path(spark, "test-cache")
+    stops(spark, {}, {}).write.parquet(half)
+    assert tables.cached(spark, half, lambda: stops(spark, {})).count() == 1
+    assert tables.read_stops(spark, half).count() == 1
+
+
 def test_cache_extracts_once_and_prunes_months(spark):
     path = new_shared_path(spark, "test-cache")
     calls = []
@@ -48,6 +78,13 @@ def test_production_csv(spark, tmp_path):
     a, b = tables.read_production_csv(spark, str(tmp_path / "p.csv")).collect()
     assert a.EffectiveDate == dt.datetime(2025, 1, 2)
     assert (b.EffectiveDate, b.EffectiveProd, b.TargProd) == (None, 6.5, None)
+    (tmp_path / "q.csv").write_text(
+        "EffectiveDate;LineDesc;ShiftId;EffectiveProd;TargProd\n03/02/2025;L1;1;10,5;\n31/02/2025;L1;1;1;x\n"
+    )
+    a, b = tables.read_production_csv(spark, str(tmp_path / "q.csv"), "dd/MM/yyyy", ",").drop("TargProd").collect()
+    assert (a.EffectiveDate, a.EffectiveProd, b.EffectiveDate) == (dt.datetime(2025, 2, 3), 10.5, None)
+    with pytest.raises(Exception, match="not a number: x"):
+        tables.read_production_csv(spark, str(tmp_path / "q.csv"), "dd/MM/yyyy", ",").collect()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read_production_csv(spark, str(tmp_path / "none.csv"))
 
@@ -79,8 +116,14 @@ def test_feature_table_formats(spark):
         assert [tuple(r) for r in tables.read_features(spark, path, kind).collect()] == [row]
 
 
-def test_jdbc_options_are_the_callers():
+def stops_row(spark):
+    return stops(spark, {}).withColumn("Duration", F.lit(60).cast("int"))
+
+
+def test_jdbc_options_are_the_callers(spark):
     given = {"url": "jdbc:x", "user": "u"}
     options = tables.jdbc_stops_options(given, "stops", "2025-01-01", "2025-12-31", 4)
+    assert options["preferTimestampNTZ"] == "true"
+    assert tables.as_stops(stops_row(spark)).dtypes == spark.createDataFrame([], S.STOPS).dtypes
     assert options["url"] == "jdbc:x" and options["dbtable"] == "stops"
     assert (options["lowerBound"], options["upperBound"], options["numPartitions"]) == ("2025-01-01", "2025-12-31", "4")
