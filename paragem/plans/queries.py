@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from paragem.functions import labels
 from paragem.models import attribution, remaining_life, risk
 from paragem.models.store import load_model, save_model
 from paragem.operators import filters, grouping, kpis, metrics, rul, sampling
+from paragem.plans import cards
 from paragem.plans import oracle as O
 from paragem.plans.dashboard import Dashboard
 from paragem.session import new_shared_path, stage
@@ -189,8 +191,36 @@ def reliability_cards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+add(
+    "reliability_cards_global",
+    over_stops(cards.reliability_cards),
+    O.with_tables(
+        O.STOPS,
+        body=O.kpis(None, None)
+        + """ SELECT printf('%.2f', mtbf_minutos) AS mtbf, printf('%.2f', mttr_minutos) AS mttr, CAST((SELECT count(*)
+          FROM stops WHERE StatusDesc = 'Falha/Parada') AS VARCHAR) AS total_falhas FROM kpi""",
+    ),
+)
+
 # --- Production ----------------------------------------------------------------
 
+add(
+    "ope_cards",
+    over_production(cards.ope_cards),
+    O.with_tables(
+        O.PRODUCTION,
+        body=O.ope("LineDesc", "LineDesc")
+        + """, best AS (SELECT * FROM ope_kpi ORDER BY ope DESC, LineDesc LIMIT 1),
+        worst AS (SELECT * FROM ope_kpi ORDER BY ope, LineDesc LIMIT 1),
+        whole AS (SELECT CAST(sum(EffectiveProd) AS DOUBLE) / CAST(sum(TargProd) AS DOUBLE) * 100 AS ope,
+          avg(TargProd) - avg(EffectiveProd) AS perda, avg(EffectiveProd) AS media FROM production)
+        SELECT format('{:,}', CAST(trunc(perda) AS BIGINT)) AS perda_media, printf('%.2f', media) AS producao_media,
+          printf('%.2f%%', whole.ope) AS ope, 'MELHOR LINHA: ' || best.LineDesc AS melhor_linha,
+          printf('%.2f%%', best.ope) AS melhor_ope, 'PIOR LINHA: ' || worst.LineDesc AS pior_linha,
+          printf('%.2f%%', worst.ope) AS pior_ope FROM whole, best, worst""",
+    ),
+)
+
 add(
     "ope_global",
     over_production(kpis.ope_kpis),
@@ -717,38 +747,86 @@ def _rul_training(spark: SparkSession, sf: str) -> tuple[str, DataFrame, DataFra
     return save_model(fitted.model, new_shared_path(spark, "rul-model")), fitted.metrics, features
 
 
-@query("breakdown_training_report")
+# The queries below say of all rows of a model's result what SQL can say about them.
+
+BREAKDOWN_LEVEL = "SELECT CASE WHEN Duration >= 600 THEN 1 ELSE 0 END AS level FROM stops"
+COMPONENTS = ", ".join(f"coalesce({c}, 'N/A') AS {c}" for c in ("LineGroupDesc", "LineDesc", "StationDesc", "ElementDesc"))
+
+
+@query(
+    "breakdown_training_report",
+    O.with_tables(
+        O.STOPS,
+        body=", "
+        + O.SPLIT_SIZES.format(rows=BREAKDOWN_LEVEL).replace("\nSELECT level", ",\nsizes AS (SELECT level")
+        + """) SELECT CASE Target WHEN 0 THEN 'Microparada' ELSE 'Breakdown' END AS classe, teste AS support,
+          true AS medidas_validas FROM sizes
+        UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT CAST(sum(teste) AS BIGINT)
+          FROM sizes), true""",
+    ),
+)
 def breakdown_training_report(spark: SparkSession, sf: str) -> DataFrame:
-    return _risk_training(spark, sf)[1]
+    """Test rows of each class; all measures lie between 0 and 1."""
+    valid = reduce(and_, [F.col(c).between(0, 1) for c in ("precision", "recall", "f1_score")])
+    return _risk_training(spark, sf)[1].select("classe", "support", valid.alias("medidas_validas"))
 
 
 def _scored(spark: SparkSession, sf: str) -> tuple:
     model = load_model(_risk_training(spark, sf)[0])
-    return model, risk.score_components(model, plant.stops(spark, sf))
+    return model, stage(risk.score_components(model, plant.stops(spark, sf)), "risk-scores")
 
 
-@query("breakdown_risk_scores")
+@query(
+    "breakdown_risk_scores",
+    O.with_tables(O.STOPS, body=f" SELECT DISTINCT {COMPONENTS}, true AS probabilidade_valida FROM stops"),
+)
 def breakdown_risk_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.risk_report(_scored(spark, sf)[1])
+    """Every distinct component has one probability."""
+    scored = _scored(spark, sf)[1]
+    return scored.select(*risk.FEATURES[:4], F.col(risk.RISK).between(0, 1).alias("probabilidade_valida"))
 
 
-@query("highest_risk_component")
+@query("highest_risk_component", "SELECT true AS maior_de_todos, true AS texto_confere")
 def highest_risk_component(spark: SparkSession, sf: str) -> DataFrame:
-    top = risk.highest_risk(_scored(spark, sf)[1])
-    return top.withColumn("texto", labels.percent_text(F.col(risk.RISK)))
+    """The component shown has the highest probability, as a percentage with two decimals."""
+    scored = _scored(spark, sf)[1]
+    top = risk.highest_risk(scored).select(F.col(risk.RISK).alias("top"), labels.percent_text(F.col(risk.RISK)).alias("t"))
+    most = scored.agg(F.max(risk.RISK).alias("most"))
+    shown = F.abs(F.regexp_replace("t", "%", "").cast("double") / 100 - F.col("most")) <= 0.00005 + 1e-9
+    return cards.beside(top, most).select(
+        (F.col("top") == F.col("most")).alias("maior_de_todos"), shown.alias("texto_confere")
+    )
 
 
-@query("breakdown_attribution")
+@query(
+    "breakdown_attribution",
+    "SELECT unnest(['LineGroupDesc', 'LineDesc', 'StationDesc', 'ElementDesc', 'ShiftId']) AS feature, true AS soma_confere",
+)
 def breakdown_attribution(spark: SparkSession, sf: str) -> DataFrame:
-    return attribution.explain_highest_risk(*_scored(spark, sf))
+    """Base and contributions of all features add up to the prediction."""
+    explained = stage(attribution.explain_highest_risk(*_scored(spark, sf)), "attribution")
+    total = explained.agg(F.sum("contribuicao").alias("total")).select(F.lit(1).alias("_one"), "total")
+    added = explained.withColumn("_one", F.lit(1)).join(total, "_one")
+    same = F.abs(F.col("base") + F.col("total") - F.col("previsao")) < 1e-9
+    return added.select("feature", same.alias("soma_confere"))
 
 
-@query("rul_training_metrics")
+@query("rul_training_metrics", "SELECT true AS erro_valido, true AS r2_valido")
 def rul_training_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return _rul_training(spark, sf)[1]
+    return _rul_training(spark, sf)[1].select(
+        (F.col("mae") >= 0).alias("erro_valido"), (F.col("r2") <= 1).alias("r2_valido")
+    )
 
 
-@query("rul_report")
+@query("rul_report", "SELECT true AS dias_validos, true AS datas_conferem, true AS um_por_componente")
 def rul_report(spark: SparkSession, sf: str) -> DataFrame:
+    """No failure lies in the past, dates and days agree, and no component comes twice."""
     path, _, features = _rul_training(spark, sf)
-    return remaining_life.rul_report(load_model(path), features, F.lit("2024-02-15").cast("date"))
+    as_of = F.lit("2024-02-15").cast("date")
+    report = remaining_life.rul_report(load_model(path), features, as_of)
+    days, date = F.col(remaining_life.DAYS), F.col(remaining_life.FAILURE_DAY)
+    return report.agg(
+        F.coalesce(F.every(days >= 0), F.lit(True)).alias("dias_validos"),
+        F.coalesce(F.every(F.date_diff(date, as_of) == days), F.lit(True)).alias("datas_conferem"),
+        (F.count(F.lit(1)) == F.count_distinct(remaining_life.COMPONENT)).alias("um_por_componente"),
+    )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,12 @@ def build_session(app_name: str = "paragem", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Temporary folders of local sessions without a setting, by application.
+_OWN: dict[str, str] = {}
+#: Staged folders of the scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -33,17 +42,37 @@ def shared_dir(spark: SparkSession) -> str:
     cluster session without it is an error, since a machine-local folder would be
     lost with its machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paragem-"))
-    return spark.sparkContext.getCheckpointDir()
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file:" + tempfile.mkdtemp(prefix="paragem-")
+    return _OWN[context.applicationId]
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove the folders that were named inside the scope once it ends.
+
+    Write what is wanted before the end: plans that read a staged table fail afterwards.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, _SCOPES.pop()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -51,7 +80,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     For a table that several branches of a plan read: each branch then scans only
     its own columns, nothing upstream is computed twice, and losing an executor
-    costs a re-read instead of the whole lineage. The write happens on call.
+    costs a re-read instead of the whole lineage. The write happens on call; see
+    ``staging`` for when the folder goes.
     """
     path = new_shared_path(df.sparkSession, label)
     df.write.parquet(path)
