@@ -20,7 +20,7 @@ LEVELS = ("domain", "lang", "source")
 #: Domains that sources without a given one are dealt to.
 DOMAINS = 4
 #: Documents that share a step of the prefix search; a cut is exact inside one step.
-STEP_ROWS = 1024
+STEP_ROWS = 256
 
 
 @dataclass(frozen=True)
