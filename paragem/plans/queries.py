@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +56,22 @@ def grouped_stops(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.group_stops(filters.extract_failures(plant.stops(spark, sf), SINCE))
 
 
-@lru_cache(maxsize=8)
+def once(prepare: Callable) -> Callable:
+    """Run ``prepare`` once per application and table folder; a new application starts anew."""
+    done: dict[tuple[str, str], object] = {}
+
+    def prepared(spark: SparkSession, sf: str):
+        key = spark.sparkContext.applicationId, sf
+        for other in [k for k in done if k[0] != key[0]]:
+            del done[other]
+        if key not in done:
+            done[key] = prepare(spark, sf)
+        return done[key]
+
+    return prepared
+
+
+@once
 def _stored_groups_path(spark: SparkSession, sf: str) -> str:
     path = new_shared_path(spark, "grouped-stops")
     tables.write_stops(grouped_stops(spark, sf), path)
@@ -733,14 +748,14 @@ def export_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 # --- Models ----------------------------------------------------------------------
 
 
-@lru_cache(maxsize=8)
+@once
 def _risk_training(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
     """Train once per session and table folder; queries load the saved model."""
     fitted = risk.train(plant.stops(spark, sf))
     return save_model(fitted.model, new_shared_path(spark, "risk-model")), fitted.report
 
 
-@lru_cache(maxsize=8)
+@once
 def _rul_training(spark: SparkSession, sf: str) -> tuple[str, DataFrame, DataFrame]:
     features = stage(rul.rul_features(plant.stops(spark, sf)), "rul-features")
     fitted = remaining_life.train(features)
@@ -830,3 +845,7 @@ def rul_report(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(F.every(F.date_diff(date, as_of) == days), F.lit(True)).alias("datas_conferem"),
         (F.count(F.lit(1)) == F.count_distinct(remaining_life.COMPONENT)).alias("um_por_componente"),
     )
+
+
+#: What several queries share, by name: bench times it apart.
+PREPARATIONS = {"grouped stops": _stored_groups_path, "risk model": _risk_training, "life model": _rul_training}
