@@ -56,10 +56,16 @@ def merged_rows(training: DataFrame, shares: int = SHARES) -> DataFrame:
     as good as it would over single stops, and small combinations are hardly merged.
     """
     share = F.pmod(F.xxhash64(F.lit("share"), S.STOP_ID.name), F.lit(shares)).alias("share")
+    return training.groupBy(*FEATURES, "Target", share).agg(F.count(F.lit(1)).alias("stops"))
+
+
+def placed(merged: DataFrame) -> DataFrame:
+    """``merged`` in a fixed placement and order.
+
+    A forest draws by partition and row position, and a stored table is read in as many
+    partitions as suit the cluster. Dealt anew, the same stops give the same model anywhere.
+    """
     keys = [*FEATURES, "Target", "share"]
-    merged = training.groupBy(*FEATURES, "Target", share).agg(F.count(F.lit(1)).alias("stops"))
-    # A forest draws by partition and row position; placement and order are fixed, whatever
-    # the cluster, so the same stops give the same model.
     return merged.repartition(PARTITIONS, *keys).sortWithinPartitions(*keys).drop("share")
 
 
@@ -74,7 +80,7 @@ def train(
     training, test = exact_split(training_rows(stops), [S.STOP_ID.name], "Target", 0.2, seed)
     merged = stage(merged_rows(training, shares), "risk-training")
     weights = {r["Target"]: r["peso"] for r in class_weights(merged, "Target", "stops").collect()}
-    merged = merged.withColumn("weight", F.col("stops") * _by_class(weights))
+    merged = placed(merged).withColumn("weight", F.col("stops") * _by_class(weights))
 
     indexed = [f"{c}_index" for c in FEATURES]
     indexer = StringIndexer(

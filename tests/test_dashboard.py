@@ -2,13 +2,15 @@
 
 import random
 
+from pyspark.sql import functions as F
 from rows import production, stops
 
 from paragem import schemas as S
 from paragem.operators import kpis
 from paragem.operators.filters import FilterSpec
 from paragem.plans.dashboard import Dashboard
-from pyspark.sql import functions as F
+from paragem.session import new_shared_path
+from paragem.sources import tables
 
 
 def rows(df):
@@ -49,3 +51,21 @@ def test_page_equals_direct_aggregation(spark):
             assert rows(table) == rows(want[name]), name
     assert page.stops.count() <= df.count()
     assert "main_line_failures" in kpis.condense_stops(page.stops).columns
+
+
+def test_selections_from_stored_stops_skip_months(spark):
+    path = new_shared_path(spark, "test-select")
+    tables.write_stops(stops(spark, {}, {"StartTime": "2025-04-01T00:00:00"}), path)
+    spec = FilterSpec("2025-03-01", "2025-03-31", stop_in_go=S.ALL_ROWS)
+    calendar = spark.createDataFrame([], "Data date, Tipo string")
+    selected = spec.stored_stops(spark, path, calendar)
+    assert [r.StopId for r in selected.collect()] == [0]
+    plan = selected._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(EffectiveMonth" in plan
+
+
+def test_a_page_stores_only_the_side_it_shows(spark):
+    grouped = stops(spark, {}).withColumn("PrimeiroAlarmDesc", F.lit("A"))
+    page = Dashboard(grouped, production(spark, ("2025-03-03", "L1", 1, 5, 10)))
+    page.reliability()
+    assert [k for k in vars(page) if k in ("stops", "production")] == ["stops"]
