@@ -77,8 +77,9 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     fit = docs.filter(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     fit = fit.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
     marked = fit.select("lang", F.xxhash64("doc_id", F.octet_length("text")).alias("h"), "text")
+    # at most ``sample`` rows per language
     picked = lowest(marked.select("lang", "h").distinct(), "lang", "h", sample)
-    return marked.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
+    return marked.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel | None:

@@ -65,7 +65,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     known = own.join(short.distinct(), "labelled").withColumn("h", F.xxhash64("labelled"))
     picked = lowest(known, "toxic", "h", sample).drop("h")
     texts = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select(F.col("doc_id").alias("labelled"), "text")
-    return texts.join(picked, "labelled").groupBy("labelled", "toxic").agg(F.min("text").alias("text"))
+    # at most ``sample`` rows per label
+    return texts.join(F.broadcast(picked), "labelled").groupBy("labelled", "toxic").agg(F.min("text").alias("text"))
 
 
 def ordinal_fit(
