@@ -9,6 +9,7 @@ with a common beginning share the work, and the node that ends one holds its cou
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 #: Stands for the space in front of a pre-token.
 SPACE = "▁"
-#: Nodes of a task's trie; a fuller one is started anew.
-NODES = 300_000
+#: Nodes of a task's trie and pre-tokens a task remembers; when there are more, they are started anew.
+NODES, REMEMBERED = 300_000, 600_000
+#: Texts looked at together.
 TEXTS = 256
+#: Tells children of different nodes apart in one number.
+SIGNS = 0x110000
 
 
 @lru_cache(maxsize=2)
@@ -39,48 +43,59 @@ class ForwardTrie:
     """Forward scores by prefix. A character of no piece counts as its UTF-8 bytes, each less likely than any piece."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.beginnings = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        # the vocabulary as a trie too: the next node by sign, and the value of a node that ends a piece
+        self.step: dict[int, int] = {}
+        self.value: list[float | None] = [None]
+        for piece, value in pieces.items():
+            node = 0
+            for sign in piece:
+                key = node * SIGNS + ord(sign)
+                node = self.step.get(key, 0)
+                if not node:
+                    node = self.step[key] = len(self.value)
+                    self.value.append(None)
+            self.value[node] = value
         self.byte = min(pieces.values(), default=0.0) - 1
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        # of each node: score, pieces, and the lengths of the open beginnings of pieces that end there
-        self.score, self.tokens, self.open = [0.0], [0], [()]
+        self.child: dict[int, int] = {}
+        # of each node: score, pieces, and the (vocabulary node, start) of the beginnings of pieces that end there
+        self.score, self.tokens, self.open = array("d", [0.0]), array("l", [0]), [()]
 
     def __len__(self) -> int:
         return len(self.score)
 
     def insert(self, word: str) -> tuple[int, float]:
         """(pieces, log probability) of the best cut; of equal ones the one with fewest pieces."""
-        path = [0]
-        for end, sign in enumerate(word, 1):
-            node = self.child.get((path[-1], sign))
-            if node is None:
-                node = self._add(path, word, end)
+        path, node, child = [0], 0, self.child
+        for sign in map(ord, word):
+            key = node * SIGNS + sign
+            node = child.get(key, 0)
+            if not node:
+                node = child[key] = self._add(path, sign)
             path.append(node)
-        return self.tokens[path[-1]], self.score[path[-1]]
+        return self.tokens[node], self.score[node]
 
-    def _add(self, path: list[int], word: str, end: int) -> int:
-        above = path[-1]
-        size = len(word[end - 1].encode())
-        best = (self.score[above] + self.byte * size, -self.tokens[above] - size)
+    def _add(self, path: list[int], sign: int) -> int:
+        above, score, tokens, step, values = path[-1], self.score, self.tokens, self.step, self.value
+        size = 1 if sign < 0x80 else len(chr(sign).encode())
+        best, fewest = score[above] + self.byte * size, tokens[above] + size
         still = []
-        for length in (*(n + 1 for n in self.open[above]), 1):
-            piece = word[end - length : end]
-            if piece in self.beginnings:
-                still.append(length)
-                value = self.pieces.get(piece)
+        for piece, start in (*self.open[above], (0, len(path) - 1)):
+            piece = step.get(piece * SIGNS + sign, 0)
+            if piece:
+                still.append((piece, start))
+                value = values[piece]
                 if value is not None:
-                    start = path[end - length]
-                    best = max(best, (self.score[start] + value, -self.tokens[start] - 1))
-        node = len(self.score)
-        self.child[above, word[end - 1]] = node
-        self.score.append(best[0])
-        self.tokens.append(-best[1])
+                    before = path[start]
+                    value += score[before]
+                    if value > best or value == best and tokens[before] + 1 < fewest:
+                        best, fewest = value, tokens[before] + 1
+        score.append(best)
+        tokens.append(fewest)
         self.open.append(tuple(still))
-        return node
+        return len(score) - 1
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
@@ -94,22 +109,28 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = ForwardTrie(vocabulary(model))
-        known: dict[str, tuple[int, float]] = {}
+        tokens: dict[str, int] = {}
+        score: dict[str, float] = {}
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
-                part, rows = batch.iloc[at : at + TEXTS], []
-                for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
-                    words = (text or "").split()
-                    for word in words:
-                        if word not in known:
-                            known[word] = trie.insert(SPACE + word)
-                    counts = [known[w] for w in words]
-                    rows.append((doc_id, len(words), sum(n for n, _ in counts), math.fsum(s for _, s in counts)))
+                part = batch.iloc[at : at + TEXTS]
+                texts = [(text or "").split() for text in part["text"]]
+                if len(tokens) > REMEMBERED:
+                    tokens.clear()
+                    score.clear()
+                # in order, words with a common beginning find the nodes of one another
+                for word in sorted(set().union(*texts).difference(tokens)):
                     if len(trie) > NODES:
                         trie.clear()
-                        known.clear()
-                names = ["doc_id", "n_words", "n_tokens", "log_score"]
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                    tokens[word], score[word] = trie.insert(SPACE + word)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"].astype("Int64"),
+                        "n_words": [len(words) for words in texts],
+                        "n_tokens": [sum(map(tokens.__getitem__, words)) for words in texts],
+                        "log_score": [math.fsum(map(score.__getitem__, words)) for words in texts],
+                    }
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
         count, "doc_id long, n_words long, n_tokens long, log_score double"
