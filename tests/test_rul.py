@@ -129,5 +129,5 @@ def test_plan_reads_four_columns_and_hashes(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "Python" not in plan and "SinglePartition" not in plan
     assert "PushedFilters: [IsNotNull(ElementDesc), IsNotNull(StartTime)]" in plan
-    assert "ReadSchema: struct<StopId:bigint,ElementDesc:string,Duration:bigint,StartTime:timestamp_ntz>" in plan
+    assert "ReadSchema: struct<StopId:bigint,ElementDesc:string,Duration:double,StartTime:timestamp_ntz>" in plan
     assert plan.count("Exchange hashpartitioning") == 3
