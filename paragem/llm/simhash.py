@@ -30,18 +30,25 @@ STRIP = 256
 BITS_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """Bit i is set when over half the hashes of the text's shingles have it, repeats counted; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hash of each run of ``shingle`` words, lower-cased in A-Z; of all words if they are fewer, none without words."""
     words = (text or "").encode().translate(LOWER_BYTES).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(SHINGLE, len(words)) - 1
+    width = min(shingle, len(words)) - 1
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - width].tolist(), ends[width:].tolist(), strict=True)
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in spans], dtype="<u8")
+    return np.array([digest(joined[i:j], SEED) for i, j in spans], dtype="<u8")
+
+
+def fingerprint(text: str | None) -> int:
+    """Bit i is set when over half the hashes of the text's shingles have it, repeats counted; 0 without words."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not len(hashes):
+        return 0
     places = hashes.view(np.uint8).reshape(-1, 8) + 256 * np.arange(8)
     ones = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BITS_OF_BYTE
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
@@ -113,6 +120,14 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int =
     return facing.select("bits", "bits_b").mapInPandas(compare, "a long, b long")
 
 
+def named_components(distinct: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, component_id): the smallest ``first`` of the nodes of ``distinct`` that have one root; others stand alone."""
+    rooted = distinct.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
+    rooted = stage(rooted, "roots")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(smallest, "root").select(node, "component_id")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -125,20 +140,22 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     marked = stage(docs.select("doc_id", fingerprint_column("text").alias("fingerprint")), "fingerprints")
     distinct = stage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(fingerprint_links(distinct, radius, tile)).toDF("fingerprint", "root")
-    rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    rooted = stage(rooted, "roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fingerprint", "component_id")
+    named = named_components(distinct, roots, "fingerprint")
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is a component_id of ``groups``, with their columns."""
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = kept.toDF("kept_id")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with their columns.
 
     Of a component without any id, and of rows repeating that id, all rows stay.
     """
-    kept = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.toDF("kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return keep_first(docs, near_groups(docs))
