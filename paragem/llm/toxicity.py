@@ -23,9 +23,10 @@ GRADES = 4
 SLOTS, BEGINNINGS = 1 << 18, (4, 5, 6)
 #: Bounds of the fit: texts per label, bytes that a sampled text may have.
 SAMPLE, SAMPLE_BYTES = 2000, 20_000
-#: A feature is used if this many toxic texts have it and its log odds reach LEAN.
-LEAST_TEXTS, LEAN = 8, 2.5
-STEPS, RATE, RIDGE = 400, 0.2, 1e-4
+#: A feature is used if this share of the sampled toxic texts, and two of them, have it and its log odds reach LEAN.
+LEAST_SHARE, LEAST_TEXTS, LEAN = 0.004, 2, 2.5
+#: The penalty on the squared weights counts as much beside any number of texts.
+STEPS, RATE, RIDGE = 400, 0.2, 0.4
 #: All bytes but letters, digits and what is not ASCII become spaces.
 WORD_BYTES = bytes(
     c if 48 <= (c := LOWER_BYTES[b]) <= 57 or 97 <= c <= 122 or c >= 128 else 32 for b in range(256)
@@ -89,7 +90,7 @@ def ordinal_fit(
         inside = np.maximum(below_up - below_low, 1e-12)
         slope_up, slope_low = below_up * (1 - below_up) / inside, below_low * (1 - below_low) / inside
         by_row = (slope_up - slope_low) / len(grades)
-        grad_w = np.bincount(slots, by_row[rows], n_slots) + RIDGE * weights
+        grad_w = np.bincount(slots, by_row[rows], n_slots) + RIDGE / len(grades) * weights
         by_cut = np.array(
             [slope_low[grades == k + 1].sum() - slope_up[grades == k].sum() for k in range(levels)]
         ) / len(grades)
@@ -116,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> SeverityMod
     with_clean = np.bincount(slots, 1 - toxic[rows], SLOTS)
     n_toxic, n_clean = toxic.sum(), (1 - toxic).sum()
     odds = np.log((with_toxic + 0.5) / (n_toxic + 1)) - np.log((with_clean + 0.5) / (n_clean + 1))
-    used = np.flatnonzero((with_toxic >= LEAST_TEXTS) & (odds >= LEAN))
+    least = max(LEAST_TEXTS, int(np.ceil(LEAST_SHARE * n_toxic)))
+    used = np.flatnonzero((with_toxic >= least) & (odds >= LEAN))
     place = np.full(SLOTS, -1)
     place[used] = np.arange(len(used))
     hit = place[slots] >= 0

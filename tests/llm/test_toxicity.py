@@ -51,3 +51,29 @@ def test_without_both_labels_all_is_clean(spark):
     labels = spark.createDataFrame([(0, 1), (0, None), (None, 0)], "doc_id long, toxic int")
     assert [tuple(r) for r in T.severity(docs, labels).collect()] == [(0, False, 0, 0.0)]
     assert T.severity(docs.filter("doc_id > 0"), labels).collect() == []
+
+
+def few(spark, toxic, clean, good=GOOD, bad=BAD, first=0):
+    """(id, text) rows and (id, toxic) labels."""
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(first, first + toxic + clean):
+        words = rng.choices(good, k=rng.randrange(5, 40))
+        rows.append((i, " ".join([*words, *(rng.sample(bad, 2) if i < first + toxic else [])])))
+        labels.append((i, int(i < first + toxic)))
+    return rows, labels
+
+
+def test_few_labels_are_enough(spark):
+    rows, labels = few(spark, 10, 60)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in T.severity(documents(spark, *rows), table).collect()}
+    assert got == {i: bool(t) for i, t in labels}
+
+
+def test_a_rare_language_is_learned(spark):
+    rows, labels = few(spark, 100, 600)
+    other = few(spark, 5, 60, ["haus", "baum", "wald", "see"], ["blodi", "dumpf", "krassl"], 1000)
+    table = spark.createDataFrame(labels + other[1], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in T.severity(documents(spark, *rows, *other[0]), table).collect()}
+    assert got == {i: bool(t) for i, t in labels + other[1]}
