@@ -4,13 +4,15 @@ Two texts are compared by the blended-spectrum presence kernel: the number of
 hashed character n-grams (of 1 to ``LONGEST`` bytes) present in both, divided by the
 geometric mean of their own numbers. Landmark texts give Nystroem features, ridge
 regression one weight vector per language against the rest. Both are folded into one
-matrix, so that a batch of texts is scored by two matrix products.
+matrix, so that a batch of texts is scored by two matrix products. A long text is scored
+in parts no longer than the texts learned from, and their values are averaged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,8 @@ SLOTS, BATCH = 1 << 13, 256
 SEGMENT = 1 << 20
 #: Bounds of the fit: sampled texts and landmarks per language, bytes that a sampled text may have.
 SAMPLE, LANDMARKS, SAMPLE_BYTES = 400, 48, 20_000
+#: Bytes of a text scored together. The slots fill up in more than that.
+PART = SAMPLE_BYTES
 RIDGE = 1e-3
 UNKNOWN = "und"
 #: Least score of a text whose language counts as recognised; below it no language is near.
@@ -52,6 +56,13 @@ def scaled(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
 
 
+def parts(text: bytes) -> Iterator[tuple[bytes, float]]:
+    """Equal parts of PART bytes at most and their shares of the text; n-grams across the border count."""
+    wide = max(1, -(-len(text) // max(1, -(-len(text) // PART))))
+    for at in range(0, max(1, len(text)), wide):
+        yield text[at : at + wide + LONGEST - 1], min(wide, len(text) - at) / len(text) if text else 1.0
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -60,12 +71,17 @@ class LanguageModel:
     weights: np.ndarray
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """One regression value per text and language, near 1 for its own and 0 for others."""
-        parts = [
-            scaled(presence(texts[at : at + BATCH])) @ self.landmarks @ self.weights
-            for at in range(0, len(texts), BATCH)
-        ]
-        return np.vstack(parts) if parts else np.zeros((0, len(self.languages)), np.float32)
+        """One regression value per text and language, near 1 for its own and 0 for others.
+
+        That of a long text is the mean over its parts.
+        """
+        values = np.zeros((len(texts), len(self.languages)))
+        every = ((i, *part) for i, text in enumerate(texts) for part in parts(text))
+        for batch in batched(every, BATCH):
+            own, pieces, share = zip(*batch, strict=True)
+            scored = scaled(presence(list(pieces))) @ self.landmarks @ self.weights
+            np.add.at(values, list(own), scored * np.array(share)[:, None])
+        return values
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -85,8 +101,11 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel | None:
     """Learn from a bounded sample, on the driver; None if no row can be learned from."""
     rows = sorted(map(tuple, training_rows(docs, sample).collect()))
-    if not rows:
-        return None
+    return learned(rows, landmarks, ridge) if rows else None
+
+
+def learned(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """The model of sorted (lang, text) rows."""
     languages = tuple(sorted({lang for lang, _ in rows}))
     texts = [text.encode() for _, text in rows]
     named = np.array([languages.index(lang) for lang, _ in rows])

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 from corpus import documents, with_clashing_columns
 
 from paragem.llm import language as L
@@ -67,3 +68,32 @@ def test_presence_across_segments(monkeypatch):
     whole = L.presence([text])
     monkeypatch.setattr(L, "SEGMENT", 7)
     assert (L.presence([text]) == whole).all()
+
+
+def test_megabytes_of_varied_text_keep_their_language():
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = {k: ["".join(rng.choices(letters, k=2)) for _ in range(40)] for k in ("aa", "bb", "cc", "dd")}
+
+    def prose(lang, n):
+        strange = ["".join(rng.choices(letters, k=6)) for _ in range(n // 3)]
+        known = ["".join(rng.choices(syllables[lang], k=3)) for _ in range(n - n // 3)]
+        words = strange + known
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(lang, prose(lang, 150)) for lang in syllables for _ in range(60)]
+    model = L.learned(rows)
+    for k, lang in enumerate(model.languages):
+        short, long = model.scores([prose(lang, L.PART // 7).encode(), prose(lang, 450_000).encode()])
+        assert short.argmax() == long.argmax() == k
+        assert abs(short[k] - long[k]) < 0.05
+
+
+def test_parts_cover_a_text():
+    for n in (0, 1, L.PART, L.PART + 1, 5 * L.PART + 3):
+        text = bytes(i % 251 for i in range(n))
+        cut = list(L.parts(text))
+        assert abs(sum(share for _, share in cut) - 1) < 1e-9
+        assert all(len(part) <= L.PART + L.LONGEST - 1 for part, _ in cut)
+        assert (L.presence([text]) == np.maximum.reduce([L.presence([part]) for part, _ in cut])).all()
