@@ -18,6 +18,7 @@ from paragem.llm import (
     substring_dedup,
     toxicity,
     unigram,
+    url_filter,
     vector_search,
 )
 from paragem.llm.tables import LOWER, UPPER, read
@@ -74,6 +75,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+
+
 def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Name, callable and SQL (None where SQL cannot state the result)."""
     return {
@@ -87,4 +92,5 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
         "op9_source_mixing": (op9_source_mixing, None),
         "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
+        "op12_url_filter": (op12_url_filter, url_filter.judge_sql()),
     }
