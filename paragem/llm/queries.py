@@ -15,6 +15,7 @@ from paragem.llm import (
     mixing,
     packing,
     simhash,
+    spelling,
     substring_dedup,
     toxicity,
     unigram,
@@ -79,6 +80,10 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Name, callable and SQL (None where SQL cannot state the result)."""
     return {
@@ -93,4 +98,5 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         "op9_source_mixing": (op9_source_mixing, None),
         "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
         "op12_url_filter": (op12_url_filter, url_filter.judge_sql()),
+        "op13_spelling_variants": (op13_spelling_variants, None),
     }
