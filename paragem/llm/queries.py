@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paragem.llm import (
+    collocations,
     exact_dedup,
     language,
     license_scan,
@@ -76,6 +77,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -97,6 +102,7 @@ def queries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
         "op9_source_mixing": (op9_source_mixing, None),
         "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
+        "op11_collocations": (op11_collocations, collocations.collocations_sql()),
         "op12_url_filter": (op12_url_filter, url_filter.judge_sql()),
         "op13_spelling_variants": (op13_spelling_variants, None),
     }
