@@ -29,8 +29,10 @@ from paragem.session import stage
 
 LEAST, TOP, COVERED = 10, 2000, 50
 UNKNOWN = "und"
-#: Places of a block, to which those of one slice may come: at most 2**21, whose third power still fits 64 bits.
-BLOCK = 3 << 19
+#: Places of a block, to which those of one slice may come: at most 2**20, whose third power fits 64 bits.
+BLOCK = 1 << 19
+#: Rows of counts handed on at once.
+ROWS = 1 << 16
 #: Bytes of a text cut into words at once.
 SLICE = 1 << 20
 #: Places that an open block counts beside its own when blocks are closed to save memory.
@@ -155,7 +157,9 @@ def block_phrases(context: int, places: np.ndarray, ids: np.ndarray, numbers: np
         for k in reversed(range(size)):
             key, place = np.divmod(key, base)
             columns[f"w{k + 1}"] = ids[place]
-        yield pd.DataFrame(columns | {"n": n})[["w1", "w2", "w3", "n"]]
+        frame = pd.DataFrame(columns | {"n": n})[["w1", "w2", "w3", "n"]]
+        for at in range(0, len(frame), ROWS):
+            yield frame.iloc[at : at + ROWS]
 
 
 def lockstep(stream: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
