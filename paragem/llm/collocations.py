@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +82,17 @@ class Block:
         counts = np.bincount(places[self.context :], minlength=len(self.numbers) + 1)
         names = sorted(self.numbers, key=self.numbers.__getitem__)[1:]
         own = [counts[self.numbers[w]] for w in names]
-        return uuid.uuid4().hex, lang, self.context, [w.decode() for w in names], own, places.tobytes()
+        return uuid.uuid4().hex, lang, self.context, [w.decode() for w in names], own, packed(places)
+
+
+def packed(places: np.ndarray) -> bytes:
+    """Place numbers, compressed byte by byte of their four: early numbers are frequent, so most high bytes are zero."""
+    return zstandard.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
 
 
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -134,7 +145,7 @@ def phrase_counts(cut: DataFrame, words: DataFrame, least: int) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for context, places, ids, numbers in batch.itertuples(index=False):
-                yield from block_phrases(context, np.frombuffer(places, np.int32), np.asarray(ids), np.asarray(numbers))
+                yield from block_phrases(context, unpacked(places), np.asarray(ids), np.asarray(numbers))
 
     found = numbered.mapInPandas(count, "w1 long, w2 long, w3 long, n long")
     return found.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
