@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paragem.llm import exact_dedup, language, mixing, packing, similar
+from paragem.llm import exact_dedup, language, mixing, packing, simhash
 from paragem.llm.tables import read
 from paragem.session import stage
 
@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of their five-word shingles of 0.8 or more the row with the smallest id stays."""
-    return similar.drop_similar(docs)
+    """Of texts linked by fingerprints of three-word shingles that differ in three bits or fewer the smallest id stays."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
