@@ -146,16 +146,19 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     )
 
 
-def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is a component_id of ``groups``, with their columns."""
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.toDF("kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-
-
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with their columns.
+    """One row of each component of ``near_groups``, with its columns: that of the smallest id.
 
-    Of a component without any id, and of rows repeating that id, all rows stay.
+    Rows without id stay only where none of their component has one. Of rows that share the
+    smallest id, or have none, that of the least digest of its text stays; rows equal in id
+    and text are one. An empty table gives an empty result.
     """
-    return keep_first(docs, near_groups(docs))
+    text = F.coalesce("text", F.lit(""))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.sha2(text, 256).alias("digest"))
+    marked = stage(docs.select(own.alias("own"), fingerprint_column("text").alias("fingerprint")), "fingerprints")
+    distinct = stage(marked.groupBy("fingerprint").agg(F.min("own").alias("first")), "distinct-fingerprints")
+    roots = components(fingerprint_links(distinct)).toDF("fingerprint", "root")
+    kept = named_components(distinct, roots, "fingerprint").select("component_id.*").distinct().toDF("nameless", "kept_id", "digest")
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("kept_id"), F.sha2(text, 256).alias("digest"))
+    same = named["kept_id"].eqNullSafe(kept["kept_id"]) & (named["digest"] == kept["digest"])
+    return named.join(kept, same, "left_semi").dropDuplicates(["kept_id", "digest"]).select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +20,24 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
 #: Pre-tokens that stay apart when written one after the other: a space and letters. Number of them in a text.
 SIDE_BY_SIDE, JOINED = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]"), 1000
 SPECIAL = "<|endoftext|>"
-#: Pre-tokens remembered by a task.
-REMEMBERED = 800_000
+#: A place where two pre-tokens always part, so that what is before and behind it may be encoded apart.
+APART = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: Characters from which on a text is cut at such a place, and characters split into pre-tokens at once.
+PART, AT_ONCE = 1 << 18, 1 << 20
+#: Bytes of pre-tokens and their ids remembered by a worker, with about 170 for each pair of objects.
+REMEMBERED, OBJECTS = 96 << 20, 170
+
+
+def parts(text: str) -> Iterator[str]:
+    """``text`` in parts of about PART characters whose ids, one after the other, are those of the text."""
+    at = 0
+    while len(text) - at > PART:
+        cut = APART.search(text, at + PART)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 class Encoder:
@@ -30,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: The ids of a pre-token, as their bytes.
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -37,6 +55,7 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of pre-tokens; those that a text may hold side by side are encoded as texts of JOINED."""
+        self.held += sum(map(len, new)) * 5 + len(new) * OBJECTS  # an id or less for a letter
         apart = [w for w in new if not SIDE_BY_SIDE.match(w)]
         self.known.update(zip(apart, self._encode(apart), strict=True))
         beside = [w for w in new if SIDE_BY_SIDE.match(w)]
@@ -52,21 +71,37 @@ class Encoder:
                     self.known[word] = ids[begin:end]
                     begin = end
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         split = [PRE_TOKEN.findall(t) if SPECIAL not in t and PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         met: set[str] = set()
         for words in split:
             if words:
                 met.update(words)
         self._learn(sorted(met.difference(self.known)))
         of = self.known.__getitem__
-        joined = [
+        return [
             self._encode([text])[0] if words is None else b"".join(map(of, words))
             for text, words in zip(texts, split, strict=True)
         ]
-        return [np.frombuffer(ids, np.uint32) for ids in joined]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        found: list[list[bytes]] = [[] for _ in texts]
+        owners, waiting, size = [], [], 0
+        for owner, text in enumerate(texts):
+            for part in parts(text):
+                owners.append(owner)
+                waiting.append(part)
+                size += len(part)
+                if size >= AT_ONCE:
+                    for at, ids in zip(owners, self._ids(waiting), strict=True):
+                        found[at].append(ids)
+                    owners, waiting, size = [], [], 0
+        for at, ids in zip(owners, self._ids(waiting), strict=True):
+            found[at].append(ids)
+        return [np.frombuffer(b"".join(own), np.uint32) for own in found]
 
 
 @lru_cache(maxsize=2)

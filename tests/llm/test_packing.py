@@ -86,3 +86,21 @@ def test_sequences_do_not_depend_on_partitions(spark):
     docs = documents(spark, *["tok " * (k % 7) for k in range(100)])
     one, other = (sorted(map(tuple, P.pack(d, PATH, 16).collect())) for d in (docs.coalesce(1), docs.repartition(9)))
     assert one == other
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    from paragem.llm import tokens
+
+    texts = [t or "" for t in TEXTS] + ["some words, 12 more; é è  and so on\n" * 50, "<|endoftext|> a b c d e f g " * 9, "日本 a b c " * 30]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    for part, at_once in ((1, 1), (7, 50), (40, 10_000)):
+        monkeypatch.setattr(tokens, "PART", part)
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        monkeypatch.setattr(tokens, "REMEMBERED", 1000 * part)
+        encode = Encoder(PATH)
+        assert [i.tolist() for i in encode.ids(texts)] == want
+
+
+def test_text_of_megabytes(spark):
+    rows = [(0, "long text here " * 200_000), (1, None), (2, "x" * 300_000)]
+    check(documents(spark, *rows), rows, 1024)

@@ -94,3 +94,14 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     for r in found:
         by_root.setdefault(r.root, set()).add(r.node)
     assert sorted(map(sorted, by_root.values())) == [list(range(51)), list(range(100, 140))]
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(5, "one two three four"), (3, "One two three four"), (3, "one TWO three four"), (None, "one two three four"),
+            (None, "alone in the world"), (None, "alone in the World"), (9, None), (8, ""), (8, "")]
+    docs = with_clashing_columns(documents(spark, *rows))
+    kept = S.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert [i for i, _ in found] == [3, 8, None]
+    assert S.drop_near_copies(docs.filter("doc_id > 99")).count() == 0
