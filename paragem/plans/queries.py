@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from contextlib import suppress
 from functools import reduce
 from operator import and_
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,8 @@ from paragem.plans import cards
 from paragem.plans import oracle as O
 from paragem.plans.dashboard import Dashboard
 from paragem.session import new_shared_path, stage
-from paragem.sources import plant, tables
+from paragem.sources import cache, plant, tables
+from paragem.sources.files import Files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -664,6 +667,15 @@ def stops_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_stops_csv(spark, path, STOPS_WITH_ID, multi_line=True)
 
 
+@query("stops_one_file_ranges", AWKWARD_STOPS + f"SELECT StopId, {STOP_SELECT} FROM awkward")
+def stops_one_file_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """All stops from a single file with line breaks in texts, which is read range by range."""
+    path = f"{new_shared_path(spark, 'stops-file')}/stops.csv"
+    stops = awkward_stops(spark, sf)
+    tables.export_csv_file(stops, path, ",")
+    return tables.read_stops_csv(spark, path, STOPS_WITH_ID, multi_line=True)
+
+
 @query(
     "stops_cache_date_range",
     O.with_tables(
@@ -674,8 +686,44 @@ def stops_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stops_cache_date_range(spark: SparkSession, sf: str) -> DataFrame:
     path = new_shared_path(spark, "stops-cache")
-    tables.cached(spark, path, lambda: plant.stops(spark, sf).select(STOPS_WITH_ID.fieldNames()))
-    return tables.read_stops(spark, path, dt.date(2024, 1, 20), dt.date(2024, 2, 10))
+    cache.cached(spark, path, lambda: plant.stops(spark, sf).select(STOPS_WITH_ID.fieldNames()))
+    return cache.read_cached(spark, path, dt.date(2024, 1, 20), dt.date(2024, 2, 10))
+
+
+@query(
+    "stops_cache_refresh",
+    O.with_tables(
+        O.STOPS,
+        body=""" SELECT passo, LineDesc, count(*) AS paradas, sum(Duration)::BIGINT AS segundos FROM (
+            SELECT unnest(['primeira', 'interrompida', 'ainda nova']) AS passo, * FROM stops WHERE StopId % 2 = 0
+            UNION ALL SELECT unnest(['vencida', 'depois']) AS passo, * FROM stops) GROUP BY ALL""",
+    ),
+)
+def stops_cache_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """What readers of a cache see: at first half of the stops; the same after a refresh that breaks off, and while
+    it is young enough; all stops once it has grown old, and from then on."""
+    path = new_shared_path(spark, "stops-cache")
+    every = plant.stops(spark, sf).select(STOPS_WITH_ID.fieldNames())
+    clock = dt.datetime(2024, 5, 1, tzinfo=dt.UTC)
+    hour, seen = dt.timedelta(hours=1), {}
+
+    def broken() -> DataFrame:
+        return every.withColumn("Duration", F.raise_error(F.lit("interrupted")).cast("long"))
+
+    def look(step: str, extract: Callable[[], DataFrame], hours: float) -> None:
+        stops = cache.cached(spark, path, extract, hour, lambda: clock + hours * hour)
+        seen[step] = stops.withColumn("passo", F.lit(step))
+
+    look("primeira", lambda: every.filter("StopId % 2 = 0"), 0)
+    with suppress(SparkRuntimeException):
+        cache.refresh(spark, path, broken)
+    seen["interrompida"] = cache.read_cached(spark, path).withColumn("passo", F.lit("interrompida"))
+    look("ainda nova", lambda: every, 1)
+    look("vencida", lambda: every, 1.5)
+    look("depois", broken, 2)
+    return reduce(DataFrame.unionByName, seen.values()).groupBy("passo", "LineDesc").agg(
+        F.count(F.lit(1)).alias("paradas"), F.sum("Duration").alias("segundos")
+    )
 
 
 @query(
@@ -745,6 +793,36 @@ def export_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.withColumnRenamed("StopId", tables.BYTE_ORDER_MARK + "StopId")
 
 
+def _field(name: str) -> str:
+    """SQL of a value as a plain writer puts it."""
+    text = f"coalesce({_as_text(name).rsplit(' AS ', 1)[0]}, '')"
+    quoted = f"""'"' || replace({text}, '"', '""') || '"'"""
+    return f"""CASE WHEN regexp_matches({text}, '[;"\r\n]') THEN {quoted} ELSE {text} END"""
+
+
+@query(
+    "export_one_file",
+    AWKWARD_STOPS
+    + f"""SELECT unnest(string_split({" || ';' || ".join(map(_field, STOPS_WITH_ID.fieldNames()))}, chr(10))) AS linha,
+        false AS marca, 1 AS arquivos FROM awkward
+      UNION ALL SELECT '{";".join(STOPS_WITH_ID.fieldNames())}', true, 1""",
+)
+def export_one_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the one file, which line bears the mark, and how many files there are."""
+    folder = new_shared_path(spark, "export-file")
+    tables.export_csv_file(awkward_stops(spark, sf), f"{folder}/export.csv")
+    files = [e for e in Files(spark, folder).entries(folder) if not e.name.endswith(".crc")]
+    mark = tables.BYTE_ORDER_MARK.encode()
+    marked = Files(spark, folder).head(files[0].path, len(mark)) == mark
+    # A reader of text drops a mark at the beginning of a file, and only there.
+    line = F.regexp_replace("value", f"^{tables.BYTE_ORDER_MARK}", "").alias("linha")
+    header = F.lit(marked) & F.col("linha").startswith("StopId;")
+    lines = spark.read.text(folder, lineSep="\n").select(line)
+    return lines.withColumn("marca", header | F.col("linha").contains(tables.BYTE_ORDER_MARK)).withColumn(
+        "arquivos", F.lit(len(files))
+    )
+
+
 # --- Models ----------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paragem import schemas as S
+from paragem.sources.files import Files
+from paragem.sources.multiline import BYTE_ORDER_MARK, read_multiline_csv
 
 TIMESTAMPS = ["StartTime", "EndTime"]
 MONTH_PARTITION = "EffectiveMonth"
@@ -45,13 +47,16 @@ def read_stops_csv(
 ) -> DataFrame:
     """Stops from CSV; pass a schema with more columns to keep those too.
 
-    ``multi_line`` is for texts that hold line breaks; such a file is read by one task.
+    ``multi_line`` is for texts that hold line breaks; such a file is read in ranges all the same.
     """
     dates = [*TIMESTAMPS, "EffectiveDay"]
     # Shift and duration may carry a decimal point when blanks occur among them.
     numbers = ["Duration", "ShiftId"]
-    reader = spark.read.schema(_texts(schema, dates + numbers)).options(**QUOTES)
-    df = reader.csv(path, header=True, multiLine=multi_line)
+    texts = _texts(schema, dates + numbers)
+    if multi_line:
+        df = read_multiline_csv(spark, path, texts, QUOTES)
+    else:
+        df = spark.read.schema(texts).options(**QUOTES).csv(path, header=True)
     casts = {c: F.col(c).cast("timestamp_ntz") for c in TIMESTAMPS}
     casts["EffectiveDay"] = F.to_date(F.col("EffectiveDay").cast("timestamp_ntz"))
     casts |= {c: _number(F.col(c)).cast(schema[c].dataType) for c in numbers}
@@ -136,13 +141,6 @@ def read_stops_jdbc(spark: SparkSession, options: Mapping[str, str]) -> DataFram
     return as_stops(spark.read.format("jdbc").options(**options).load())
 
 
-def cached(spark: SparkSession, path: str, extract: Callable[[], DataFrame]) -> DataFrame:
-    """Stops stored at ``path``; extracted and stored there first if there are none or not all of them."""
-    if _stored_schema(spark, path) is None:
-        write_stops(extract(), path, "overwrite")
-    return read_stops(spark, path)
-
-
 # --- Production and calendar --------------------------------------------------
 
 
@@ -204,9 +202,6 @@ def read_features(spark: SparkSession, path: str, format: str = "parquet") -> Da
     return reader.csv(path, header=True) if format == "csv" else reader.format(format).load(path)
 
 
-BYTE_ORDER_MARK = "\ufeff"
-
-
 def export_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Semicolon-separated UTF-8 files, each opening with a byte-order mark."""
     first = df.columns[0]
@@ -214,3 +209,44 @@ def export_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     marked.write.mode(mode).options(timestampNTZFormat=CSV_TIMESTAMP, **QUOTES).csv(
         path, header=True, sep=";", encoding="UTF-8"
     )
+
+
+def _csv_field(column: Column, separator: str, only: bool = False) -> Column:
+    """A value as written by a plain writer: quoted if it holds a separator, quote or line break; blank for a null.
+
+    In a table of one column a blank is written as two quotes, since an empty line is no row.
+    """
+    text = F.coalesce(column, F.lit(""))
+    doubled = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    needed = text.rlike(f'[{separator}"\r\n]')
+    return F.when(needed | (text == "") if only else needed, doubled).otherwise(text)
+
+
+def csv_lines(df: DataFrame, separator: str = ";") -> DataFrame:
+    """(value): the rows of ``df`` as separated lines, in their order."""
+    only = len(df.columns) == 1
+    stamp = {"timestamp_ntz", "timestamp"}
+    texts = [
+        F.date_format(F.col(f"`{c}`"), CSV_TIMESTAMP) if kind in stamp else F.col(f"`{c}`").cast("string")
+        for c, kind in df.dtypes
+    ]
+    return df.select(F.concat_ws(separator, *[_csv_field(t, separator, only) for t in texts]).alias("value"))
+
+
+def export_csv_file(df: DataFrame, path: str, separator: str = ";") -> None:
+    """One separated UTF-8 file at ``path`` under one byte-order mark and one header.
+
+    Tasks write the lines of their rows; the parts are joined in the order of the rows. The
+    file appears once it is whole. An existing file is refused.
+    """
+    spark = df.sparkSession
+    target = Files(spark, path)
+    if target.exists(path):
+        raise FileExistsError(path)
+    parent, name = path.rsplit("/", 1)
+    folder = f"{parent}/.{name}.lines"
+    csv_lines(df, separator).write.mode("overwrite").text(folder)
+    names = [spark.range(1).select(_csv_field(F.lit(c), separator)).head()[0] for c in df.columns]
+    parts = [e.path for e in target.entries(folder) if e.name.startswith("part-")]
+    target.join(path, (BYTE_ORDER_MARK + separator.join(names) + "\n").encode(), parts)
+    target.delete(folder)

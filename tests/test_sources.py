@@ -1,4 +1,7 @@
+import csv
 import datetime as dt
+import io
+import random
 from pathlib import Path
 
 import pytest
@@ -7,7 +10,8 @@ from rows import stops
 
 from paragem import schemas as S
 from paragem.session import new_shared_path
-from paragem.sources import tables
+from paragem.sources import cache, multiline, tables
+from paragem.sources.files import Files
 
 
 def local(path):
@@ -46,12 +50,128 @@ def test_cache_of_nothing_and_of_half_a_table(spark):
         calls.append(1)
         return stops(spark, {}).filter("StopId > 0")
 
-    assert tables.cached(spark, path, extract).columns == tables.cached(spark, path, extract).columns
-    assert tables.cached(spark, path, extract).count() == 0 and len(calls) == 1
+    assert cache.cached(spark, path, extract).columns == cache.cached(spark, path, extract).columns
+    assert cache.cached(spark, path, extract).count() == 0 and len(calls) == 1
     half = new_shared_path(spark, "test-cache")
-    stops(spark, {}, {}).write.parquet(half)
-    assert tables.cached(spark, half, lambda: stops(spark, {})).count() == 1
-    assert tables.read_stops(spark, half).count() == 1
+    stops(spark, {}, {}).write.parquet(f"{half}/_versions/v-begun")
+    assert cache.cached(spark, half, lambda: stops(spark, {})).count() == 1
+    assert cache.read_cached(spark, half).count() == 1
+
+
+def test_cache_refuses_folders_of_others(spark):
+    path = new_shared_path(spark, "test-cache")
+    stops(spark, {}, {}).write.parquet(path)
+    with pytest.raises(cache.ForeignFolder):
+        cache.cached(spark, path, lambda: stops(spark, {}))
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(FileNotFoundError):
+        cache.read_cached(spark, path)
+
+
+def test_cache_serves_and_renews_tables_stored_without_versions(spark):
+    path = new_shared_path(spark, "test-cache")
+    tables.write_stops(stops(spark, {}, {}), path)
+    assert cache.cached(spark, path, lambda: stops(spark, {})).count() == 2
+    assert cache.cached(spark, path, lambda: stops(spark, {}), dt.timedelta(1)).count() == 1
+    assert cache.read_cached(spark, path).count() == 1
+
+
+def test_refresh_keeps_the_version_before_and_removes_older_and_abandoned_ones(spark):
+    path = new_shared_path(spark, "test-cache")
+    rows = [{}]
+    start = dt.datetime(2030, 1, 1, tzinfo=dt.UTC)  # what was begun before today is a day old by then
+
+    def extract():
+        return stops(spark, *rows)
+
+    first = cache.cached(spark, path, extract)
+    stops(spark, {}).write.parquet(f"{path}/_versions/v-abandoned")
+    for _ in range(2):
+        rows.append({})
+        cache.refresh(spark, path, extract, lambda: start)
+        if len(rows) == 2:
+            assert first.count() == 1  # a reader that has begun goes on
+    assert cache.cached(spark, path, extract).count() == 3
+    found = Files(spark, path)
+    assert len(list(found.entries(f"{path}/_manifests"))) == len(list(found.entries(f"{path}/_versions"))) == 2
+
+
+def test_refresh_that_finds_its_number_taken_publishes_nothing(spark):
+    path = new_shared_path(spark, "test-cache")
+    cache.refresh(spark, path, lambda: stops(spark, {}))
+
+    def meanwhile():
+        cache.refresh(spark, path, lambda: stops(spark, {}, {}))
+        return stops(spark, {}, {}, {})
+
+    with pytest.raises(FileExistsError):
+        cache.refresh(spark, path, meanwhile)
+    assert cache.read_cached(spark, path).count() == 2
+
+
+def records_of(text):
+    """Records of a text with doubled quotes, by one pass over its signs."""
+    out, own, quoted = [], "", False
+    for sign in text:
+        quoted ^= sign == '"'
+        if sign == "\n" and not quoted:
+            out.append(own)
+            own = ""
+        else:
+            own += sign
+    return [r for r in [*out, own] if r]
+
+
+@pytest.mark.parametrize("size", [3, 64, 1000, 1 << 20])
+def test_records_over_range_edges(spark, tmp_path, size):
+    rng = random.Random(size)
+    want = []
+    for k in range(3):
+        text = "a,b\n"
+        for i in range(60):
+            text += f"{k}-{i}," + rng.choice(["plain", '"line\nbreak"', '"x ""q"",\n\n\ny"', '"' + "long\n" * 30 + '"', '""', "é"]) + "\n"
+        (tmp_path / f"{k}.csv").write_text(text, encoding="utf-8")
+        want += records_of(text)[1:]
+    keep = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        got = multiline.read_records(spark, str(tmp_path))
+        assert sorted(r.record for r in got.collect()) == sorted(want)
+        lines = spark.read.text(str(tmp_path / "0.csv"), lineSep="\n")
+        assert size > 64 or lines.rdd.getNumPartitions() > 8
+    finally:
+        for name, value in keep.items():
+            spark.conf.set(name, value)
+
+
+def test_records_of_empty_files_marks_and_other_line_ends(spark, tmp_path):
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "only.csv").write_bytes(b"a,b\n")
+    (tmp_path / "mark.csv").write_bytes(b'\xef\xbb\xbfa,b\r\n1,"x\r\ny"\r\n\r\n2,z')
+    got = sorted(r.record for r in multiline.read_records(spark, str(tmp_path)).collect())
+    assert got == ['1,"x\r\ny"', "2,z"]
+    assert sorted(r.record for r in multiline.read_records(spark, str(tmp_path), header=False).collect())[2:] == ["a,b", "a,b"]
+
+
+def test_one_file_equals_a_plain_writer(spark, tmp_path):
+    rows = [(i, t, None if i % 3 else dt.date(2024, 1, 1 + i)) for i, t in enumerate(
+        ['a;b', 'say "x"', "line\nbreak", "\r", " blank ", "", None, "é", "'", "tab\t", "a,b"])]
+    df = spark.createDataFrame(rows, "`n;o` long, text string, day date").repartition(4).sortWithinPartitions("n;o").orderBy("n;o")
+    path = str(tmp_path / "out.csv")
+    tables.export_csv_file(df, path)
+    plain = io.StringIO(newline="")
+    writer = csv.writer(plain, delimiter=";", lineterminator="\n")
+    writer.writerows([df.columns, *[["" if x is None else x for x in r] for r in rows]])
+    assert (tmp_path / "out.csv").read_bytes() == plain.getvalue().encode("utf-8-sig")
+    assert {p.name for p in tmp_path.iterdir()} <= {"out.csv", ".out.csv.crc"}
+    with pytest.raises(FileExistsError):
+        tables.export_csv_file(df, path)
+    one = str(tmp_path / "one.csv")
+    tables.export_csv_file(spark.createDataFrame([("",), (None,), ("x",)], "c string").coalesce(1), one)
+    assert (tmp_path / "one.csv").read_bytes().decode("utf-8-sig") == 'c\n""\n""\nx\n'
+    tables.export_csv_file(df.filter("false"), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_bytes().decode("utf-8-sig") == '"n;o";text;day\n'
 
 
 def test_cache_extracts_once_and_prunes_months(spark):
@@ -62,10 +182,10 @@ def test_cache_extracts_once_and_prunes_months(spark):
         calls.append(1)
         return stops(spark, {}, {"StartTime": "2025-04-01T00:00:00"}, {"StartTime": None})
 
-    assert tables.cached(spark, path, extract).count() == 3
-    assert tables.cached(spark, path, extract).count() == 3
+    assert cache.cached(spark, path, extract).count() == 3
+    assert cache.cached(spark, path, extract).count() == 3
     assert len(calls) == 1
-    part = tables.read_stops(spark, path, dt.date(2025, 3, 3), dt.date(2025, 3, 31))
+    part = cache.read_cached(spark, path, dt.date(2025, 3, 3), dt.date(2025, 3, 31))
     assert [r.StopId for r in part.collect()] == [0]
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(EffectiveMonth" in plan
