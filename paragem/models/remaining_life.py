@@ -16,6 +16,11 @@ from paragem.operators.metrics import regression_metrics
 from paragem.operators.rul import latest_per_component
 from paragem.operators.sampling import exact_split
 
+#: Least partitions of the training rows, and rows of a partition beyond that.
+PARTITIONS, PART_ROWS = 8, 1 << 18
+#: Days are learned from in steps of this fraction (21 s), so that sums do not depend on the order of addition.
+DAY_STEP = 2.0**-12
+
 COMPONENT = "Componente em Risco"
 DAYS = "Previsão (dias a partir de hoje)"
 FAILURE_DAY = "Data Estimada da Falha Crítica"
@@ -32,9 +37,11 @@ class RulTraining:
 def train(features: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42) -> RulTraining:
     """Fit a random forest on 80 % of the feature rows and measure it on the rest.
 
-    ``features`` is read many times; pass a stored table.
+    ``features`` is read many times; pass a stored table. The model does not depend on the
+    cluster: rows are placed by their content.
     """
     training, test = exact_split(as_numbers(features), ["ElementDesc", "StartTime"], None, 0.2, seed)
+    training = placed(training)
     assembler = VectorAssembler(inputCols=S.RUL_MODEL_COLUMNS, outputCol="features")
     forest = RandomForestRegressor(
         labelCol="RUL", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed
@@ -43,6 +50,15 @@ def train(features: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42
     return RulTraining(model, regression_metrics(model.transform(test)), test)
 
 
+def placed(training: DataFrame) -> DataFrame:
+    """``training`` in partitions and an order that follow from its rows alone."""
+    parts = max(PARTITIONS, -(-training.count() // PART_ROWS))
+    keys = ["ElementDesc", "StartTime", *S.RUL_MODEL_COLUMNS, "RUL"]
+    days = F.round(F.col("RUL").cast("double") / DAY_STEP) * DAY_STEP
+    rows = training.select(*keys[:-1], days.alias("RUL"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+
 def as_numbers(features: DataFrame) -> DataFrame:
     return features.withColumns({c: F.col(c).cast("double") for c in S.RUL_MODEL_COLUMNS})
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paragem import schemas as S
-from paragem.functions.labels import is_breakdown
+from paragem.functions.labels import is_breakdown, percent_text
 from paragem.operators.filters import distinct_components
 from paragem.operators.grouping import with_stop_ids
 from paragem.operators.metrics import classification_report
@@ -24,8 +24,17 @@ MISSING = "N/A"
 RISK = "Probabilidade de Breakdown"
 DEFAULT_SHIFT = 1
 SHARES = 1024
-#: Partitions that the merged training rows are dealt to.
-PARTITIONS = 64
+#: Hash bins that the categories of a feature fall into: what training keeps on the driver does not grow with them.
+#: Categories that share a bin are told apart by the other features only.
+CATEGORY_BINS = 1 << 14
+#: Ordered bins of a feature that a tree chooses its cut from.
+TREE_BINS = 64
+#: Rows by which the rate of a category is drawn to the mean of all.
+SMOOTHING = 4.0
+#: Least partitions of the merged training rows, and rows of a partition beyond that.
+PARTITIONS, PART_ROWS = 8, 1 << 18
+#: Weights are rounded to this fraction, so that their sums do not depend on the order of addition.
+WEIGHT_STEP = 2.0**-16
 
 
 def as_features(df: DataFrame) -> DataFrame:
@@ -66,7 +75,32 @@ def placed(merged: DataFrame) -> DataFrame:
     partitions as suit the cluster. Dealt anew, the same stops give the same model anywhere.
     """
     keys = [*FEATURES, "Target", "share"]
-    return merged.repartition(PARTITIONS, *keys).sortWithinPartitions(*keys).drop("share")
+    parts = max(PARTITIONS, -(-merged.count() // PART_ROWS))
+    return merged.repartition(parts, *keys).sortWithinPartitions(*keys).drop("share")
+
+
+def binned() -> SQLTransformer:
+    """Adds the hash bin of each feature's category."""
+    bins = [f"CAST(pmod(xxhash64('{c}', {c}), {CATEGORY_BINS}) AS DOUBLE) AS {c}_bin" for c in FEATURES]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(bins)} FROM __THIS__")
+
+
+def encoding(training: DataFrame) -> list:
+    """Fitted stages that turn each category into the rate of breakdowns in its bin, unseen ones into the mean rate.
+
+    For two classes the best split of a category's values is a cut in this order, so trees
+    need no bin per category.
+    """
+    bins, rates = [f"{c}_bin" for c in FEATURES], [f"{c}_rate" for c in FEATURES]
+    values = [f"{c}_value" for c in FEATURES]
+    encoder = TargetEncoder(
+        inputCols=bins, outputCols=rates, labelCol="Target", targetType="binary", handleInvalid="keep", smoothing=SMOOTHING
+    )
+    # The encoder marks its columns as categories; a computed column is a plain number again.
+    numbers = ", ".join(f"{rate} + 0D AS {value}" for rate, value in zip(rates, values, strict=True))
+    plain = SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__")
+    assembler = VectorAssembler(inputCols=values, outputCol="features")
+    return [binned(), encoder.fit(binned().transform(training)), plain, assembler]
 
 
 def train(
@@ -80,31 +114,20 @@ def train(
     training, test = exact_split(training_rows(stops), [S.STOP_ID.name], "Target", 0.2, seed)
     merged = stage(merged_rows(training, shares), "risk-training")
     weights = {r["Target"]: r["peso"] for r in class_weights(merged, "Target", "stops").collect()}
-    merged = placed(merged).withColumn("weight", F.col("stops") * _by_class(weights))
-
-    indexed = [f"{c}_index" for c in FEATURES]
-    indexer = StringIndexer(
-        inputCols=FEATURES, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"
-    ).fit(merged)
-    # A tree needs a bin per category, the one for unseen categories included.
-    categories = 1 + max(len(labels) for labels in indexer.labelsArray)
-    # MLlib asks for at least as many rows as categories: as many rows without weight stand by.
-    spare = merged.limit(1).withColumn("weight", F.lit(0.0)).withColumn(
-        "stops", F.explode(F.array_repeat(F.col("stops"), categories))
-    )
-    merged = merged.unionByName(spare)
-    assembler = VectorAssembler(inputCols=indexed, outputCol="features")
+    weight = F.round(F.col("stops") * _by_class(weights) / WEIGHT_STEP) * WEIGHT_STEP
+    merged = placed(merged).withColumn("weight", weight)
+    encoded = encoding(training)
     forest = RandomForestClassifier(
         labelCol="Target",
         weightCol="weight",
         numTrees=trees,
         maxDepth=depth,
-        maxBins=max(32, categories),
+        maxBins=TREE_BINS,
         featureSubsetStrategy="sqrt",
         seed=seed,
         cacheNodeIds=True,
     )
-    model = Pipeline(stages=[indexer, assembler, forest]).fit(merged)
+    model = PipelineModel([*encoded, forest.fit(PipelineModel(encoded).transform(merged))])
     return RiskTraining(model, classification_report(model.transform(test)), test)
 
 
@@ -134,5 +157,10 @@ def risk_report(scored: DataFrame) -> DataFrame:
     return scored.select(*shown, RISK).orderBy(F.desc(RISK), "StationDesc", "ElementDesc")
 
 
+def presentation(report: DataFrame) -> DataFrame:
+    """The report as display texts, in its order; blanks stay blank."""
+    return report.select("StationDesc", "ElementDesc", percent_text(F.col(RISK)).alias(RISK))
+
+
 def highest_risk(scored: DataFrame) -> DataFrame:
     return scored.orderBy(F.desc(RISK), "StationDesc", "ElementDesc", "LineGroupDesc", "LineDesc").limit(1)

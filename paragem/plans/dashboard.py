@@ -9,9 +9,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame
 
-from paragem.operators import kpis
+from paragem import schemas as S
+from paragem.models import attribution, remaining_life, risk
+from paragem.operators import kpis, rul
 from paragem.operators.filters import FilterSpec
 from paragem.session import stage
 
@@ -67,3 +70,19 @@ class Dashboard:
             "por_linha": kpis.ope_kpis(records, "LineDesc"),
             "destaques": kpis.best_and_worst_line(records),
         }
+
+    def risk(self, model: PipelineModel, shift: int | str = S.ALL_ROWS) -> dict[str, DataFrame]:
+        """The selected components by their risk of a breakdown, and why the first is first."""
+        scored = stage(risk.score_components(model, self.selected_stops, shift), "dashboard-risk")
+        return {
+            "relatorio": risk.presentation(risk.risk_report(scored)),
+            "maior_risco": risk.highest_risk(scored),
+            "fatores": attribution.explain_highest_risk(model, scored),
+        }
+
+    def remaining_life(
+        self, model: PipelineModel, features: DataFrame, as_of: Column | None = None
+    ) -> dict[str, DataFrame]:
+        """Coming critical failures of the selected components."""
+        report = remaining_life.rul_report(model, rul.eligible_components(features, self.selected_stops), as_of)
+        return {"previsoes": report, "apresentacao": remaining_life.presentation(report)}

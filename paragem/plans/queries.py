@@ -13,7 +13,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.errors import SparkRuntimeException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -521,6 +521,11 @@ def rul_eligible_components(spark: SparkSession, sf: str) -> DataFrame:
     return rul.eligible_components(rul.rul_features(stops), chosen)
 
 
+COMPONENT_TEXTS = ", ".join(
+    f"coalesce({c}, 'N/A') AS {c}" for c in ("LineGroupDesc", "LineDesc", "StationDesc", "ElementDesc")
+)
+
+
 def _report_from_stand_in(spark: SparkSession, sf: str) -> DataFrame:
     latest = rul.latest_per_component(rul.rul_features(plant.stops(spark, sf)))
     stand_in = F.col("tempo_desde_ultima_parada") * 3.9 + F.col("paradas_ultimos_7d") / 8
@@ -549,6 +554,27 @@ add(
     ),
 )
 
+
+
+@query(
+    "risk_report_presentation",
+    O.with_tables(
+        O.STOPS,
+        body=f""", c AS (SELECT {COMPONENT_TEXTS}, count(*) * 7919 % 10000 / 10000.0 AS p FROM stops GROUP BY ALL)
+          SELECT row_number() OVER (ORDER BY p DESC, nullif(StationDesc, 'N/A') NULLS FIRST,
+              nullif(ElementDesc, 'N/A') NULLS FIRST) AS posicao, nullif(StationDesc, 'N/A') AS StationDesc,
+            nullif(ElementDesc, 'N/A') AS ElementDesc, printf('%.2f%%', p * 100) AS "Probabilidade de Breakdown"
+          FROM c""",
+    ),
+)
+def risk_report_presentation(spark: SparkSession, sf: str) -> DataFrame:
+    """Order, blanks and percent texts of the risk report, of a stand-in for the probabilities."""
+    share = (F.count(F.lit(1)) * 7919 % 10000 / F.lit(10000.0)).alias(risk.RISK)
+    scored = risk.as_features(plant.stops(spark, sf)).groupBy(*risk.FEATURES[:4]).agg(share)
+    report = risk.presentation(risk.risk_report(scored).coalesce(1))  # one row per component
+    return report.select((F.monotonically_increasing_id() + 1).alias("posicao"), "*")
+
+
 # --- Model inputs and quality measures ------------------------------------------
 
 TEXT_FEATURES = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'N/A') AS {c}" for c in risk.FEATURES)
@@ -843,7 +869,6 @@ def _rul_training(spark: SparkSession, sf: str) -> tuple[str, DataFrame, DataFra
 # The queries below say of all rows of a model's result what SQL can say about them.
 
 BREAKDOWN_LEVEL = "SELECT CASE WHEN Duration >= 600 THEN 1 ELSE 0 END AS level FROM stops"
-COMPONENTS = ", ".join(f"coalesce({c}, 'N/A') AS {c}" for c in ("LineGroupDesc", "LineDesc", "StationDesc", "ElementDesc"))
 
 
 @query(
@@ -871,7 +896,7 @@ def _scored(spark: SparkSession, sf: str) -> tuple:
 
 @query(
     "breakdown_risk_scores",
-    O.with_tables(O.STOPS, body=f" SELECT DISTINCT {COMPONENTS}, true AS probabilidade_valida FROM stops"),
+    O.with_tables(O.STOPS, body=f" SELECT DISTINCT {COMPONENT_TEXTS}, true AS probabilidade_valida FROM stops"),
 )
 def breakdown_risk_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every distinct component has one probability."""
@@ -911,6 +936,57 @@ def rul_training_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _planted_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Stops whose breakdowns follow station and shift, but for one in ten that chance decides."""
+    stops = plant.stops(spark, sf)
+    by_place = (F.ascii(F.substr("StationDesc", F.lit(-1), F.lit(1))) + F.coalesce("ShiftId", F.lit(0))) % 2 == 0
+    by_chance = F.pmod(F.xxhash64("StopId"), F.lit(2)) == 0
+    long = F.when(F.pmod(F.xxhash64(F.lit("x"), "StopId"), F.lit(10)) == 0, by_chance).otherwise(by_place)
+    return stops.withColumn("Duration", F.when(F.coalesce(long, F.lit(False)), 900).otherwise(30).cast("long"))
+
+
+def _differ(one: DataFrame, other: DataFrame) -> Column:
+    """Whether two tables differ in any row, as a column of one table of one row."""
+    return F.lit(not (one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()))
+
+
+@query("breakdown_planted_signal", "SELECT true AS melhor_que_constante, true AS salvo_igual_ao_treinado")
+def breakdown_planted_signal(spark: SparkSession, sf: str) -> DataFrame:
+    """On a signal that nine of ten stops follow, test accuracy lies above 0.8 and well above a constant's."""
+    stops = stage(_planted_stops(spark, sf), "planted-stops")
+    fitted = risk.train(stops, trees=10, depth=6)
+    loaded = load_model(save_model(fitted.model, new_shared_path(spark, "planted-risk")))
+    one, other = (risk.score_components(m, stops).select(*risk.FEATURES, risk.RISK) for m in (fitted.model, loaded))
+    report = fitted.report
+    part = lambda name, column: F.max(F.when(F.col("classe") == name, F.col(column)))
+    constant = F.greatest(part("Microparada", "support"), part("Breakdown", "support")) / part("accuracy", "support")
+    accuracy = part("accuracy", "precision")
+    better = (accuracy > 0.8) & (accuracy > constant + 0.1)
+    return report.agg(better.alias("melhor_que_constante")).withColumn("salvo_igual_ao_treinado", ~_differ(one, other))
+
+
+@query("rul_planted_signal", "SELECT true AS metade_do_erro_constante, true AS r2_alto, true AS salvo_igual_ao_treinado")
+def rul_planted_signal(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that fall with a component's stops of a week, and noise: the error is below half of a constant's."""
+    days = S.RUL_MODEL_COLUMNS[0]
+    noise = F.pmod(F.xxhash64("ElementDesc", "StartTime"), F.lit(100)) / F.lit(100.0)
+    known = stage(rul.rul_features(plant.stops(spark, sf)), "rul-features")
+    most = known.agg(F.greatest(F.max(days), F.lit(1.0)).alias("most"))
+    planted = cards.beside(known, most).withColumn("RUL", 60 - 50 * F.col(days) / F.col("most") + noise).drop("most")
+    features = stage(planted, "planted-features")
+    fitted = remaining_life.train(features, trees=20, depth=6)
+    loaded = load_model(save_model(fitted.model, new_shared_path(spark, "planted-life")))
+    mean = fitted.test.agg(F.avg("RUL").alias("mean"))
+    off = cards.beside(fitted.test, mean).agg(F.avg(F.abs(F.col("RUL") - F.col("mean"))).alias("constant"))
+    rows = remaining_life.as_numbers(features)
+    one, other = (m.transform(rows).select("ElementDesc", "StartTime", "prediction") for m in (fitted.model, loaded))
+    return cards.beside(fitted.metrics, off).select(
+        (F.col("mae") < F.col("constant") / 2).alias("metade_do_erro_constante"),
+        (F.col("r2") > 0.7).alias("r2_alto"),
+        (~_differ(one, other)).alias("salvo_igual_ao_treinado"),
+    )
+
+
 @query("rul_report", "SELECT true AS dias_validos, true AS datas_conferem, true AS um_por_componente")
 def rul_report(spark: SparkSession, sf: str) -> DataFrame:
     """No failure lies in the past, dates and days agree, and no component comes twice."""

@@ -146,3 +146,37 @@ def test_metrics_without_cases(spark):
     assert report["Microparada"].f1_score == 1.0
     exact = spark.createDataFrame([(2.0, 2.0), (2.0, 2.0)], "RUL double, prediction double")
     assert tuple(metrics.regression_metrics(exact).first()) == (0.0, 1.0)
+
+
+def test_many_components_train_in_fixed_bins(spark):
+    rows = spark.range(60_000).select(
+        F.col("id").alias("StopId"),
+        F.lit("MAIN LINE").alias("LineGroupDesc"),
+        F.lit("L1").alias("LineDesc"),
+        F.concat(F.lit("S"), F.col("id") % 7).alias("StationDesc"),
+        F.concat(F.lit("E"), F.col("id") % 30_000).alias("ElementDesc"),
+        F.lit("A").alias("AlarmDesc"),
+        F.lit("Falha/Parada").alias("StatusDesc"),
+        F.when(F.col("id") % 3 == 0, 900).otherwise(30).cast("long").alias("Duration"),
+        F.lit("2025-03-03T00:00:00").cast("timestamp_ntz").alias("StartTime"),
+        F.lit("2025-03-03T00:00:30").cast("timestamp_ntz").alias("EndTime"),
+        F.lit("2025-03-03").cast("date").alias("EffectiveDay"),
+        F.lit(1).alias("ShiftId"),
+    )
+    fitted = risk.train(rows, trees=3, depth=5)
+    assert fitted.model.stages[-1].numFeatures == 5
+    assert risk.score_components(fitted.model, rows).filter(F.col(risk.RISK).between(0, 1)).count() == 60_000
+
+
+def test_split_whose_brackets_miss_is_exact_all_the_same(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("t"))
+    rows = df.select(F.col("t").alias("level"), F.xxhash64(F.lit(1), "id").alias("hash"))
+    whole = {r.level: r.cut for r in sampling._cuts(rows, 0.2).collect()}
+    real = sampling._brackets
+    try:
+        sampling._brackets = lambda *a: real(*a).withColumn("high", F.when(F.col("level") == 1, F.col("low")).otherwise(F.col("high")))
+        assert {r.level: r.cut for r in sampling._cuts(rows, 0.2).collect()} == whole
+    finally:
+        sampling._brackets = real
+    hashes = sorted(r.hash for r in rows.filter("level = 1").collect())
+    assert sum(h <= whole[1] for h in hashes) in (1332, 1333, 1334)
