@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 from paragem.models import remaining_life, risk
 from paragem.models.store import save_model
 from paragem.operators import rul
-from paragem.session import build_session
+from paragem.session import build_session, staging
 from paragem.sources import tables
 
 
@@ -48,7 +48,8 @@ def main(arguments: list[str]) -> None:
     if len(arguments) != 3 or arguments[0] not in JOBS:
         sys.exit(__doc__)
     spark = build_session(f"paragem-{arguments[0]}")
-    JOBS[arguments[0]](spark, *arguments[1:])
+    with staging(spark):
+        JOBS[arguments[0]](spark, *arguments[1:])
     spark.stop()
 
 

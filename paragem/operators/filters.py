@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paragem import schemas as S
 from paragem.functions.time import day_of
-from paragem.sources.tables import read_stops
+from paragem.sources.tables import MONTH_PARTITION, month_of, read_production, read_stops
 
 STOP_IN_GO_COLUMNS = ["LineDesc", "StationDesc", "ElementDesc"]
 
@@ -49,12 +49,17 @@ def with_day_type(df: DataFrame, column: str, calendar: DataFrame, day_type: str
     """Keep rows whose date is a calendar day of the given type.
 
     The calendar side carries no broadcast hint: it is broadcast only while its
-    measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
+    measured size is under ``spark.sql.autoBroadcastJoinThreshold``. Then, if ``df`` is a
+    stored table with the column of its folders, only the months of the chosen days are read.
     """
     if day_type == S.ALL_ROWS:
         return df
     days = calendar.filter(F.col("Tipo") == day_type).select(F.to_date("Data").alias("_calendar_day"))
-    return df.join(days, day_of(F.col(column)) == F.col("_calendar_day"), "left_semi")
+    same = day_of(F.col(column)) == F.col("_calendar_day")
+    if MONTH_PARTITION in df.columns:
+        days = days.withColumn("_calendar_month", month_of(F.col("_calendar_day")))
+        same &= F.col(MONTH_PARTITION) == F.col("_calendar_month")
+    return df.join(days, same, "left_semi")
 
 
 def with_stop_type(df: DataFrame, stop_type: str) -> DataFrame:
@@ -115,10 +120,17 @@ class FilterSpec:
         df = with_stop_type(with_day_type(df, "EffectiveDay", calendar, self.day_type), self.stop_type)
         return with_stop_in_go(df, self.stop_in_go)
 
+    def _days(self) -> tuple[dt.date, dt.date]:
+        return dt.date.fromisoformat(str(self.start)[:10]), dt.date.fromisoformat(str(self.end)[:10])
+
     def stored_stops(self, spark: SparkSession, path: str, calendar: DataFrame) -> DataFrame:
-        """The selection from stored stops; folders of other months are skipped."""
-        first, last = (dt.date.fromisoformat(str(d)[:10]) for d in (self.start, self.end))
-        return self.stops(read_stops(spark, path, first, last), calendar)
+        """The selection from stored stops; folders without a chosen day are skipped."""
+        return self.stops(read_stops(spark, path, *self._days(), months=True), calendar).drop(MONTH_PARTITION)
+
+    def stored_production(self, spark: SparkSession, path: str, calendar: DataFrame) -> DataFrame:
+        """The selection from stored production records, likewise."""
+        records = read_production(spark, path, *self._days(), months=True)
+        return self.production(records, calendar).drop(MONTH_PARTITION)
 
     def production(self, production: DataFrame, calendar: DataFrame) -> DataFrame:
         df = in_date_range(production, "EffectiveDate", self.start, self.end)

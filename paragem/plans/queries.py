@@ -663,6 +663,44 @@ def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.regression_metrics(predictions).select(F.round("mae", 6).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
+# --- Selections from stored tables ------------------------------------------------
+
+# The rare type of day leaves few months of the production log; the dates leave all.
+STORED_SPEC = filters.FilterSpec("1995-01-01", "2024-12-31", line_group="MAIN LINE", day_type="Parada")
+STORED_CALENDAR = "CASE WHEN day(Data) = 5 AND month(Data) = 2 THEN 'Parada' ELSE 'Produtivo' END AS Tipo"
+
+
+def _stored_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """A calendar, read from its file, in which one day a year is of a type of its own."""
+    path = new_shared_path(spark, "calendar-csv")
+    tables.write_calendar_csv(plant.calendar(spark, sf).selectExpr("Data", STORED_CALENDAR), path)
+    return tables.read_calendar_csv(spark, path)
+
+
+@query(
+    "filter_stored_stops",
+    O.with_tables(
+        O.STOPS,
+        O.filled("(SELECT * FROM stops WHERE LineGroupDesc = 'MAIN LINE' AND month(EffectiveDay) = 2 AND day(EffectiveDay) = 5)"),
+        body=f" SELECT StopId, {', '.join(S.STOP_COLUMNS)} FROM filled WHERE NOT hit",
+    ),
+)
+def filter_stored_stops(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_shared_path(spark, "stops-months")
+    tables.write_stops(plant.stops(spark, sf), path)
+    return STORED_SPEC.stored_stops(spark, path, _stored_calendar(spark, sf)).select("StopId", *S.STOP_COLUMNS)
+
+
+@query(
+    "filter_stored_production",
+    O.with_tables(O.PRODUCTION, body=" SELECT * FROM production WHERE month(EffectiveDate) = 2 AND day(EffectiveDate) = 5"),
+)
+def filter_stored_production(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_shared_path(spark, "production-months")
+    tables.write_production(plant.production(spark, sf), path)
+    return STORED_SPEC.stored_production(spark, path, _stored_calendar(spark, sf))
+
+
 # --- Sources and sinks -----------------------------------------------------------
 
 STOP_SELECT = ", ".join(S.STOP_COLUMNS)

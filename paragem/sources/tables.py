@@ -75,17 +75,27 @@ SCHEMA_FOLDER = "_schema"
 
 
 def write_stops(stops: DataFrame, path: str, mode: str = "error") -> None:
-    """Store stops as Parquet, one folder per month of the effective day.
+    """Store stops as Parquet, one folder per month of the effective day."""
+    _write_by_month(stops, "EffectiveDay", path, mode)
 
-    The rebalance hint gathers each month into few files; adaptive execution splits
-    a month that is too large for one task. The schema is stored last, in a folder that
-    readers of the table pass over: it makes an empty table readable and marks the
-    table as whole.
+
+def write_production(production: DataFrame, path: str, mode: str = "error") -> None:
+    """Store production records as Parquet, one folder per month of their date."""
+    _write_by_month(production, "EffectiveDate", path, mode)
+
+
+def month_of(day: Column) -> Column:
+    return F.year(day) * 100 + F.month(day)
+
+
+def _write_by_month(rows: DataFrame, day: str, path: str, mode: str) -> None:
+    """The rebalance hint gathers each month into few files; adaptive execution splits a
+    month that is too large for one task. The schema is stored last, in a folder that
+    readers of the table pass over: it makes an empty table readable and marks the table as whole.
     """
-    month = F.year("EffectiveDay") * 100 + F.month("EffectiveDay")
-    by_month = stops.withColumn(MONTH_PARTITION, month).hint("rebalance", F.col(MONTH_PARTITION))
+    by_month = rows.withColumn(MONTH_PARTITION, month_of(F.col(day))).hint("rebalance", F.col(MONTH_PARTITION))
     by_month.write.mode(mode).partitionBy(MONTH_PARTITION).parquet(path)
-    schema = stops.sparkSession.createDataFrame([(by_month.schema.json(),)], "value string")
+    schema = rows.sparkSession.createDataFrame([(by_month.schema.json(),)], "value string")
     schema.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{SCHEMA_FOLDER}")
 
 
@@ -101,17 +111,33 @@ def _stored_schema(spark: SparkSession, path: str) -> T.StructType | None:
 
 
 def read_stops(
-    spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None
+    spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, months: bool = False
+) -> DataFrame:
+    """Stored stops, optionally of a date range; folders of other months are skipped.
+
+    ``months`` keeps the column of the folders, through which a join on days can skip more.
+    """
+    return _read_by_month(spark, path, F.col("EffectiveDay"), start, end, months)
+
+
+def read_production(
+    spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None, months: bool = False
+) -> DataFrame:
+    """Stored production records, as ``read_stops``."""
+    return _read_by_month(spark, path, F.to_date("EffectiveDate"), start, end, months)
+
+
+def _read_by_month(
+    spark: SparkSession, path: str, day: Column, start: dt.date | None, end: dt.date | None, months: bool
 ) -> DataFrame:
-    """Stored stops, optionally of a date range; folders of other months are skipped."""
     schema = _stored_schema(spark, path)
     df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    month, day = F.col(MONTH_PARTITION), F.col("EffectiveDay")
+    month = F.col(MONTH_PARTITION)
     if start is not None:
         df = df.filter((month >= start.year * 100 + start.month) & (day >= F.lit(start)))
     if end is not None:
         df = df.filter((month <= end.year * 100 + end.month) & (day <= F.lit(end)))
-    return df.drop(MONTH_PARTITION)
+    return df if months else df.drop(MONTH_PARTITION)
 
 
 def jdbc_stops_options(

@@ -2,6 +2,7 @@ from rows import production, stops
 
 from paragem import schemas as S
 from paragem.operators import filters
+from paragem.sources import tables
 
 
 def ids(df):
@@ -84,3 +85,19 @@ def test_calendar_does_not_shuffle_stops(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "Exchange hashpartitioning" not in plan
     assert df.count() == 1
+
+
+def test_chosen_days_choose_the_folders_of_stored_tables(spark, tmp_path):
+    days = spark.range(400).selectExpr("date_add(date'2024-01-01', CAST(id AS INT)) AS d")
+    records = days.selectExpr("d AS EffectiveDate", "'L1' AS LineDesc", "1 AS ShiftId", "1L AS EffectiveProd", "1L AS TargProd")
+    stored, calendar = str(tmp_path / "production"), str(tmp_path / "calendar")
+    tables.write_production(records, stored)
+    tables.write_calendar_csv(days.selectExpr("d AS Data", "CASE WHEN month(d) = 6 THEN 'A' ELSE 'B' END AS Tipo"), calendar)
+    spec = filters.FilterSpec("2024-01-01", "2025-12-31", day_type="A")
+    found = spec.stored_production(spark, stored, tables.read_calendar_csv(spark, calendar))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruningexpression(EffectiveMonth" in plan
+    assert found.columns == records.columns and found.count() == 30
+    assert found.filter("month(EffectiveDate) <> 6").count() == 0
+    nothing = spec.stored_production(spark, stored, tables.read_calendar_csv(spark, calendar).filter("false"))
+    assert nothing.count() == 0
