@@ -100,7 +100,7 @@ def build(sample: np.ndarray, seed: int = 0) -> Tree:
 
 
 def calibrated_leaves(tree: Tree, sample: np.ndarray, neighbours: int, target: float, queries: int) -> int:
-    """Fewest leaves, doubling, after which ``queries`` sampled vectors find ``target`` of their true neighbours."""
+    """Fewest leaves after which ``queries`` sampled vectors find ``target`` of their true neighbours."""
     if len(sample) < 2:
         return 1
     asked = np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)
@@ -115,7 +115,5 @@ def calibrated_leaves(tree: Tree, sample: np.ndarray, neighbours: int, target: f
         seen = tree.best_bins(sample[q], len(tree.count), held, 0)
         order[seen] = np.arange(len(seen))
         place[row] = order[leaf[near[row]]]
-    leaves = 1
-    while leaves < len(tree.leaves) and (place < leaves).mean() < target:
-        leaves *= 2
-    return min(leaves, len(tree.leaves))
+    wanted = max(1, int(np.ceil(target * place.size)))
+    return min(int(np.partition(place.ravel(), wanted - 1)[wanted - 1]) + 1, len(tree.leaves))

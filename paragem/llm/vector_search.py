@@ -21,7 +21,7 @@ NEIGHBOURS = 10
 #: Bounds of the fit: vectors in the sample, and numbers in all of them.
 SAMPLE, SAMPLE_NUMBERS = 16_384, 2_000_000
 #: Recall that the visited leaves must reach on the sampled queries, and the number of these.
-RECALL, CALIBRATION = 0.98, 256
+RECALL, CALIBRATION = 0.95, 256
 #: Vectors and queries in a block.
 BLOCK, ASKED = 1024, 256
 
@@ -38,6 +38,26 @@ def smallest(rows: DataFrame, keys: list[str], order: list[str], n: int) -> Data
     return rows.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
+def sampled(distinct: DataFrame, rows: int, length: int) -> np.ndarray:
+    """About ``rows`` of the distinct vectors ``v``, or all if they are fewer, in a fixed order.
+
+    The hash of a vector tells whether it is drawn, so tasks send nothing else to the driver.
+    """
+    total = distinct.count()
+    drawn = distinct
+    if total > rows:
+        drawn = distinct.filter(F.xxhash64("v") < F.lit(int(rows / total * 2**64) - 2**63))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"data": [np.stack(batch["v"].to_numpy()).astype("<f8").tobytes()]})
+
+    data = b"".join(bytes(r[0]) for r in drawn.select("v").mapInPandas(pack, "data binary").collect())
+    found = np.frombuffer(data, "<f8").reshape(-1, length)
+    return found[np.lexsort(found.T[::-1])]
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS, recall: float = RECALL
 ) -> DataFrame:
@@ -63,8 +83,7 @@ def nearest(
     distinct = stage(kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
 
     sample_rows = min(SAMPLE, SAMPLE_NUMBERS // length)
-    picked = distinct.select("v").orderBy(F.xxhash64("v")).limit(sample_rows).toPandas()
-    sample = np.stack(picked["v"].to_numpy()).astype(np.float64)
+    sample = sampled(distinct, sample_rows, length)
     tree = build(sample)
     leaves = calibrated_leaves(tree, sample, neighbours, recall, CALIBRATION)
     spark = vectors.sparkSession
