@@ -192,7 +192,7 @@ def repeated_in_fragments(distinct: DataFrame, span: int) -> DataFrame:
 def repeated_spans(
     docs: DataFrame, span: int = SPAN, gram: int = GRAM, frequent: int = FREQUENT, wide: int = STEP
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether a byte is removed).
 
     Removed is each byte of a text (UTF-8, null as empty) inside a string of ``span``
     bytes that starts anywhere else too, in any row or the same one; overlapping starts
@@ -255,10 +255,12 @@ def repeated_spans(
     found = stage(copies.join(cleaned, "key", "left"), "removed")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    removed = F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
     return marks.join(found, "key").select(
         "doc_id",
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        removed.alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, nothing).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
+        (removed > 0).alias("repeats"),
     )
