@@ -1041,3 +1041,6 @@ def rul_report(spark: SparkSession, sf: str) -> DataFrame:
 
 #: What several queries share, by name: bench times it apart.
 PREPARATIONS = {"grouped stops": _stored_groups_path, "risk model": _risk_training, "life model": _rul_training}
+
+#: Queries that train a model of their own each time.
+TRAININGS = {"breakdown_planted_signal", "rul_planted_signal"}

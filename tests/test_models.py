@@ -8,6 +8,7 @@ from paragem import schemas as S
 from paragem.models import attribution, remaining_life, risk
 from paragem.models.store import ModelNotFound, load_model, save_model
 from paragem.operators import metrics, sampling
+from paragem.plans.dashboard import Dashboard
 from paragem.session import new_shared_path, stage
 
 
@@ -180,3 +181,20 @@ def test_split_whose_brackets_miss_is_exact_all_the_same(spark):
         sampling._brackets = real
     hashes = sorted(r.hash for r in rows.filter("level = 1").collect())
     assert sum(h <= whole[1] for h in hashes) in (1332, 1333, 1334)
+
+
+def test_page_shows_risks_and_coming_failures(spark, plant, fitted):
+    page = Dashboard(plant, None)
+    shown = page.risk(fitted.model, shift=2)
+    report = shown["relatorio"].collect()
+    top = shown["maior_risco"].first()
+    assert report[0].ElementDesc == top.ElementDesc == "E0" and top.ShiftId == "2"
+    assert report[0][risk.RISK] == f"{100 * top[risk.RISK]:.2f}%"
+    assert shown["fatores"].first().feature == "ElementDesc"
+    names = ", ".join(f"{c} double" for c in S.RUL_MODEL_COLUMNS)
+    rows = [(f"E{i % 5}", dt.date(2025, 1, 1 + i), *[float(i)] * 7, 9.0) for i in range(20)]
+    features = spark.createDataFrame(rows, f"ElementDesc string, StartTime date, {names}, RUL double")
+    life = remaining_life.train(features, trees=2, depth=2)
+    coming = page.remaining_life(life.model, features, F.lit("2025-01-20").cast("date"))
+    assert sorted(r[0] for r in coming["previsoes"].collect()) == ["E0", "E1", "E2", "E3"]  # E4 was not selected
+    assert coming["apresentacao"].count() == 4
