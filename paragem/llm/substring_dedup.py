@@ -5,11 +5,15 @@ an anchor: the leftmost of its GRAM-byte grams with the least hash, at the same
 in equal strings. Strings of one text that follow each other mostly share it, so a text
 is a sequence of overlapping fragments, one for each anchor. Fragments meet by anchor,
 and only those whose anchor stands in two places are built at all. Where an anchor is
-frequent, its fragments are cut to STEP starts each and meet by what these all contain,
-so a passage in very many texts does not gather in one task.
+frequent, its fragments are cut to STEP starts each and meet by what these all contain.
 
 Aligned at their anchors, the fragments of a partition are a collection of strings for
 ``column_bwt``. Its input and output are sequential files, shuffled and sorted by Spark.
+Fragments over the edge of a passage in very many texts share their meeting key and
+differ outside it, so they do not collapse. Where GATHERED different ones or more
+would meet, they are cut to single starts: aligned strings of SPAN bytes, of which
+different ones need not meet at all and equal ones are summed up before they are
+shuffled.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ FREQUENT, STEP = 1024, 64
 SEGMENT = 1 << 19
 #: Texts whose fragments are handed on together; fragments in a collection.
 TEXTS, COLLECTION = 64, 2048
+#: Different fragments with one meeting key that no longer meet in one task.
+GATHERED = 256
 
 WRAP = 0xFFFFFFFFFFFFFFFF
 BASE = 0x9E3779B97F4A7C15
@@ -189,8 +195,37 @@ def repeated_in_fragments(distinct: DataFrame, span: int) -> DataFrame:
     return together.mapInPandas(collections, "id_a long, id_b long, first int, last int")
 
 
+def summed(cut: DataFrame) -> DataFrame:
+    """Each different fragment of ``cut`` with the number ``n`` of its places."""
+    return cut.groupBy("meet", "left", "bytes", "id_a", "id_b").agg(F.sum(F.size("starts")).alias("n"))
+
+
+def crowded_keys(cut: DataFrame, gathered: int) -> DataFrame:
+    """(meet): the keys of ``gathered`` different fragments or more, from their identities alone."""
+    different = cut.select("meet", "id_a", "id_b").distinct().groupBy("meet").count()
+    return different.filter(F.col("count") >= gathered).select("meet")
+
+
+def repeated_starts(distinct: DataFrame, span: int) -> DataFrame:
+    """(id_a, id_b, first, last) of each repeated start of each fragment; strings of ``span`` bytes meet by identity."""
+    starts = F.explode(F.sequence(F.lit(0), F.length("bytes") - span)).alias("first")
+    own = F.substring("bytes", F.col("first") + 1, F.lit(span))
+    strings = distinct.select("id_a", "id_b", "n", "bytes", starts).select(
+        "id_a", "id_b", "n", "first", F.xxhash64(F.lit(3), own).alias("string_a"), F.xxhash64(F.lit(4), own).alias("string_b")
+    )
+    strings = stage(strings, "strings")
+    several = strings.groupBy("string_a", "string_b").agg(F.sum("n").alias("places")).filter("places > 1")
+    hits = strings.join(several.drop("places"), ["string_a", "string_b"])
+    return hits.select("id_a", "id_b", "first", F.col("first").alias("last"))
+
+
 def repeated_spans(
-    docs: DataFrame, span: int = SPAN, gram: int = GRAM, frequent: int = FREQUENT, wide: int = STEP
+    docs: DataFrame,
+    span: int = SPAN,
+    gram: int = GRAM,
+    frequent: int = FREQUENT,
+    wide: int = STEP,
+    gathered: int = GATHERED,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether a byte is removed).
 
@@ -198,7 +233,8 @@ def repeated_spans(
     bytes that starts anywhere else too, in any row or the same one; overlapping starts
     count. Texts shorter than ``span`` stay as they are, repeated or not. Equal texts of
     ``span`` bytes or more go entirely. Ids may be null or repeat: rows are told apart by
-    their text only. Other columns are not read; an empty table gives an empty result.
+    their text only. Texts of any length are read in segments. Other columns are not
+    read; an empty table gives an empty result.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
@@ -219,8 +255,9 @@ def repeated_spans(
     identity = [F.xxhash64(F.lit(seed), "meet", "left", "bytes").alias(name) for seed, name in ((1, "id_a"), (2, "id_b"))]
     cut = stage(rows.select("*", *identity), "fragments")
 
-    distinct = cut.groupBy("meet", "left", "bytes", "id_a", "id_b").agg(F.sum(F.size("starts")).alias("n"))
-    hits = repeated_in_fragments(distinct, span)
+    crowded = stage(crowded_keys(cut, gathered), "crowded")
+    hits = repeated_in_fragments(summed(cut.join(crowded, "meet", "left_anti")), span)
+    hits = hits.unionByName(repeated_starts(summed(cut.join(crowded, "meet", "left_semi")), span))
     hits = hits.groupBy("id_a", "id_b").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     covered = F.flatten(
         F.transform(

@@ -64,19 +64,44 @@ def test_repeated_runs_need_the_same_columns():
     assert list(zip(own, first, last, strict=True)) == [(0, 1, 2), (1, 0, 1)]
 
 
-@pytest.mark.parametrize("frequent", [3, 1000])
-def test_against_all_strings(spark, frequent):
+@pytest.mark.parametrize(("frequent", "gathered"), [(3, 1000), (1000, 1000), (3, 2), (1000, 5)])
+def test_against_all_strings(spark, frequent, gathered):
     texts = random_texts(frequent, 60)
     docs = spark.createDataFrame(
         [(None if i == 9 else i // 2 * 2, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int"
     )
-    got = S.repeated_spans(docs, span=40, gram=10, frequent=frequent, wide=7).collect()
+    got = S.repeated_spans(docs, span=40, gram=10, frequent=frequent, wide=7, gathered=gathered).collect()
     want = brute(texts, 40)
     assert sorted(tuple(r)[1:] for r in got) == sorted((*row, row[1] > 0) for row in want)
     by_id = {(r.doc_id, r.kept_sha256, r.n_bytes) for r in got}
     assert all((None if i == 9 else i // 2 * 2, w[3], w[0]) in by_id for i, w in enumerate(want))
 
 
+def test_a_passage_in_a_third_of_all_texts_gathers_nowhere(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=520))
+
+    def other(k):
+        return "".join(rng.choices("abcdefgh ", k=k))
+
+    texts = [other(rng.randrange(300)) + (passage if i % 3 == 0 else other(500)) + other(rng.randrange(300)) for i in range(3000)]
+    groups = []
+    crowded = S.crowded_keys
+
+    def watched(cut, gathered):
+        keys = crowded(cut, gathered)
+        rest = S.summed(cut.join(keys, "meet", "left_anti")).groupBy("meet").count()
+        groups.append((keys.count(), max(r["count"] for r in rest.collect())))
+        return keys
+
+    monkeypatch.setattr(S, "crowded_keys", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = S.repeated_spans(docs, frequent=100).collect()
+    assert sorted(tuple(r)[1:5] for r in got) == sorted(brute(texts, S.SPAN))
+    [(keys, largest)] = groups
+    assert keys > 0 and largest < S.GATHERED
+
+
 def test_segments_do_not_change_the_result(monkeypatch):
     text = "".join(random.Random(1).choices("abc", k=3000)).encode()
     whole = {(s, p, h) for a, b, p, h in S.runs(text, 40, 10) for s in range(a, b + 1)}
@@ -86,5 +111,19 @@ def test_segments_do_not_change_the_result(monkeypatch):
     S.powers.cache_clear()
 
 
+def test_text_of_several_segments(spark):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnop"
+    passage = "".join(rng.choices(letters, k=900))
+    long = "".join(rng.choices(letters, k=S.SEGMENT - 450))
+    texts = [long + passage + "".join(rng.choices(letters, k=S.SEGMENT)), "é" + passage]
+    got = S.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}
+    rest = [texts[0].replace(passage, ""), "é"]
+    assert found == {
+        i: (len(t.encode()), 900, 1, hashlib.sha256(rest[i].encode()).hexdigest()) for i, t in enumerate(texts)
+    }
+
+
 def test_empty_table(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
