@@ -2,6 +2,7 @@ from collections import Counter
 
 import pytest
 from corpus import documents, with_clashing_columns
+from pyspark.sql import functions as F
 
 from paragem.llm import mixing as M
 
@@ -54,6 +55,33 @@ def test_each_leaf_gets_the_shortest_prefix_of_its_epochs(spark, monkeypatch, sh
         assert all(r.epoch <= whole + 1 for r in own)
 
 
+def test_prefixes_against_plain_python(spark, monkeypatch):
+    """Budgets worked out by hand, rows of each leaf laid out one by one in the order of their epoch."""
+    monkeypatch.setattr(M, "STEP_ROWS", 8)
+    mix = M.Mix(share=0.9, max_epochs=2, seed=11, domains=DOMAINS, weights={"web": 3.0})
+    table = docs(spark)
+    # 300 rows of 1 to 9 words (1 491 in all), 300 words and 160 words; 0.9 of 1 951 are 1 755.9.
+    # code gets a quarter but holds 160 * 2, web the other 1 435.9, of which de and en half each; de holds 300 * 2.
+    budgets = {"c": 320.0, "b": 600.0, "a": 0.9 * 1951 - 320 - 600}
+    rows = table.collect()
+    assert sum(len(r.text.split()) for r in rows if r.source == "a") == 1491
+    hashes = table.withColumn("epoch", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        "doc_id", "epoch", F.xxhash64(F.lit(11), "epoch", "doc_id", F.xxhash64("text")).alias("h")
+    )
+    place = {(r.doc_id, r.epoch): r.h & (1 << 64) - 1 for r in hashes.collect()}
+    want = set()
+    for source, budget in budgets.items():
+        taken = 0
+        for epoch in (1, 2):
+            own = [r for r in rows if r.source == source]
+            for r in sorted(own, key=lambda r: place[r.doc_id, epoch]):
+                if taken < budget - 1e-9:
+                    want.add((r.doc_id, epoch))
+                    taken += len(r.text.split())
+    got = [(r.doc_id, r.epoch) for r in M.draws(table, mix).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_same_seed_same_rows_another_seed_others(spark):
     table, draw = docs(spark), lambda d, s: {(r.doc_id, r.epoch) for r in M.draws(d, M.Mix(0.3, seed=s)).collect()}
     assert draw(table, 1) == draw(table.repartition(7), 1) != draw(table, 2)
