@@ -90,6 +90,38 @@ def test_megabytes_of_varied_text_keep_their_language():
         assert abs(short[k] - long[k]) < 0.05
 
 
+def grams(text):
+    """Slots of the n-grams of a text, one n-gram after the other."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    out = set()
+    for n in range(1, L.LONGEST + 1):
+        for at in range(len(raw) - n + 1):
+            key = 0
+            for b in raw[at : at + n]:
+                key = (key * 257 + b + 1) % 2**32
+            mixed = (key ^ (key >> 15)) * 0x2C1B3C6D % 2**32
+            out.add((mixed ^ (mixed >> 12)) % L.SLOTS)
+    return out
+
+
+def test_scores_against_plain_kernel_ridge_regression():
+    """With every text a landmark, the scores are those of ridge regression on the whole kernel."""
+    known = sorted((lang, text) for _, text, lang, _ in rows(60))
+    new = ["bela strum", "Mika Lona", "krent wolst grimp", "üñe ûra", "x"]
+    model = L.learned(known, landmarks=len(known), ridge=0.01)
+    own, others = [grams(t) for _, t in known], [grams(t) for t in new]
+
+    def kernel(many, few):
+        return np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in few] for a in many])
+
+    target = np.array([[float(lang == name) for name in model.languages] for lang, _ in known])
+    weights = np.linalg.solve(kernel(own, own) + 0.01 * len(known) * np.eye(len(known)), target)
+    want = kernel(others, own) @ weights
+    got = model.scores([t.encode() for t in new])
+    assert np.abs(got - want).max() < 1e-3
+    assert [model.languages[k] for k in got[1:4].argmax(axis=1)] == ["aa", "bb", "cc"]  # the first is of two
+
+
 def test_parts_cover_a_text():
     for n in (0, 1, L.PART, L.PART + 1, 5 * L.PART + 3):
         text = bytes(i % 251 for i in range(n))
