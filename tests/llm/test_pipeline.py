@@ -51,6 +51,25 @@ def test_stages_take_effect_in_order(spark, tmp_path):
     assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in packed}) == len(packed)
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    from corpus import documents
+
+    documents(spark, "a").filter("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[:2] == ["doc_id", "piece"] and out.collect() == []
+
+
+def test_pipeline_of_null_ids_and_clashing_columns(spark, tmp_path):
+    from corpus import documents, with_clashing_columns
+
+    rows = [(i, f"plain text number {i} about topic {i * 7}", "en" if i % 2 else "de", f"s{i % 3}") for i in range(30)]
+    rows += [(None, "a text that has no number of its own", None, None), (None, "1 2 3", "en", "s0")]
+    with_clashing_columns(documents(spark, *rows)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} <= {None, *range(30)} and packed
+    assert all(r.offset + r.length <= 1024 for r in packed)
+
+
 def test_stage_results_follow_from_the_operators(spark):
     docs = read(spark, SF, "documents")
     unique = {r.keep_id for r in exact_dedup.exact_groups(docs).collect()}
