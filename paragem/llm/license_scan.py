@@ -1,10 +1,12 @@
-"""License notices in texts: fixed phrases, and an exact set-similarity join with notice templates.
-
-A text is cut into blocks of BLOCK words, a new one every half. A block matches a
-template when it holds THRESHOLD of the template's distinct words. The join orders
-the template words by how many texts hold them, rarest first. A block is looked at only
-if it holds a word of the template's prefix; it must be long enough, and the words after
-the first common one must be able to make up the threshold on both sides.
+"""Licenses in texts: fixed phrases, and an exact set-similarity join with templates, notices or whole licences.
+
+A text is cut into blocks, a new one every half. Blocks for a template have BLOCK words,
+doubled until half a block takes the whole template, so that an unchanged copy lies
+inside one block wherever it stands. A block matches a template when it holds THRESHOLD
+of the template's distinct words. The join orders the template words by how many texts
+hold them, rarest first. A block is looked at only if it holds a word of the template's
+prefix; it must be long enough, and the words after the first common one must be able to
+make up the threshold on both sides.
 """
 
 from __future__ import annotations
@@ -16,25 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The phrases that count and their labels.
-PHRASES = {
-    "mit license": "mit",
-    "apache license": "apache",
-    "general public license": "gpl",
-}
-# Notices and their labels.
-TEMPLATES = {
-    "released under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "this work is licensed under the gnu general public license version 3": "gpl",
-    "under the terms of the gnu lesser general public license": "lgpl",
-    "redistribution and use in source and binary forms are permitted": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "all rights reserved": "reserved",
-}
+from paragem.llm.license_texts import PHRASES, TEMPLATES
+
 THRESHOLD = 0.8
+#: Words of the shortest blocks.
 BLOCK = 32
 
 #: Word signs are digits, a-z after lower-casing A-Z, and all that is not ASCII; every other byte becomes a space.
@@ -47,6 +34,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
 
+def block_words(template: str, block: int = BLOCK) -> int:
+    """Words of the blocks that are compared with a template: ``block``, doubled until half of them takes it whole."""
+    size = len(words_of(template))
+    while block < 2 * size:
+        block *= 2
+    return block
+
+
 def needed(size: int, threshold: float) -> int:
     """Fewest words of ``size`` that are ``threshold`` of it."""
     return next(n for n in range(size + 1) if n >= threshold * size - 1e-9)
@@ -139,14 +134,19 @@ def scan(
     Columns: doc_id, n_words, n_base (places of phrases), first_word and last_word (their
     smallest and largest start; null without one), base_labels, labels (of phrases and
     of matching templates; distinct, sorted, comma-joined, empty if there are none) and
-    score: 1 with a phrase, else the largest containment of a match, else 0. A null text
+    score: 1 with a phrase, else the largest containment of a match, else 0. Templates
+    may have any length; ``block`` is the least number of words in a block. A null text
     has no words. Repeated rows come back once each, ids may be null; an empty table gives
     an empty result.
     """
     vocabulary = frozenset(w for t in templates for w in words_of(t))
-    index = TemplateIndex(templates, texts_with_words(docs, vocabulary), threshold)  # bounded by the templates
+    texts_with = texts_with_words(docs, vocabulary)  # bounded by the templates
+    by_length: dict[int, dict[str, str]] = {}
+    for template, label in templates.items():
+        by_length.setdefault(block_words(template, block), {})[template] = label
+    indexes = {wide: TemplateIndex(own, texts_with, threshold) for wide, own in by_length.items()}
     starts = frozenset(words_of(p)[0] for p in phrases)
-    wanted = frozenset(index.prefixes)
+    wanted = {wide: frozenset(index.prefixes) for wide, index in indexes.items()}
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -156,9 +156,10 @@ def scan(
                 distinct = set(words)
                 base = phrase_places(words, phrases) if distinct & starts else []
                 matched = []
-                if distinct & wanted:
-                    for part in blocks_with(words, wanted, block):
-                        matched += index.matches(set(part))
+                for wide, index in indexes.items():
+                    if distinct & wanted[wide]:
+                        for part in blocks_with(words, wanted[wide], wide):
+                            matched += index.matches(set(part))
                 places = [at for at, _ in base]
                 own, more = {label for _, label in base}, {label for label, _ in matched}
                 score = 1.0 if base else max((s for _, s in matched), default=0.0)
@@ -186,7 +187,8 @@ def scan_sql(
     listed = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
     phrase_rows = ", ".join(f"({listed(words_of(p))}, '{label}')" for p, label in phrases.items())
     template_rows = ", ".join(
-        f"({listed(sorted(set(words_of(t))))}, '{label}', {needed(len(set(words_of(t))), threshold)})"
+        f"({listed(sorted(set(words_of(t))))}, '{label}', {needed(len(set(words_of(t))), threshold)}, "
+        f"{block_words(t, block)})"
         for t, label in templates.items()
     )
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -195,7 +197,7 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'),
          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
 phrase(parts, label) AS (VALUES {phrase_rows}),
-template(parts, label, need) AS (VALUES {template_rows}),
+template(parts, label, need, wide) AS (VALUES {template_rows}),
 place AS (
   SELECT r, s - 1 AS pos, label FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS s FROM d) w, phrase
   WHERE words[s] = parts[1] AND words[s : s + len(parts) - 1] = parts),
@@ -203,11 +205,13 @@ base AS (
   SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS own
   FROM place GROUP BY r),
 blocks AS (
-  SELECT r, list_distinct(words[s + 1 : s + {block}]) AS held
-  FROM (SELECT r, words, unnest(range(0, len(words), {block // 2})) AS s FROM d)),
+  SELECT r, wide, list_distinct(words[s + 1 : s + wide]) AS held
+  FROM (SELECT r, words, wide, unnest(range(0, len(words), wide // 2)) AS s
+        FROM d, (SELECT DISTINCT wide FROM template) w)),
 matched AS (
   SELECT r, list(DISTINCT label) AS more, max(n_common / len(parts)) AS score
-  FROM (SELECT r, label, parts, need, len(list_intersect(held, parts)) AS n_common FROM blocks, template)
+  FROM (SELECT r, label, parts, need, len(list_intersect(held, parts)) AS n_common
+        FROM blocks JOIN template USING (wide))
   WHERE n_common >= need GROUP BY r)
 SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,

@@ -51,3 +51,32 @@ def test_filters_lose_no_block():
                 if len(parts & block) >= L.needed(len(parts), L.THRESHOLD)
             }
             assert set(index.matches(block)) == every
+
+
+def test_whole_licenses_in_long_texts(spark):
+    """A licence anywhere in a text is found, with a tenth of its words replaced too; half of it is not."""
+    rng = random.Random(5)
+    filler = [f"filler{i}" for i in range(5000)]
+    whole = {t: label for t, label in L.TEMPLATES.items() if len(L.words_of(t)) > L.BLOCK}
+    assert max(L.block_words(t) for t in whole) > 256
+    rows, want = [], {}
+    for k, (template, label) in enumerate(whole.items()):
+        words = [w.decode() for w in L.words_of(template)]
+        worn = [f"x{i}" if i % 10 == 3 else w for i, w in enumerate(words)]
+        for j, inside in enumerate((words, worn, words[: len(words) // 2])):
+            before, after = (rng.choices(filler, k=rng.randrange(900)) for _ in range(2))
+            rows.append((10 * k + j, " ".join([*before, *inside, *after])))
+            want[10 * k + j] = label if j < 2 else None
+    got = {r.doc_id: r for r in L.scan(documents(spark, *rows), phrases={}, templates=whole).collect()}
+    assert {i: r.labels or None for i, r in got.items()} == want
+    assert all((r.score >= L.THRESHOLD) == bool(want[i]) for i, r in got.items())
+
+
+def test_blocks_follow_the_template(spark):
+    """A copy lies inside one block wherever it begins, and blocks of megabytes of text are all looked at."""
+    template = " ".join(f"w{i}" for i in range(100))
+    assert L.block_words(template) == 256 and L.block_words("all rights reserved") == L.BLOCK
+    rows = [(n, "x " * n + template + " y" * 50) for n in (0, 1, 127, 128, 129, 300)]
+    rows.append((1000, "x " * 2_000_000 + template))
+    out = L.scan(documents(spark, *rows), phrases={}, templates={template: "t"}, threshold=1.0).collect()
+    assert all(r.labels == "t" and r.score == 1.0 for r in out) and len(out) == 7
