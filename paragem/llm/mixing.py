@@ -47,42 +47,55 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def filled(budget: float, children: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """Divide ``budget`` among children {name: (weight, capacity)} by weight, passing on what a child cannot hold.
-
-    Children of weight 0 only get what the others cannot hold, in proportion to their capacity.
+def divided(children: DataFrame, parent: list[str], name: str) -> DataFrame:
+    """``children`` with the ``budget`` of their parent divided among them; columns weight, capacity and budget are read.
+
+    Children get the budget by weight. What one cannot hold goes to its siblings by
+    weight: in the order of capacity to weight a child is full if the budget left before it
+    fills it and, at that rate, all after it. Children of weight 0 only get what the others
+    cannot hold, in proportion to their capacity. Siblings meet in one window, read row by
+    row.
     """
-    got = dict.fromkeys(children, 0.0)
-    for weighted in (True, False):
-        taking = {n: w if weighted else c for n, (w, c) in children.items() if (w > 0) == weighted and c > 0}
-        while taking and budget > 1e-9:
-            total = sum(taking.values())
-            full = [n for n, w in taking.items() if budget * w / total >= children[n][1]]
-            if not full:
-                return got | {n: budget * w / total for n, w in taking.items()}
-            for n in full:
-                got[n] = children[n][1]
-                budget -= got[n]
-                del taking[n]
-    return got
-
-
-def leaf_budgets(leaves: dict[tuple[str, ...], int], mix: Mix) -> dict[tuple[str, ...], float]:
-    """Tokens that each leaf has to give; ``leaves`` has the tokens of each path."""
-    capacity: dict[tuple[str, ...], float] = {(): 0.0}
-    below: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
-    for path, tokens in leaves.items():
-        for depth in range(len(path) + 1):
-            capacity[path[:depth]] = capacity.get(path[:depth], 0.0) + tokens * mix.max_epochs
-        for depth in range(len(path)):
-            below.setdefault(path[:depth], set()).add(path[: depth + 1])
-    budgets = {(): min(mix.share * sum(leaves.values()), capacity[()])}
-    for depth in range(len(LEVELS)):
-        for path in [p for p in budgets if len(p) == depth]:
-            children = {"/".join(p): p for p in sorted(below.get(path, ()))}
-            room = {n: (float(mix.weights.get(n, 1.0)), capacity[p]) for n, p in children.items()}
-            budgets |= {children[n]: b for n, b in filled(budgets[path], room).items()}
-    return {p: b for p, b in budgets.items() if len(p) == len(LEVELS)}
+    weight = F.when(F.col("capacity") > 0, F.col("weight")).otherwise(0.0)
+    rows = children.withColumn("weight", weight).withColumn("rate", F.when(weight > 0, F.col("capacity") / weight))
+    up = Window.partitionBy(*parent).orderBy(F.col("rate").asc_nulls_last(), name)
+    down = Window.partitionBy(*parent).orderBy(F.col("rate").desc_nulls_first(), F.desc(name))
+    all_of = Window.partitionBy(*parent)
+    rows = rows.withColumns({
+        "before": F.coalesce(F.sum("capacity").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "open": F.sum("weight").over(down.rowsBetween(Window.unboundedPreceding, 0)),
+    })
+    rows = rows.withColumn("full", (F.col("rate") * F.col("open") <= F.col("budget") - F.col("before")) & (weight > 0))
+    rows = rows.withColumns({
+        "rest": F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("capacity"))).over(all_of), F.lit(0.0)),
+        "open": F.sum(F.when(~F.coalesce("full", F.lit(False)), F.col("weight"))).over(all_of),
+        "spare": F.sum(F.when(F.col("weight") == 0, F.col("capacity"))).over(all_of),
+    })
+    got = (
+        F.when(F.col("full"), F.col("capacity"))
+        .when(F.col("weight") > 0, F.col("rest") * F.col("weight") / F.col("open"))
+        .when(F.coalesce("open", F.lit(0.0)) > 0, 0.0)
+        .when((F.col("rest") > 1e-9) & (F.col("spare") > 0),
+              F.col("capacity") * F.least(F.lit(1.0), F.col("rest") / F.col("spare")))
+        .otherwise(0.0)
+    )
+    return rows.withColumn("budget", got).drop("rate", "before", "open", "full", "rest", "spare", "weight")
+
+
+def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
+    """``leaves`` (LEVELS, tokens) with the ``budget`` of each, divided level by level from the top."""
+    rows = leaves.withColumn("root", F.lit(0)).withColumn("capacity", F.col("tokens") * F.lit(float(mix.max_epochs)))
+    total = F.sum("tokens").cast("double")
+    known = rows.groupBy("root").agg(F.least(total * F.lit(mix.share), F.sum("capacity")).alias("budget"))
+    listed = [F.lit(x) for path, w in mix.weights.items() for x in (path, float(w))]
+    for depth, name in enumerate(LEVELS):
+        parent = ["root", *LEVELS[:depth]]
+        nodes = rows.groupBy(*parent, name).agg(F.sum("capacity").alias("capacity"))
+        path = F.concat_ws("/", *LEVELS[: depth + 1])
+        weight = F.coalesce(F.try_element_at(F.create_map(*listed), path), F.lit(1.0)) if listed else F.lit(1.0)
+        nodes = nodes.join(known, parent).withColumn("weight", weight)
+        known = divided(nodes, parent, name).select(*parent, name, "budget")
+    return leaves.join(known.drop("root"), list(LEVELS))
 
 
 def draws(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -94,8 +107,7 @@ def draws(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     Null lang or source are a leaf of their own, named ``none``. Documents without words
     weigh nothing and come with the prefix they stand in; a leaf of such documents only
     has no budget and gives none. The last document of a prefix may run over the
-    budget. An empty table gives an empty result. The tree, one row per leaf, is the
-    only thing that reaches the driver.
+    budget. An empty table gives an empty result. Nothing is sent to the driver.
     """
     counted = docs.select(
         F.col("doc_id"),
@@ -107,24 +119,18 @@ def draws(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
     counted = stage(counted.groupBy(*counted.columns).agg(F.count(F.lit(1)).alias("copies")), "mix-tokens")
     weight = F.col("tokens") * F.col("copies")
-    leaves = counted.groupBy(*LEVELS).agg(F.sum(weight).alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
-    budgets = leaf_budgets({tuple(r[k] for k in LEVELS): r["tokens"] for r in leaves}, mix)
-    spark = docs.sparkSession
-    goals = [
-        (*path, float(budgets[path] - whole * r["tokens"]), int(whole + k), -(-r["rows"] // STEP_ROWS), k == 1)
-        for r in leaves
-        for path in [tuple(r[k] for k in LEVELS)]
-        for whole in [int(budgets[path] // r["tokens"]) if r["tokens"] else 0]
-        for k in (0, 1)
-        if (k == 1 and budgets[path] > whole * r["tokens"]) or (k == 0 and whole)
-    ]
-    schema = ", ".join(f"{k} string" for k in LEVELS) + ", goal double, epoch int, steps int, partial boolean"
-    goal = spark.createDataFrame(goals, schema)
-    whole = counted.join(goal.filter("not partial"), list(LEVELS))
-    whole = whole.withColumn("epoch", F.explode(F.sequence(F.lit(1), "epoch")))
+    leaves = counted.groupBy(*LEVELS).agg(F.sum(weight).alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    times = F.coalesce(F.floor(F.try_divide("budget", "tokens")), F.lit(0)).cast("int")
+    goal = leaf_budgets(stage(leaves, "mix-leaves"), mix).select(
+        *LEVELS, times.alias("times"), (F.col("budget") - times * F.col("tokens")).alias("goal"),
+        F.ceil(F.col("rows") / STEP_ROWS).alias("steps"),
+    )
+    goal = stage(goal, "mix-goals")
+    whole = counted.join(goal.filter("times > 0"), list(LEVELS))
+    whole = whole.withColumn("epoch", F.explode(F.sequence(F.lit(1), "times")))
 
     # the order of an epoch is the hash of seed, epoch, id and text; steps are equal ranges of it
-    part = counted.join(goal.filter("partial"), list(LEVELS))
+    part = counted.join(goal.filter("goal > 0"), list(LEVELS)).withColumn("epoch", F.col("times") + 1)
     part = part.withColumn("order", F.xxhash64(F.lit(mix.seed), "epoch", "doc_id", "text_hash"))
     part = part.withColumn("step", F.floor((F.shiftrightunsigned("order", 1) / F.lit(2.0**63)) * F.col("steps")))
     before = Window.partitionBy(*LEVELS).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,9 +152,16 @@ def draws(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of ``docs`` once per epoch in which they are drawn, with their columns."""
-    drawn = draws(docs, mix).groupBy("doc_id", "text_hash", "epoch").agg(F.lit(1).alias("one"))
-    times = drawn.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")).toDF("drawn_id", "hash", "times")
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("own_hash"))
+    """The rows of ``docs`` once per epoch in which they are drawn, with their columns.
+
+    Rows that repeat id, text, lang and source are drawn together; rows that share id and
+    text only are drawn apart, each with its leaf. An empty table gives an empty one.
+    """
+    # draws has one row per id, text, lang, source and epoch
+    times = draws(docs, mix).groupBy("doc_id", "text_hash", "lang", "source").agg(F.count(F.lit(1)).alias("times"))
+    times = times.toDF("drawn_id", "hash", "drawn_lang", "drawn_source", "times")
+    leaf = [F.coalesce(F.col(k).cast("string"), F.lit("none")).alias(f"own_{k}") for k in ("lang", "source")]
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("own_hash"), *leaf)
     same = row["doc_id"].eqNullSafe(times["drawn_id"]) & (row["own_hash"] == times["hash"])
+    same &= (row["own_lang"] == times["drawn_lang"]) & (row["own_source"] == times["drawn_source"])
     return row.join(times, same).select(F.explode(F.array_repeat("row", F.col("times").cast("int"))).alias("row")).select("row.*")

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -15,20 +16,58 @@ def docs(spark):
     return documents(spark, *rows)
 
 
+def filled(budget: float, children: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Divide ``budget`` among children {name: (weight, capacity)} by weight, passing on what a child cannot hold.
+
+    Children of weight 0 only get what the others cannot hold, in proportion to their capacity.
+    """
+    got = dict.fromkeys(children, 0.0)
+    for weighted in (True, False):
+        taking = {n: w if weighted else c for n, (w, c) in children.items() if (w > 0) == weighted and c > 0}
+        while taking and budget > 1e-9:
+            total = sum(taking.values())
+            full = [n for n, w in taking.items() if budget * w / total >= children[n][1]]
+            if not full:
+                return got | {n: budget * w / total for n, w in taking.items()}
+            for n in full:
+                got[n] = children[n][1]
+                budget -= got[n]
+                del taking[n]
+    return got
+
+
+def leaf_budgets(leaves: dict[tuple[str, ...], int], mix) -> dict[tuple[str, ...], float]:
+    """Tokens that each leaf has to give; ``leaves`` has the tokens of each path."""
+    capacity: dict[tuple[str, ...], float] = {(): 0.0}
+    below: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
+    for path, tokens in leaves.items():
+        for depth in range(len(path) + 1):
+            capacity[path[:depth]] = capacity.get(path[:depth], 0.0) + tokens * mix.max_epochs
+        for depth in range(len(path)):
+            below.setdefault(path[:depth], set()).add(path[: depth + 1])
+    budgets = {(): min(mix.share * sum(leaves.values()), capacity[()])}
+    for depth in range(len(M.LEVELS)):
+        for path in [p for p in budgets if len(p) == depth]:
+            children = {"/".join(p): p for p in sorted(below.get(path, ()))}
+            room = {n: (float(mix.weights.get(n, 1.0)), capacity[p]) for n, p in children.items()}
+            budgets |= {children[n]: b for n, b in filled(budgets[path], room).items()}
+    return {p: b for p, b in budgets.items() if len(p) == len(M.LEVELS)}
+
+
 def test_filling_passes_on_what_a_child_cannot_hold():
-    assert M.filled(100, {"a": (1, 10), "b": (1, 1000), "c": (2, 1000)}) == {"a": 10, "b": 30, "c": 60}
-    assert M.filled(100, {"a": (1, 10), "b": (1, 20)}) == {"a": 10, "b": 20}
-    assert M.filled(50, {"a": (0, 100), "b": (1, 20)}) == {"a": 30, "b": 20}
-    assert M.filled(5, {}) == {}
+    assert filled(100, {"a": (1, 10), "b": (1, 1000), "c": (2, 1000)}) == {"a": 10, "b": 30, "c": 60}
+    assert filled(100, {"a": (1, 10), "b": (1, 20)}) == {"a": 10, "b": 20}
+    assert filled(50, {"a": (0, 100), "b": (1, 20)}) == {"a": 30, "b": 20}
+    assert filled(5, {}) == {}
 
 
 def test_siblings_take_a_shortage_before_the_parents_siblings():
     leaves = {("web", "en", "a"): 1000, ("web", "en", "b"): 10, ("code", "en", "c"): 1000}
-    budgets = M.leaf_budgets(leaves, M.Mix(share=0.5, max_epochs=1))
+    budgets = leaf_budgets(leaves, M.Mix(share=0.5, max_epochs=1))
     assert budgets[("web", "en", "b")] == 10
     assert budgets[("web", "en", "a")] == pytest.approx(502.5 - 10)
     assert budgets[("code", "en", "c")] == pytest.approx(502.5)
-    few = M.leaf_budgets({**leaves, ("web", "en", "a"): 100}, M.Mix(share=0.5, max_epochs=1))
+    few = leaf_budgets({**leaves, ("web", "en", "a"): 100}, M.Mix(share=0.5, max_epochs=1))
     assert few[("web", "en", "a")] == 100 and few[("code", "en", "c")] == pytest.approx(555 - 110)
 
 
@@ -42,7 +81,7 @@ def test_each_leaf_gets_the_shortest_prefix_of_its_epochs(spark, monkeypatch, sh
     held = Counter()
     for i, n in tokens.items():
         held[leaf[i]] += n
-    budgets = M.leaf_budgets(dict(held), mix)
+    budgets = leaf_budgets(dict(held), mix)
     drawn = M.draws(table, mix).collect()
     assert len({(r.doc_id, r.epoch) for r in drawn}) == len(drawn)
     for path, budget in budgets.items():
@@ -97,3 +136,32 @@ def test_stage_repeats_rows_and_keeps_columns(spark):
 def test_no_words_and_no_rows(spark):
     assert M.draws(documents(spark, None, "", " ")).collect() == []
     assert M.mixed(documents(spark, "a").filter("doc_id > 0")).collect() == []
+
+
+def test_budgets_in_spark_equal_the_plain_ones(spark):
+    """Trees of random weights and sizes, with weights of 0, leaves without words, and many sources."""
+    rng = random.Random(8)
+    for round_ in range(6):
+        names = [f"s{i}" for i in range(rng.choice([1, 4, 400]))]
+        leaves = {
+            (f"d{rng.randrange(4)}", rng.choice(["en", "de", "none"]), s): rng.choice([0, 1, rng.randrange(10**6)])
+            for s in names
+            for _ in range(2)
+        }
+        weights = {"d0": 3.0, "d1": 0.0, "d2/en": 0.5, "d2/de": 0.0}
+        weights |= {"/".join(p): rng.choice([0.0, 0.1, 2.0, 9.0]) for p in list(leaves)[::3]}
+        mix = M.Mix(share=rng.choice([0.1, 0.7, 1.3, 5.0]), max_epochs=2, weights=weights if round_ else {})
+        table = spark.createDataFrame([(*p, n) for p, n in leaves.items()], "domain string, lang string, source string, tokens long")
+        got = {(r.domain, r.lang, r.source): r.budget for r in M.leaf_budgets(table, mix).collect()}
+        want = leaf_budgets(leaves, mix)
+        assert got.keys() == leaves.keys()
+        assert all(got[p] == pytest.approx(want.get(p, 0.0), rel=1e-9, abs=1e-6) for p in leaves)
+        total = sum(leaves.values())
+        assert sum(got.values()) == pytest.approx(min(mix.share * total, 2 * total))
+
+
+def test_rows_of_one_id_and_text_are_drawn_with_their_own_leaf(spark):
+    table = documents(spark, (1, "a b", "en", "a"), (1, "a b", "en", "c"), (2, "e f", "en", "a"))
+    mix = M.Mix(share=4 / 6, max_epochs=1, domains=DOMAINS, weights={"code": 0.0})
+    out = M.mixed(table, mix).collect()
+    assert sorted((r.doc_id, r.source) for r in out) == [(1, "a"), (2, "a")]
