@@ -28,6 +28,8 @@ SLOTS, BATCH = 1 << 13, 256
 SEGMENT = 1 << 20
 #: Bounds of the fit: sampled texts and landmarks per language, bytes that a sampled text may have.
 SAMPLE, LANDMARKS, SAMPLE_BYTES = 400, 48, 20_000
+#: The same over all languages together: with more of them each gets fewer, one at least.
+ALL_SAMPLED, ALL_LANDMARKS = 8_000, 960
 #: Bytes of a text scored together. The slots fill up in more than that.
 PART = SAMPLE_BYTES
 RIDGE = 1e-3
@@ -87,21 +89,33 @@ class LanguageModel:
 def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` learnable (lang, text) rows per language, those whose id has the least hash.
 
-    Learnable are rows outside the held-out fifth with a lang and a text of 1 to
-    ``SAMPLE_BYTES`` bytes.
+    Learnable are rows outside the held-out fifth with a lang and a text that is not
+    empty. A text of more than ``SAMPLE_BYTES`` bytes stands for itself with as many
+    characters as are sure to fit, from a place that the hash names.
     """
     fit = docs.filter(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    fit = fit.filter(F.octet_length("text").between(1, SAMPLE_BYTES))
+    fit = fit.filter(F.octet_length("text") > 0)
     marked = fit.select("lang", F.xxhash64("doc_id", F.octet_length("text")).alias("h"), "text")
     # at most ``sample`` rows per language
     picked = lowest(marked.select("lang", "h").distinct(), "lang", "h", sample)
-    return marked.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
+    wide = SAMPLE_BYTES // 4
+    start = F.pmod("h", F.greatest(F.char_length("text") - wide, F.lit(0)) + 1) + 1
+    excerpt = F.col("text").substr(start.cast("int"), F.lit(wide))
+    text = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(excerpt)
+    rows = marked.join(F.broadcast(picked), ["lang", "h"]).withColumn("text", text)
+    return rows.groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
+
+
+def shared_out(bound: int, most: int, languages: int) -> int:
+    """How many of ``bound`` each language gets: ``most`` at most, one at least."""
+    return max(1, min(most, bound // max(1, languages)))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel | None:
     """Learn from a bounded sample, on the driver; None if no row can be learned from."""
-    rows = sorted(map(tuple, training_rows(docs, sample).collect()))
-    return learned(rows, landmarks, ridge) if rows else None
+    languages = docs.agg(F.count_distinct("lang")).head()[0]
+    rows = sorted(map(tuple, training_rows(docs, shared_out(ALL_SAMPLED, sample, languages)).collect()))
+    return learned(rows, shared_out(ALL_LANDMARKS, landmarks, languages), ridge) if rows else None
 
 
 def learned(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:

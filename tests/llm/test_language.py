@@ -129,3 +129,27 @@ def test_parts_cover_a_text():
         assert abs(sum(share for _, share in cut) - 1) < 1e-9
         assert all(len(part) <= L.PART + L.LONGEST - 1 for part, _ in cut)
         assert (L.presence([text]) == np.maximum.reduce([L.presence([part]) for part, _ in cut])).all()
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    """Its texts stand in the sample with an excerpt from anywhere; no sampled text passes the bound."""
+    rng = random.Random(6)
+    long = [(1000 + i, "é1" * rng.randrange(9) + " ".join(rng.choices(WORDS["cc"], k=6000)), "cc", "s") for i in range(12)]
+    docs = documents(spark, *[r for r in rows() if r[2] != "cc"], *long)
+    picked = L.training_rows(docs).collect()
+    assert {r.lang for r in picked} == {"aa", "bb", "cc"}
+    assert all(0 < len(r.text.encode()) <= L.SAMPLE_BYTES for r in picked)
+    texts = dict((i, t) for i, t, *_ in long)
+    assert all(any(r.text in t for t in texts.values()) for r in picked if r.lang == "cc")
+    got = {r.doc_id: r.lang_pred for r in L.language_of(docs).collect()}
+    assert all(got[i] == "cc" for i in texts)
+
+
+def test_many_languages_share_the_bounds(spark, monkeypatch):
+    monkeypatch.setattr(L, "ALL_SAMPLED", 60)
+    monkeypatch.setattr(L, "ALL_LANDMARKS", 7)
+    model = L.fit(documents(spark, *rows()))
+    assert model.languages == ("aa", "bb", "cc") and model.landmarks.shape[1] == 6
+    assert L.shared_out(60, 400, 3) == 20 and L.shared_out(60, 400, 100) == 1 and L.shared_out(60, 10, 0) == 10
+    got = {r.doc_id: r.lang_pred for r in L.language_of(documents(spark, *rows())).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in rows() if held_out(i))
