@@ -85,17 +85,22 @@ def divided(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """``leaves`` (LEVELS, tokens) with the ``budget`` of each, divided level by level from the top."""
     rows = leaves.withColumn("root", F.lit(0)).withColumn("capacity", F.col("tokens") * F.lit(float(mix.max_epochs)))
-    total = F.sum("tokens").cast("double")
-    known = rows.groupBy("root").agg(F.least(total * F.lit(mix.share), F.sum("capacity")).alias("budget"))
+    all_of = Window.partitionBy("root")
+    known = None
     listed = [F.lit(x) for path, w in mix.weights.items() for x in (path, float(w))]
     for depth, name in enumerate(LEVELS):
         parent = ["root", *LEVELS[:depth]]
-        nodes = rows.groupBy(*parent, name).agg(F.sum("capacity").alias("capacity"))
+        nodes = rows.groupBy(*parent, name).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
         path = F.concat_ws("/", *LEVELS[: depth + 1])
         weight = F.coalesce(F.try_element_at(F.create_map(*listed), path), F.lit(1.0)) if listed else F.lit(1.0)
-        nodes = nodes.join(known, parent).withColumn("weight", weight)
-        known = divided(nodes, parent, name).select(*parent, name, "budget")
-    return leaves.join(known.drop("root"), list(LEVELS))
+        if known is None:  # the domains share the whole budget
+            whole = F.sum("tokens").over(all_of).cast("double") * F.lit(mix.share)
+            nodes = nodes.withColumn("budget", F.least(whole, F.sum("capacity").over(all_of)))
+        else:
+            nodes = nodes.drop("root").join(known, parent[1:]).withColumn("root", F.lit(0))
+        nodes = nodes.withColumn("weight", weight)
+        known = divided(nodes, parent, name).select(*parent[1:], name, "budget")
+    return leaves.join(known, list(LEVELS))
 
 
 def draws(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -165,3 +165,9 @@ def test_rows_of_one_id_and_text_are_drawn_with_their_own_leaf(spark):
     mix = M.Mix(share=4 / 6, max_epochs=1, domains=DOMAINS, weights={"code": 0.0})
     out = M.mixed(table, mix).collect()
     assert sorted((r.doc_id, r.source) for r in out) == [(1, "a"), (2, "a")]
+
+
+def test_budgets_need_no_cross_join(spark):
+    table = spark.createDataFrame([("d", "en", "a", 3), ("e", "de", "b", 5)], "domain string, lang string, source string, tokens long")
+    plan = M.leaf_budgets(table, M.Mix())._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
