@@ -1,4 +1,8 @@
-"""Token ids of a public byte-level BPE, one pre-token at a time and each distinct one once per task."""
+"""Token ids of a public byte-level BPE, one pre-token at a time and each distinct one once per task.
+
+Texts are cut where pre-tokens always part, mostly into single ones. Of the texts encoded
+together each different chunk is looked up once; their ids are gathered from those of the chunks.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pre-tokens of the vocabulary, in the letters, digits and signs of PLAIN texts.
@@ -20,6 +27,13 @@ PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
 #: Pre-tokens that stay apart when written one after the other: a space and letters. Number of them in a text.
 SIDE_BY_SIDE, JOINED = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]"), 1000
 SPECIAL = "<|endoftext|>"
+#: Signs of PLAIN texts with the white space before them, up to white space if one is an apostrophe: pre-tokens part
+#: before and behind. They also part before a space that no white space follows, and, in a text where no more than two
+#: of white space stand together and one at the end, before any space.
+SIGNS = r"(\s*[^A-Za-zÀ-ÖØ-öø-ſ\s']*'\S*|\s*[^A-Za-zÀ-ÖØ-öø-ſ\s']+)"
+SPACED, WIDE = r" (\S)", r"\s\s\s|\s\s\z"
+#: Stands between chunks; no PLAIN text has it.
+MARK = "\0"
 #: A place where two pre-tokens always part, so that what is before and behind it may be encoded apart.
 APART = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 #: Characters from which on a text is cut at such a place, and characters split into pre-tokens at once.
@@ -49,46 +63,73 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of pre-tokens; those that a text may hold side by side are encoded as texts of JOINED."""
         self.held += sum(map(len, new)) * 5 + len(new) * OBJECTS  # an id or less for a letter
-        apart = [w for w in new if not SIDE_BY_SIDE.match(w)]
-        self.known.update(zip(apart, self._encode(apart), strict=True))
-        beside = [w for w in new if SIDE_BY_SIDE.match(w)]
-        groups = [beside[at : at + JOINED] for at in range(0, len(beside), JOINED)]
-        for at in range(0, len(groups), 16):
-            part = groups[at : at + 16]
-            encoded = self.tokenizer.encode_batch(["".join(g) for g in part], add_special_tokens=False)
-            for words, one in zip(part, encoded, strict=True):
-                ids, number = array("I", one.ids).tobytes(), np.array(one.word_ids)
-                ends = np.append(np.flatnonzero(number[1:] != number[:-1]) + 1, len(number)) * 4
-                begin = 0
-                for word, end in zip(words, ends.tolist(), strict=True):
-                    self.known[word] = ids[begin:end]
-                    begin = end
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        split = [PRE_TOKEN.findall(t) if SPECIAL not in t and PLAIN.fullmatch(t) else None for t in texts]
+        beside = []
+        for word in new:
+            if SIDE_BY_SIDE.match(word):
+                beside.append(word)
+            else:
+                self.known[word] = self._encode(word)
+        for at in range(0, len(beside), JOINED):
+            words = beside[at : at + JOINED]
+            one = self.tokenizer.encode("".join(words), add_special_tokens=False)
+            ids, number = array("I", one.ids).tobytes(), np.array(one.word_ids)
+            ends = np.append(np.flatnonzero(number[1:] != number[:-1]) + 1, len(number)) * 4
+            begin = 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                self.known[word] = ids[begin:end]
+                begin = end
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of ``chunks``, which may be several pre-tokens."""
         if self.held > REMEMBERED:
             self.known.clear()
             self.held = 0
-        met: set[str] = set()
-        for words in split:
-            if words:
-                met.update(words)
-        self._learn(sorted(met.difference(self.known)))
+        found = list(map(self.known.get, chunks))
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        split = [PRE_TOKEN.findall(chunks[k]) for k in rest]
+        self._learn([word for word in dict.fromkeys(chain.from_iterable(split)) if word not in self.known])
         of = self.known.__getitem__
+        for k, words in zip(rest, split, strict=True):
+            found[k] = b"".join(map(of, words))
+        return found
+
+    def _plain_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of PLAIN texts."""
+        whole = pa.array(texts, pa.large_string())
+        apart = pc.replace_substring_regex(whole, SIGNS, f"{MARK}\\1{MARK}")
+        marked = pc.replace_substring(apart, " ", f"{MARK} ")
+        wide = pc.match_substring_regex(whole, WIDE)
+        if pc.any(wide).as_py():
+            some = pc.replace_substring_regex(apart.filter(wide), SPACED, f"{MARK} \\1")
+            marked = pc.replace_with_mask(marked, wide, some)
+        split = pc.split_pattern(marked, MARK)
+        chunks = split.values.dictionary_encode()
+        own = self._chunk_ids(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(own), np.uint32)
+        sizes = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        chunk = chunks.indices.to_numpy()
+        size = sizes[chunk]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int32)))
+        at = np.repeat(begins[chunk] - ends[:-1], size) + np.arange(ends[-1])
+        return np.split(flat[at], ends[split.offsets.to_numpy()[1:-1]])
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [SPECIAL not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        known = iter(self._plain_ids([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else [])
         return [
-            self._encode([text])[0] if words is None else b"".join(map(of, words))
-            for text, words in zip(texts, split, strict=True)
+            next(known) if p else np.frombuffer(self._encode(text), np.uint32)
+            for text, p in zip(texts, plain, strict=True)
         ]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        found: list[list[bytes]] = [[] for _ in texts]
+        found: list[list[np.ndarray]] = [[] for _ in texts]
         owners, waiting, size = [], [], 0
         for owner, text in enumerate(texts):
             for part in parts(text):
@@ -101,7 +142,7 @@ class Encoder:
                     owners, waiting, size = [], [], 0
         for at, ids in zip(owners, self._ids(waiting), strict=True):
             found[at].append(ids)
-        return [np.frombuffer(b"".join(own), np.uint32) for own in found]
+        return [own[0] if len(own) == 1 else np.concatenate(own) for own in found]
 
 
 @lru_cache(maxsize=2)

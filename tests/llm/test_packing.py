@@ -104,3 +104,36 @@ def test_long_texts_are_encoded_in_parts(monkeypatch):
 def test_text_of_megabytes(spark):
     rows = [(0, "long text here " * 200_000), (1, None), (2, "x" * 300_000)]
     check(documents(spark, *rows), rows, 1024)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ids_of_texts_with_any_white_space_and_signs(seed):
+    rng = random.Random(seed)
+    units = [*" \n\t\r'._-12aZéſ", "  ", "\n\n", " word", " l'eau", " it's", "don't", "'ll", "...", " 3.14", "日", "\x0b", "×", "\0", "\x85"]
+    texts = ["".join(rng.choices(units[: rng.choice([3, 12, 25, 30])], k=rng.randrange(40))) for _ in range(4000)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    encode = Encoder(PATH)
+    got = [ids.tolist() for at in range(0, len(texts), 500) for ids in encode.ids(texts[at : at + 500])]
+    assert got == want
+
+
+def test_words_of_texts_encoded_together_are_split_once(monkeypatch):
+    from paragem.llm import tokens
+
+    class Counted:
+        words = 0
+
+        def findall(self, text):
+            found = tokens_pattern.findall(text)
+            Counted.words += len(found)
+            return found
+
+    tokens_pattern = tokens.PRE_TOKEN
+    monkeypatch.setattr(tokens, "PRE_TOKEN", Counted())
+    encode = Encoder(PATH)
+    texts = [f"The same words, again and again: it's number {k % 3}.\n\nNext " * 20 for k in range(50)]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [i.tolist() for i in encode.ids(texts)] == want
+    different = {word for text in texts for word in tokens_pattern.findall(text)}
+    assert Counted.words < 4 * len(different)  # of 32 100 in all
