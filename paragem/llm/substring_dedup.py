@@ -14,11 +14,15 @@ differ outside it, so they do not collapse. Where GATHERED different ones or mor
 would meet, they are cut to single starts: aligned strings of SPAN bytes, of which
 different ones need not meet at all and equal ones are summed up before they are
 shuffled.
+
+Passages that are counted in words find each other in the same way: a text is then the
+sequence of its words' hashes. They are marked only; bytes go by SPAN alone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,15 +36,23 @@ from paragem.llm.column_bwt import repeated_runs
 from paragem.session import stage
 
 SPAN, GRAM = 400, 100
+#: Words of a passage that is marked where another row has it too.
+PASSAGE = 51
 #: Places of an anchor from which its fragments are cut finer, and starts in such a fragment.
 FREQUENT, STEP = 1024, 64
 #: Starts of a text looked at together.
 SEGMENT = 1 << 19
 #: Texts whose fragments are handed on together; fragments in a collection.
 TEXTS, COLLECTION = 64, 2048
+#: Strings of words in a row of them; those handed on together.
+STRINGS, HANDED = 4096, 1 << 17
 #: Different fragments with one meeting key that no longer meet in one task.
 GATHERED = 256
 
+#: A gap between words, and the beginning of a text of PASSAGE words or more when filled in.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+WORDY = r"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]"
+
 WRAP = 0xFFFFFFFFFFFFFFFF
 BASE = 0x9E3779B97F4A7C15
 
@@ -82,9 +94,9 @@ def anchors(text: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndar
     return place, grams[place]
 
 
-def runs(text: bytes, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
+def runs(text: bytes | np.ndarray, span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
     """(first start, last start, anchor place, anchor hash) of the starts that follow each other with one anchor."""
-    letters = np.frombuffer(text, np.uint8)
+    letters = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
     for at in range(0, len(text) - span + 1, SEGMENT):
         place, hashed = anchors(letters[at : at + SEGMENT + span - 1], span, gram)
         begin = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
@@ -118,8 +130,39 @@ def fragments(
     return found
 
 
-def anchor_counts(texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, mark, gram, n): how often each text has each anchor."""
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words, which white space of ASCII parts."""
+    found, at = [np.empty(0, np.uint64)], 0
+    while at < len(text):
+        gap = SPACE.search(text, at + SEGMENT)
+        until = gap.start() if gap else len(text)
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, text[at:until].split()), np.uint64))
+        at = until
+    return np.concatenate(found)
+
+
+def word_runs(words: np.ndarray, passage: int) -> Iterator[tuple[int, int, int, int]]:
+    """``runs`` of the strings of ``passage`` words."""
+    return runs(words, passage, max(1, passage // 5))
+
+
+def passages(text: bytes, repeated: set[int], passage: int) -> Iterator[list[bytes]]:
+    """128-bit hashes of the strings of ``passage`` words with a repeated anchor, in lists without repeats."""
+    words = word_hashes(text)
+    own, wide = words.tobytes(), words.itemsize
+    found: set[bytes] = set()
+    for first, last, _, hashed in word_runs(words, passage):
+        if hashed in repeated:
+            found.update(xxhash.xxh128_digest(own[at * wide : (at + passage) * wide]) for at in range(first, last + 1))
+        if len(found) >= STRINGS:
+            yield list(found)
+            found = set()
+    if found:
+        yield list(found)
+
+
+def anchor_counts(texts: DataFrame, span: int, gram: int, passage: int | None) -> DataFrame:
+    """(key, mark, gram, n): how often each text has each anchor, of bytes and, with a ``passage``, of words."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,6 +170,8 @@ def anchor_counts(texts: DataFrame, span: int, gram: int) -> DataFrame:
                 part, keys, marks, grams = batch.iloc[at : at + TEXTS], [], [], []
                 for key, mark, text in zip(part["key"], part["mark"], part["text"], strict=True):
                     own = [hashed for *_, hashed in runs(text.encode(), span, gram)]
+                    if passage:
+                        own += [hashed for *_, hashed in word_runs(word_hashes(text.encode()), passage)]
                     keys += [key] * len(own)
                     marks += [mark] * len(own)
                     grams += own
@@ -136,22 +181,32 @@ def anchor_counts(texts: DataFrame, span: int, gram: int) -> DataFrame:
     return texts.select("key", "mark", "text").mapInPandas(count, "key binary, mark long, gram long, n long")
 
 
-def fragment_rows(texts: DataFrame, span: int, gram: int, wide: int) -> DataFrame:
-    """(meet, left, bytes, key, starts) of each distinct fragment of each text; needs ``repeated`` and ``frequent``."""
+def fragment_rows(texts: DataFrame, span: int, gram: int, wide: int, passage: int | None) -> DataFrame:
+    """(meet, left, bytes, key, starts) of each distinct fragment of each text; needs ``repeated`` and ``frequent``.
+
+    With a ``passage`` a text may have more rows, with ``passages`` and its key only.
+    """
+    columns = ["meet", "left", "bytes", "key", "starts", "passages"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
-                part, rows = batch.iloc[at : at + TEXTS], []
+                part, rows, handed = batch.iloc[at : at + TEXTS], [], 0
                 for key, text, some, many in zip(
                     part["key"], part["text"], part["repeated"], part["frequent"], strict=True
                 ):
                     found = fragments(text.encode(), set(some), set(many), span, gram, wide)
-                    rows += [(meet, left, own, key, starts) for (meet, left, own), starts in found.items()]
-                yield pd.DataFrame(rows, columns=["meet", "left", "bytes", "key", "starts"])
+                    rows += [(meet, left, own, key, starts, None) for (meet, left, own), starts in found.items()]
+                    for strings in passages(text.encode(), set(some), passage) if passage else ():
+                        rows.append((0, 0, None, key, None, strings))
+                        handed += len(strings)
+                        if handed >= HANDED:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, handed = [], 0
+                yield pd.DataFrame(rows, columns=columns)
 
     return texts.select("key", "text", "repeated", "frequent").mapInPandas(
-        cut, "meet long, left int, bytes binary, key binary, starts array<int>"
+        cut, "meet long, left int, bytes binary, key binary, starts array<int>, passages array<binary>"
     )
 
 
@@ -219,6 +274,16 @@ def repeated_starts(distinct: DataFrame, span: int) -> DataFrame:
     return hits.select("id_a", "id_b", "first", F.col("first").alias("last"))
 
 
+def shared_passages(cut: DataFrame) -> DataFrame:
+    """(key, shared): the texts that share one of their ``passages`` with another text."""
+    strings = cut.filter("passages is not null").select("key", F.explode("passages").alias("string"))
+    mark = F.xxhash64("key")
+    several = strings.groupBy("string").agg(F.min(mark).alias("least"), F.max(mark).alias("most"))
+    # stored, so that the join may split the places of a frequent passage
+    several = stage(several.filter("least <> most").select("string"), "passages")
+    return strings.join(several, "string").select("key").distinct().withColumn("shared", F.lit(True))
+
+
 def repeated_spans(
     docs: DataFrame,
     span: int = SPAN,
@@ -226,6 +291,7 @@ def repeated_spans(
     frequent: int = FREQUENT,
     wide: int = STEP,
     gathered: int = GATHERED,
+    passage: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether a byte is removed).
 
@@ -235,14 +301,22 @@ def repeated_spans(
     ``span`` bytes or more go entirely. Ids may be null or repeat: rows are told apart by
     their text only. Texts of any length are read in segments. Other columns are not
     read; an empty table gives an empty result.
+
+    With ``passage`` the column shares_passage follows: whether that many words of the
+    text (parted by white space of ASCII) stand in a row in another row's text too,
+    however many bytes they have. It removes nothing.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
     known = known.withColumn("key", F.unhex(F.substring("digest", 1, 32)))
-    marks = stage(known.select("doc_id", "key", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "marks")
-    long = known.filter(F.octet_length("text") >= span).select("key", F.xxhash64("digest").alias("mark"), "text")
-
-    counted = stage(anchor_counts(long, span, gram), "anchors")
+    wordy = F.col("text").rlike(WORDY % (passage - 1)) if passage else F.lit(False)
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    marks = stage(known.select("doc_id", "key", "digest", size, wordy.alias("wordy")), "marks")
+    # words have a byte each and one between them at least
+    least = min(span, 2 * passage - 1) if passage else span
+    long = known.filter(F.octet_length("text") >= least).select("key", F.xxhash64("digest").alias("mark"), "text")
+
+    counted = stage(anchor_counts(long, span, gram, passage), "anchors")
     several = counted.groupBy("gram").agg(
         F.min("mark").alias("least"), F.max("mark").alias("most"), F.max("n").alias("own"), F.sum("n").alias("places")
     )
@@ -251,9 +325,10 @@ def repeated_spans(
         F.collect_set("gram").alias("repeated"), F.collect_set(F.when(F.col("often"), F.col("gram"))).alias("frequent")
     )
     texts = long.select("key", "text").dropDuplicates(["key"])
-    rows = fragment_rows(texts.join(wanted, "key"), span, gram, wide)
+    rows = fragment_rows(texts.join(wanted, "key"), span, gram, wide, passage)
     identity = [F.xxhash64(F.lit(seed), "meet", "left", "bytes").alias(name) for seed, name in ((1, "id_a"), (2, "id_b"))]
-    cut = stage(rows.select("*", *identity), "fragments")
+    both = stage(rows.select("*", *identity), "fragments")
+    cut = both.filter("bytes is not null").drop("passages")
 
     crowded = stage(crowded_keys(cut, gathered), "crowded")
     hits = repeated_in_fragments(summed(cut.join(crowded, "meet", "left_anti")), span)
@@ -289,15 +364,20 @@ def repeated_spans(
     cleaned = texts.join(single, "key").select("key", "text", "spans")
     cleaned = cleaned.mapInPandas(remove, "key binary, n_removed long, n_spans long, kept_sha256 string")
     # stored, so that the join with all rows may split the rows of a frequent text
-    found = stage(copies.join(cleaned, "key", "left"), "removed")
+    found = copies.join(cleaned, "key", "left")
+    found = stage(found.join(shared_passages(both), "key", "left") if passage else found, "removed")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     removed = F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
-    return marks.join(found, "key").select(
-        "doc_id",
-        "n_bytes",
+    columns = [
+        F.col("doc_id"),
+        F.col("n_bytes"),
         removed.alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, nothing).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
         (removed > 0).alias("repeats"),
-    )
+    ]
+    if passage:
+        shares = F.when(F.col("copies") > 1, F.col("wordy")).otherwise(F.coalesce("shared", F.lit(False)))
+        columns.append(shares.alias("shares_passage"))
+    return marks.join(found, "key").select(columns)

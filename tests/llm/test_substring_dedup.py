@@ -127,3 +127,81 @@ def test_text_of_several_segments(spark):
 
 def test_empty_table(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def sharing(texts: list[str | None], words: int) -> list[bool]:
+    places: dict[tuple[bytes, ...], set[int]] = {}
+    for i, text in enumerate(texts):
+        own = (text or "").encode().split()
+        for at in range(len(own) - words + 1):
+            places.setdefault(tuple(own[at : at + words]), set()).add(i)
+    several = set().union(*(rows for rows in places.values() if len(rows) > 1))
+    return [i in several for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("words", [1, 6, 51])
+def test_shared_passages_against_all_strings_of_words(spark, words):
+    rng = random.Random(words)
+
+    def some(k, letters="abcdé|"):
+        gaps = [" ", " ", "\n", "\t ", "\x0b"]
+        return "".join(rng.choice(["", *letters]) + rng.choice(letters) + rng.choice(gaps) for _ in range(k))
+
+    # the longest has one word less than a passage, so it is shared only with an equal word beside it
+    passages = [some(k) for k in (words - 1, words, words, words + 1, 3 * words)]
+    texts: list[str | None] = [None, None, "", "one", "two words", "two words", some(words + 2), some(words - 1), "no gap" * 200]
+    texts += [texts[6], texts[7], " ".join("a" * 120), " ".join("a" * 120)]
+    texts += ["la " * (words + 3), "la " * (2 * words), " " * 90, "\n" + " " * 95]
+    for _ in range(70):
+        own = [[rng.choice(passages), some(rng.randrange(40)), some(rng.randrange(words + 9), "pqrst")] for _ in range(3)]
+        texts.append("".join(map(rng.choice, own)))
+    rows = [(None if i % 7 == 0 else i // 2, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.repeated_spans(docs, span=40, gram=10, passage=words).collect()
+    want = [(*row, row[1] > 0, shares) for row, shares in zip(brute(texts, 40), sharing(texts, words), strict=True)]
+    assert sorted(tuple(r)[1:] for r in got) == sorted(want)
+    assert {row[-1] for row in want} == {True, False}
+
+
+def test_words_of_a_text_in_several_segments(monkeypatch):
+    text = "".join(random.Random(4).choices("ab \n\té", k=4000)).encode()
+    whole = S.word_hashes(text)
+    assert len(whole) == len(text.split())
+    monkeypatch.setattr(S, "SEGMENT", 53)
+    assert (S.word_hashes(text) == whole).all()
+
+
+def test_shared_passages_of_an_empty_table_and_of_nulls(spark):
+    schema = "doc_id long, text string"
+    assert S.repeated_spans(spark.createDataFrame([], schema), passage=6).collect() == []
+    got = S.repeated_spans(spark.createDataFrame([(None, None), (None, None)], schema), passage=6).collect()
+    assert [r.shares_passage for r in got] == [False, False]
+
+
+def test_strings_of_words_come_in_bounded_lists(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abcdefgh", k=700)) for _ in range(2)]
+    words = [t.encode().split() for t in texts]
+    anchors = {hashed for t in texts for *_, hashed in S.word_runs(S.word_hashes(t.encode()), 20)}
+    whole = [set().union(*S.passages(t.encode(), anchors, 20)) for t in texts]
+    assert [len(w) for w in whole] == [len({tuple(w[i : i + 20]) for i in range(681)}) for w in words]
+    monkeypatch.setattr(S, "STRINGS", 50)
+    lists = [list(S.passages(t.encode(), anchors, 20)) for t in texts]
+    assert all(len(own) < 50 + 20 for found in lists for own in found)
+    assert [set().union(*found) for found in lists] == whole
+
+
+def test_query_marks_shared_passages_under_400_bytes(spark, tmp_path):
+    from paragem.llm.queries import op3_substring_dedup
+
+    rng = random.Random(6)
+
+    def some(k):
+        return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(k))
+
+    passage = some(55)
+    texts = [f"{some(80)}\n{passage}\n{some(9)}", f"{passage} {some(200)}", some(300), f"{some(70)} {passage[:300]}"]
+    assert len(passage) < S.SPAN
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.shares_passage) for r in op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, True), 1: (0, True), 2: (0, False), 3: (0, False)}
