@@ -126,7 +126,7 @@ def draws(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     weight = F.col("tokens") * F.col("copies")
     leaves = counted.groupBy(*LEVELS).agg(F.sum(weight).alias("tokens"), F.count(F.lit(1)).alias("rows"))
     times = F.coalesce(F.floor(F.try_divide("budget", "tokens")), F.lit(0)).cast("int")
-    goal = leaf_budgets(stage(leaves, "mix-leaves"), mix).select(
+    goal = leaf_budgets(stage(leaves, "mix-leaves", counted.count()), mix).select(
         *LEVELS, times.alias("times"), (F.col("budget") - times * F.col("tokens")).alias("goal"),
         F.ceil(F.col("rows") / STEP_ROWS).alias("steps"),
     )

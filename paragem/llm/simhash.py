@@ -123,7 +123,7 @@ def fingerprint_links(fingerprints: DataFrame, radius: int = RADIUS, tile: int =
 def named_components(distinct: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """(node, component_id): the smallest ``first`` of the nodes of ``distinct`` that have one root; others stand alone."""
     rooted = distinct.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
-    rooted = stage(rooted, "roots")
+    rooted = stage(rooted, "roots", distinct.count())
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(smallest, "root").select(node, "component_id")
 
@@ -138,8 +138,9 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     are. Repeated rows come back once each. An empty table gives an empty result.
     """
     marked = stage(docs.select("doc_id", fingerprint_column("text").alias("fingerprint")), "fingerprints")
-    distinct = stage(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(fingerprint_links(distinct, radius, tile)).toDF("fingerprint", "root")
+    distinct = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    distinct = stage(distinct, "distinct-fingerprints", marked.count())
+    roots = components(fingerprint_links(distinct, radius, tile), about=distinct.count()).toDF("fingerprint", "root")
     named = named_components(distinct, roots, "fingerprint")
     return marked.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
@@ -156,8 +157,9 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.sha2(text, 256).alias("digest"))
     marked = stage(docs.select(own.alias("own"), fingerprint_column("text").alias("fingerprint")), "fingerprints")
-    distinct = stage(marked.groupBy("fingerprint").agg(F.min("own").alias("first")), "distinct-fingerprints")
-    roots = components(fingerprint_links(distinct)).toDF("fingerprint", "root")
+    distinct = marked.groupBy("fingerprint").agg(F.min("own").alias("first"))
+    distinct = stage(distinct, "distinct-fingerprints", marked.count())
+    roots = components(fingerprint_links(distinct), about=distinct.count()).toDF("fingerprint", "root")
     kept = named_components(distinct, roots, "fingerprint").select("component_id.*").distinct().toDF("nameless", "kept_id", "digest")
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("kept_id"), F.sha2(text, 256).alias("digest"))
     same = named["kept_id"].eqNullSafe(kept["kept_id"]) & (named["digest"] == kept["digest"])

@@ -5,8 +5,10 @@ import numpy as np
 import xxhash
 from corpus import documents, with_clashing_columns
 
+from paragem.llm import components as C
 from paragem.llm import simhash as S
 from paragem.llm.components import components
+from paragem.session import stage
 
 
 def fingerprint(text):
@@ -96,6 +98,33 @@ def test_components_of_a_chain_a_star_and_loops(spark):
     assert sorted(map(sorted, by_root.values())) == [list(range(51)), list(range(100, 140))]
 
 
+def test_rounds_write_files_by_their_rows(spark, monkeypatch):
+    files = {}
+
+    def counted(df, label, rows=None):
+        out = stage(df, label, rows)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    for module in (C, S):
+        monkeypatch.setattr(module, "stage", counted)
+    docs = documents(spark, *((i, f"a{i} b{i % 40} c{i % 9}") for i in range(200)))
+    held = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = {r.component_id for r in S.near_groups(docs, radius=20).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    prints = {r: fingerprint(f"a{r} b{r % 40} c{r % 9}") for r in range(200)}
+    assert found == set(roots(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 20).values())
+    assert len(files["points"]) > 1
+    small = [n for label in ("distinct-fingerprints", "edges", "points", "roots") for n in files[label]]
+    assert max(small) == 1
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = [(5, "one two three four"), (3, "One two three four"), (3, "one TWO three four"), (None, "one two three four"),
             (None, "alone in the world"), (None, "alone in the World"), (9, None), (8, ""), (8, "")]
