@@ -16,7 +16,7 @@ from paragem.session import stage
 
 CAPACITY, END = 1024, 2
 #: Texts tokenised together in a task.
-TEXTS = 256
+TEXTS = 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

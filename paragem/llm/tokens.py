@@ -6,11 +6,12 @@ together each different chunk is looked up once; their ids are gathered from tho
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ PRE_TOKEN = re.compile(
 #: digits may differ. Left out are controls read differently as white space, and number signs that are not digits.
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
 #: Pre-tokens that stay apart when written one after the other: a space and letters. Number of them in a text.
-SIDE_BY_SIDE, JOINED = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]"), 1000
+SIDE_BY_SIDE, JOINED = re.compile(r" [A-Za-zÀ-ÖØ-öø-ſ]+"), 1000
+#: How a token of a byte-level vocabulary begins that holds the space before a word.
+SPACE = "Ġ"
 SPECIAL = "<|endoftext|>"
 #: Signs of PLAIN texts with the white space before them, up to white space if one is an apostrophe: pre-tokens part
 #: before and behind. They also part before a space that no white space follows, and, in a text where no more than two
@@ -37,7 +40,7 @@ MARK = "\0"
 #: A place where two pre-tokens always part, so that what is before and behind it may be encoded apart.
 APART = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 #: Characters from which on a text is cut at such a place, and characters split into pre-tokens at once.
-PART, AT_ONCE = 1 << 18, 1 << 20
+PART, AT_ONCE = 1 << 18, 1 << 21
 #: Bytes of pre-tokens and their ids remembered by a worker, with about 170 for each pair of objects.
 REMEMBERED, OBJECTS = 96 << 20, 170
 
@@ -58,32 +61,37 @@ class Encoder:
     """``ids(texts)`` equals the tokenizer's own encoding without special tokens added, as 32-bit numbers."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether a token, by its id, holds the space before a word.
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[k for token, k in vocabulary.items() if token.startswith(SPACE)]] = True
         #: The ids of a pre-token, as their bytes.
         self.known: dict[str, bytes] = {}
         self.held = 0
 
     def _encode(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        one = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]  # without places in the text
+        return array("I", one.ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
         """Remember the ids of pre-tokens; those that a text may hold side by side are encoded as texts of JOINED."""
         self.held += sum(map(len, new)) * 5 + len(new) * OBJECTS  # an id or less for a letter
         beside = []
         for word in new:
-            if SIDE_BY_SIDE.match(word):
+            if SIDE_BY_SIDE.fullmatch(word):
                 beside.append(word)
             else:
                 self.known[word] = self._encode(word)
         for at in range(0, len(beside), JOINED):
             words = beside[at : at + JOINED]
-            one = self.tokenizer.encode("".join(words), add_special_tokens=False)
-            ids, number = array("I", one.ids).tobytes(), np.array(one.word_ids)
-            ends = np.append(np.flatnonzero(number[1:] != number[:-1]) + 1, len(number)) * 4
-            begin = 0
-            for word, end in zip(words, ends.tolist(), strict=True):
+            ids = self._encode("".join(words))
+            # the one space of a word is in its first token
+            begins = np.flatnonzero(self.spaced[np.frombuffer(ids, np.uint32)]) * 4
+            ends = np.append(begins[1:], len(ids))
+            for word, begin, end in zip(words, begins.tolist(), ends.tolist(), strict=True):
                 self.known[word] = ids[begin:end]
-                begin = end
 
     def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of ``chunks``, which may be several pre-tokens."""
@@ -92,11 +100,16 @@ class Encoder:
             self.held = 0
         found = list(map(self.known.get, chunks))
         rest = [k for k, ids in enumerate(found) if ids is None]
-        split = [PRE_TOKEN.findall(chunks[k]) for k in rest]
-        self._learn([word for word in dict.fromkeys(chain.from_iterable(split)) if word not in self.known])
+        # chunks differ, so what is a pre-token of its own is new
+        new = [chunk for k in rest if SIDE_BY_SIDE.fullmatch(chunk := chunks[k])]
+        alone = set(new)
+        split = {k: PRE_TOKEN.findall(chunks[k]) for k in rest if chunks[k] not in alone}
+        parted = dict.fromkeys(chain.from_iterable(split.values()))
+        new += [word for word in parted if word not in self.known and word not in alone]
+        self._learn(new)
         of = self.known.__getitem__
-        for k, words in zip(rest, split, strict=True):
-            found[k] = b"".join(map(of, words))
+        for k in rest:
+            found[k] = b"".join(map(of, split[k])) if k in split else of(chunks[k])
         return found
 
     def _plain_ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -111,14 +124,10 @@ class Encoder:
         split = pc.split_pattern(marked, MARK)
         chunks = split.values.dictionary_encode()
         own = self._chunk_ids(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
-        flat = np.frombuffer(b"".join(own), np.uint32)
-        sizes = np.fromiter(map(len, own), np.int32, len(own)) // 4
-        begins = np.cumsum(sizes, dtype=np.int32) - sizes
-        chunk = chunks.indices.to_numpy()
-        size = sizes[chunk]
-        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int32)))
-        at = np.repeat(begins[chunk] - ends[:-1], size) + np.arange(ends[-1])
-        return np.split(flat[at], ends[split.offsets.to_numpy()[1:-1]])
+        bounds, data = pa.array(own, pa.large_binary()).take(chunks.indices).buffers()[1:]
+        flat = np.frombuffer(data or b"", np.uint32)
+        bounds = np.frombuffer(bounds, np.int64)[split.offsets.to_numpy()] // 4
+        return [flat[begin:end] for begin, end in pairwise(bounds.tolist())]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         plain = [SPECIAL not in t and PLAIN.fullmatch(t) is not None for t in texts]

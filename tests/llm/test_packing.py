@@ -137,3 +137,16 @@ def test_words_of_texts_encoded_together_are_split_once(monkeypatch):
         assert [i.tolist() for i in encode.ids(texts)] == want
     different = {word for text in texts for word in tokens_pattern.findall(text)}
     assert Counted.words < 4 * len(different)  # of 32 100 in all
+
+
+def test_words_of_many_texts_are_looked_up_once(monkeypatch):
+    encoder, looked_up = Encoder(PATH), []
+    chunk_ids = encoder._chunk_ids
+    monkeypatch.setattr(encoder, "_chunk_ids", lambda chunks: looked_up.extend(chunks) or chunk_ids(chunks))
+    rng = random.Random(3)
+    words = ["a", "Ġ", "Zebra", "élan", "qxzj" * 9, "the", "don't", "12", "_", "ß", "I"]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(800)]
+    plain = Tokenizer.from_file(PATH)
+    found = encoder.ids(texts)
+    assert len(looked_up) == len(set(looked_up))
+    assert all(own.tolist() == plain.encode(t, add_special_tokens=False).ids for own, t in zip(found, texts, strict=True))
