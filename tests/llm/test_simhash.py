@@ -101,8 +101,8 @@ def test_components_of_a_chain_a_star_and_loops(spark):
 def test_rounds_write_files_by_their_rows(spark, monkeypatch):
     files = {}
 
-    def counted(df, label, rows=None):
-        out = stage(df, label, rows)
+    def counted(df, label, *rows):
+        out = stage(df, label, *rows)
         files.setdefault(label, []).append(len(out.inputFiles()))
         return out
 
