@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -35,23 +35,40 @@ class Tree:
                 children = slice(self.first[node], self.first[node] + self.count[node])
                 at[own] = self.first[node] + squared(vectors[own], self.centres[children]).argmin(axis=1)
 
-    def best_bins(self, query: np.ndarray, leaves: int, held: np.ndarray, needed: int) -> list[int]:
+    @cached_property
+    def paths(self) -> np.ndarray:
+        """For each of the ``leaves`` the nodes below the root that lead to it, the leaf itself repeated at the end."""
+        parent = np.zeros(len(self.count), np.int64)
+        for node in np.flatnonzero(self.count):
+            parent[self.first[node] : self.first[node] + self.count[node]] = node
+        ways = []
+        for node in self.leaves.tolist():
+            way = [node]
+            while parent[way[0]]:
+                way.insert(0, parent[way[0]])
+            ways.append(way)
+        deepest = max(map(len, ways))
+        return np.array([way + way[-1:] * (deepest - len(way)) for way in ways])
+
+    def visits(self, queries: np.ndarray, leaves: int, held: np.ndarray, needed: int) -> list[np.ndarray]:
         """Leaves in the order of a queue by distance of centres, at least ``leaves`` and until they hold ``needed``.
 
-        ``held`` has the number of rows below each leaf.
+        ``held`` has the number of rows below each leaf; leaves without rows are left out. Of two leaves the queue
+        brings up that one first whose way from their fork on has the lesser greatest distance. Comparing the
+        ways' greatest distances from the first level on, then from the second and so forth, gives the same order.
         """
-        queue, found, rows = [(0.0, 0)], [], 0
-        while queue and (len(found) < leaves or rows < needed):
-            node = heapq.heappop(queue)[1]
-            if self.count[node]:
-                children = np.arange(self.first[node], self.first[node] + self.count[node])
-                far = squared(query[None], self.centres[children])[0]
-                for d, child in zip(far.tolist(), children.tolist(), strict=True):
-                    heapq.heappush(queue, (d, child))
-            elif held[node]:
-                found.append(int(node))
-                rows += int(held[node])
-        return found
+        paths = self.paths[held[self.leaves] > 0]
+        far = squared(queries, self.centres)
+        keys = [far[:, paths[:, -1]]]
+        for level in range(paths.shape[1] - 2, -1, -1):
+            keys.append(np.maximum(far[:, paths[:, level]], keys[-1]))
+        order = paths[np.lexsort(keys, axis=-1), -1]
+        enough = np.maximum((np.cumsum(held[order], axis=1) < needed).sum(axis=1) + (needed > 0), leaves)
+        return [row[:n] for row, n in zip(order, enough.tolist(), strict=True)]
+
+    def best_bins(self, query: np.ndarray, leaves: int, held: np.ndarray, needed: int) -> list[int]:
+        """The leaves that one query visits."""
+        return self.visits(query[None], leaves, held, needed)[0].tolist()
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample and every vector is filed under its leaf. A query
 visits the leaves that best-bin-first traversal brings up, as many as a sample of queries
-needed to reach the target recall. Queries and leaves meet in blocks of bounded size.
+needed to reach the target recall. Queries and vectors meet in buckets of leaves, one task
+for each, where the queries wait and the vectors pass by.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paragem.llm.kmeans_tree import build, calibrated_leaves
+from paragem.llm.vector_sweep import ASKED, buckets, called, filed, first_ids, matrix, sweep
 from paragem.session import stage
 
 NEIGHBOURS = 10
@@ -22,14 +26,17 @@ NEIGHBOURS = 10
 SAMPLE, SAMPLE_NUMBERS = 16_384, 2_000_000
 #: Recall that the visited leaves must reach on the sampled queries, and the number of these.
 RECALL, CALIBRATION = 0.95, 256
-#: Vectors and queries in a block.
-BLOCK, ASKED = 1024, 256
+#: Fewest buckets, and bytes of vectors in one of more.
+BUCKETS, BUCKET_BYTES = 48, 128 << 20
+#: Bytes of the queries that wait in a task, and what each takes beside its vector.
+WAITING_BYTES, WAITING = 128 << 20, 400
 
 
 def usable(vector: Column) -> Column:
     """Neither null nor zero, without null, NaN or infinite components."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    least, most = F.array_min(vector), F.array_max(vector)  # NaN is above infinity
+    finite = (least > float("-inf")) & (most < float("inf")) & F.forall(vector, lambda x: x.isNotNull())
+    return F.coalesce(finite & ((least != 0) | (most != 0)), F.lit(False))
 
 
 def smallest(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -79,64 +86,54 @@ def nearest(
     length = lengths["n"]
     rows = rows.filter(F.size("v") == length)
     # of rows with equal vectors only the first can be among the nearest, one more than asked for as one may be the query
-    kept = smallest(rows.distinct(), ["v"], ["vec_id"], neighbours + 1)
-    distinct = stage(kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
+    needed = neighbours + 1
+    named = rows.select(F.xxhash64("v").alias("h"), "v", "vec_id")
+    kept = named.mapInArrow(lambda batches: (first_ids(b, length, needed) for b in batches), named.schema)
+    ids = F.slice(F.sort_array(F.collect_set("vec_id")), 1, needed).alias("ids")
+    distinct = stage(kept.groupBy("h", "v").agg(ids), "vectors")
 
     sample_rows = min(SAMPLE, SAMPLE_NUMBERS // length)
-    sample = sampled(distinct, sample_rows, length)
+    sample = sampled(distinct.select("v"), sample_rows, length)
     tree = build(sample)
     leaves = calibrated_leaves(tree, sample, neighbours, recall, CALIBRATION)
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
-    @F.pandas_udf("int")
-    def leaf_of(v: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.leaf_of(np.stack(v.to_numpy()).astype(np.float64)).astype(np.int32))
-
-    filed = stage(distinct.withColumn("leaf", leaf_of("v")), "filed")
-    sizes = filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("held")).collect()
-    held = np.zeros(len(tree.count), np.int64)  # one number per leaf
-    for row in sizes:
-        held[row["leaf"]] = row["held"]
-    blocks = spark.createDataFrame([(r["leaf"], -(-r["n"] // BLOCK)) for r in sizes], "leaf int, blocks int")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = shared.value.leaf_of(matrix(batch["v"], length).astype(np.float64))
+            found, n = np.unique(leaf, return_counts=True)
+            held = np.bincount(leaf, batch["ids"].value_lengths().to_numpy())[found].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (found, n, held))), names=["leaf", "n", "held"])
 
-    def visited(v: pd.Series) -> pd.Series:
-        tree = shared.value
-        return pd.Series([tree.best_bins(np.asarray(x, np.float64), leaves, held, neighbours + 1) for x in v])
+    counts = distinct.select("v", "ids").mapInArrow(counted, "leaf long, n long, held long")
+    sizes, held = np.zeros((2, len(tree.count)), np.int64)  # numbers per leaf
+    for row in counts.groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).collect():
+        sizes[row["leaf"]], held[row["leaf"]] = row["n"], row["held"]
 
-    visited_udf = F.pandas_udf(visited, "array<int>")
     queries = stage(
         rows.filter(is_query).select("vec_id", "v").distinct().withColumn("asked", F.xxhash64("v")), "queries"
     )
-    each = queries.groupBy("v").agg(F.first("asked").alias("asked"))
-    calls = each.withColumn("leaf", F.explode(visited_udf("v"))).withColumn(
-        "part", F.pmod("asked", F.lit(64)).cast("int")
+    asked = queries.select("asked").distinct().count()
+    kind = rows.schema["v"].dataType
+    width = length * (8 if kind.elementType == T.DoubleType() else 4)
+    number = max(BUCKETS, -(-int(sizes.sum()) * width // BUCKET_BYTES))
+    where = buckets(sizes, number, max(1, -(-asked * (width + WAITING) // WAITING_BYTES)))
+
+    schema = f"bucket int, leaf int, asked long, v {kind.simpleString()}, ids array<long>"
+    members = distinct.select("h", "v", "ids").mapInArrow(
+        lambda batches: (out for b in batches for out in filed(b, length, shared.value, where)), schema
     )
-    # a leaf's queries by part of the hash, each part in runs of ASKED
-    run = F.row_number().over(Window.partitionBy("leaf", "part").orderBy("asked", "v"))
-    calls = calls.withColumn("run", F.floor(run / ASKED))
-    calls = calls.groupBy("leaf", "part", "run").agg(
-        F.collect_list("asked").alias("asked"), F.collect_list("v").alias("q")
+    each = queries.select("asked", "v").distinct().repartition(max(1, -(-asked // ASKED)))
+    calls = each.mapInArrow(
+        lambda batches: (out for b in batches for out in called(b, length, shared.value, where, leaves, held, needed)),
+        schema,
     )
-    members = filed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
-    members = members.groupBy("leaf", "block").agg(F.collect_list("v").alias("v"), F.collect_list("ids").alias("ids"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for asked, q, v, ids in zip(batch["asked"], batch["q"], batch["v"], batch["ids"], strict=True):
-                base = np.stack(v).astype(np.float64)
-                out = []
-                for key, query in zip(asked, np.stack(q).astype(np.float64), strict=True):
-                    far = np.sqrt(((base - query) ** 2).sum(axis=1))
-                    most = min(neighbours + 1, len(far))
-                    limit = np.partition(far, most - 1)[most - 1]
-                    out += [(key, float(far[k]), int(i)) for k in np.flatnonzero(far <= limit) for i in ids[k]]
-                yield pd.DataFrame(out, columns=["asked", "score", "vec_id"])
-
-    pairs = calls.join(members, "leaf").select("asked", "q", "v", "ids")
-    found = pairs.mapInPandas(compare, "asked long, score double, vec_id long")
-    found = smallest(found, ["asked"], ["score", "vec_id"], neighbours + 1).drop("rank")
-    owned = queries.select(F.col("vec_id").alias("query_id"), "asked").join(found, "asked")
+    # no join, which Spark may broadcast through the driver: it counts a query once, however many leaves it visits
+    met = calls.union(members).repartition(where.number(), "bucket").sortWithinPartitions("bucket", "leaf")
+    found = met.mapInArrow(lambda batches: sweep(batches, length, needed), "asked long, score double, vec_id long")
+    found = smallest(found, ["asked"], ["score", "vec_id"], needed).drop("rank")
+    owned = queries.select(F.col("vec_id").alias("query_id"), "asked").hint("merge").join(found, "asked")
     owned = owned.filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return smallest(owned, ["query_id"], ["score", "vec_id"], neighbours).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"

@@ -1,10 +1,13 @@
+import heapq
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from paragem.llm import vector_search as V
+from paragem.llm import vector_sweep as S
 from paragem.llm.kmeans_tree import build, calibrated_leaves, squared
 
 SF = "/root/testdata/sf0.01"
@@ -89,3 +92,87 @@ def test_traversal_visits_every_leaf_once_and_nearest_first():
         near = np.argsort(far[q])[1:11]
         found += np.isin(leaf[near], tree.best_bins(sample[q], leaves, held, 0)).sum()
     assert found / 400 >= 0.9
+
+
+def test_queries_meet_their_leaves_without_a_broadcast(spark):
+    rows = [(i, np.random.default_rng(i).normal(size=8).tolist(), 1) for i in range(2000)]
+    found = V.nearest(table(spark, rows), F.col("vec_id") % 10 == 0)
+    assert len(found.collect()) == 2000
+    # the plan as made and as run; a broadcast would bring each query to the driver once for each leaf it visits
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
+def test_parts_and_spread_leaves_give_the_same_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, v, 1) for i, v in enumerate(np.round(rng.normal(size=(900, 3)), 1).tolist())]
+    rows += [(2000 + i, [0.5, 0.5, 0.5], 1) for i in range(60)]
+    want = sorted(map(tuple, V.nearest(table(spark, rows), F.col("vec_id") % 5 == 0).collect()))
+    monkeypatch.setattr(V, "BUCKETS", 100)
+    monkeypatch.setattr(V, "WAITING_BYTES", 30_000)
+    assert sorted(map(tuple, V.nearest(table(spark, rows), F.col("vec_id") % 5 == 0).collect())) == want
+    assert V.nearest(table(spark, rows), F.lit(False)).collect() == []
+
+
+def test_sweep_finds_the_nearest_rows_of_the_visited_leaves():
+    rng = np.random.default_rng(5)
+    base = np.round(rng.normal(size=(5000, 4)), 1).astype(np.float32)  # with ties
+    leaf, counts = np.sort(rng.integers(0, 3, 5000)), rng.integers(1, 4, 5000)
+    ids = rng.permutation(int(counts.sum()))
+    own = np.split(ids, np.cumsum(counts)[:-1])
+    asked = base[:300] + np.float32(0.25)
+    visited = [np.flatnonzero(rng.random(3) < 0.7) for _ in asked]
+    lists = pa.array([x.tolist() for x in visited] + [x.tolist() for x in own], pa.list_(pa.int64()))
+    vectors = pa.array([*asked.tolist(), *base.tolist()], pa.list_(pa.float32()))
+    key = np.concatenate([np.arange(300) + 7000, np.zeros(5000, np.int64)])
+    where = np.concatenate([np.full(300, S.QUERY), leaf])
+    batch = S.row_batch(np.ones(5300), where, pa.array(key), vectors, lists)
+    other = S.row_batch(np.zeros(5), np.zeros(5), pa.array(key[-5:]), vectors[-5:], lists[-5:])
+    got = {}
+    for b in S.sweep(iter([other, *(batch.slice(k, 777) for k in range(0, 5300, 777))]), 4, 11):
+        for q, s, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(q - 7000, []).append((s, i))
+    for q in range(300):
+        rows = [k for k in range(5000) if leaf[k] in visited[q]]
+        far = np.sqrt(((base[rows].astype(float) - asked[q].astype(float)) ** 2).sum(axis=1))
+        want = sorted((float(d), int(i)) for d, k in zip(far, rows, strict=True) for i in own[k])[:11]
+        assert got.get(q, []) == want
+
+
+def test_first_ids_of_repeated_vectors():
+    rows = [(1, [0.0, 1.0], i % 40) for i in range(100)] + [(1, [2.0, 1.0], 3), (2, [-0.0, 1.0], 9), (2, [0.0, 1.0], 9)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.float32())), pa.array([r[2] for r in rows])],
+        names=["h", "v", "vec_id"],
+    )
+    kept = [(r["h"], r["vec_id"]) for r in S.first_ids(batch, 2, 3).to_pylist() if r["v"][0] != 2]
+    assert {(1, 0), (1, 1), (1, 2)} <= set(kept) and kept.count((2, 9)) == 1 and len(kept) <= 7
+    assert [2.0, 1.0] in S.first_ids(batch, 2, 3)["v"].to_pylist()
+
+
+def test_buckets_hold_each_leaf_and_share_the_vectors():
+    sizes = np.array([0, 5, 900, 7, 0, 40, 60, 3])
+    where = S.buckets(sizes, 10, 2)
+    used = [set(range(f, f + s)) for f, s, n in zip(where.first, where.spread, sizes, strict=True) if n]
+    assert where.spread.tolist() == [1, 1, 9, 1, 1, 1, 1, 1] and where.number() == 2 * len(set.union(*used))
+    assert all(not used[1] & other for k, other in enumerate(used) if k != 1)
+
+
+def test_visits_follow_a_queue():
+    rng = np.random.default_rng(6)
+    tree = build(rng.normal(size=(4000, 5)))
+    held = rng.integers(0, 3, len(tree.count))
+
+    def queue(query, leaves, needed):
+        waiting, found, rows = [(0.0, 0)], [], 0
+        while waiting and (len(found) < leaves or rows < needed):
+            node = heapq.heappop(waiting)[1]
+            for child in range(tree.first[node], tree.first[node] + tree.count[node]):
+                heapq.heappush(waiting, (float(((query - tree.centres[child]) ** 2).sum()), child))
+            if not tree.count[node] and held[node]:
+                found, rows = [*found, node], rows + held[node]
+        return found
+
+    queries = rng.normal(size=(30, 5))
+    for leaves, needed in ((1, 0), (1, 11), (20, 11), (1000, 5), (2, 10**6)):
+        want = [queue(q, leaves, needed) for q in queries]
+        assert [v.tolist() for v in tree.visits(queries, leaves, held, needed)] == want
